@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, mixing, quality_rules, sharding
+from tessel.llm import exact_dedup, minhash, mixing, quality_rules, sharding
 from tessel.llm.oracles import ORACLES
 
 
@@ -35,9 +35,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
+    "op8_minhash": op8_minhash,
 }
