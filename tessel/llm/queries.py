@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, minhash, mixing, quality_rules, sharding
+from tessel.llm import exact_dedup, minhash, mixing, quality_rules, repeats, sharding, subwords, token_files
 from tessel.llm.oracles import ORACLES
 
 
@@ -39,10 +39,25 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.round_trips(documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written(documents(spark, sf_dir))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
     "op8_minhash": op8_minhash,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op9_repeats": op9_repeats,
+    "op10_token_files": op10_token_files,
 }
