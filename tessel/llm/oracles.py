@@ -52,4 +52,16 @@ SELECT doc_id, size, source_size, target,
 FROM o JOIN x ON o.source IS NOT DISTINCT FROM x.source
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op6_mixing": OP6}
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ w AS (SELECT r, doc_id, i, array_to_string(l[i+1:i+3], chr(10)) AS t FROM (SELECT r, doc_id, l, unnest(range(len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
+ f AS (SELECT r, i FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, i) AS k FROM w WHERE regexp_matches(t, '[^\x20\x09-\x0D]')) WHERE k > 1),
+ g AS (SELECT DISTINCT r, i + k AS i FROM f, (SELECT unnest(range(3)) AS k)),
+ s AS (SELECT r, count(*) AS n, sum(CASE WHEN p IS NULL OR p < i - 1 THEN 1 ELSE 0 END) AS m FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM g) GROUP BY r),
+ x AS (SELECT r, unnest(range(len(l))) AS i, unnest(l) AS line FROM d),
+ k AS (SELECT x.r, string_agg(line, chr(10) ORDER BY x.i) AS kept FROM x ANTI JOIN g ON x.r = g.r AND x.i = g.i GROUP BY x.r)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (r) LEFT JOIN k USING (r)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7}

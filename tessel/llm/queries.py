@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, minhash, mixing, quality_rules, repeats, sharding, subwords, token_files
+from tessel.llm import exact_dedup, line_dedup, lm, minhash, mixing, quality_rules, repeats, sharding, subwords, token_files
 from tessel.llm.oracles import ORACLES
 
 
@@ -51,13 +51,24 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
     "op8_minhash": op8_minhash,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_line_dedup": op7_line_dedup,
     "op9_repeats": op9_repeats,
     "op10_token_files": op10_token_files,
 }
