@@ -134,7 +134,7 @@ def facet_value(value: Column, kind: str) -> Column:
 def facet_display(value: Column) -> Column:
     """The text that a facet value stands for."""
     body = F.substring(value, 3, 1 << 30)
-    return F.when(value.startswith("s:"), F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))).when(value.startswith("z:"), F.lit(None).cast("string")).otherwise(body)
+    return F.when(value.startswith("s:"), F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))).when(value.startswith("z:"), F.lit(None).cast("string")).when(facet_type(value).isNotNull(), body).otherwise(value)
 
 
 def facet_type(value: Column) -> Column:

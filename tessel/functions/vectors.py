@@ -38,7 +38,7 @@ def score(metric: str, v: Column, q: Column) -> Column:
     if metric == "dot":
         return dot(v, q)
     if metric == "l2":
-        return -l2(v, q)
+        return F.lit(0.0) - l2(v, q)
     raise ValueError(f"no metric {metric}")
 
 

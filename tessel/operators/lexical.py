@@ -190,17 +190,23 @@ def starts_of(tokens: Column, p: Phrase) -> Column:
     return F.filter(at, hit)
 
 
+def spaced(tokens: Column) -> Column:
+    """Tokens as one text, each between spaces of its own."""
+    return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+
+
 def count_of(columns: dict[str, Column], p: Phrase) -> Column:
-    """How often a phrase occurs in the columns it may stand in."""
-    names = [p.column] if p.column else list(columns)
-    out = F.lit(0)
-    for n in names:
-        tokens = columns[n]
-        if len(p.tokens) == 1 and not p.prefix and not p.first:
-            out = out + F.size(F.filter(tokens, lambda x: x == p.tokens[0]))  # noqa: B023
-        else:
-            out = out + F.size(starts_of(tokens, p))
-    return out
+    """How often a phrase occurs in the columns it may stand in; occurrences may overlap.
+
+    Tokens are letters and digits, so they need no escapes, and one pass of a
+    pattern over the spaced text counts without a lambda: filters that the
+    optimizer moves below the tokens still read them once.
+    """
+    if not p.tokens:
+        return F.lit(0)
+    body = " " + "  ".join(p.tokens) + ("" if p.prefix else " ")
+    pattern = ("^" if p.first else "") + f"(?={body})"
+    return sum((F.regexp_count(spaced(columns[n]), F.lit(pattern)) for n in ([p.column] if p.column else columns)), F.lit(0))
 
 
 def near(tokens: Column, node: Near) -> Column:
@@ -221,8 +227,11 @@ def matches(columns: dict[str, Column], node) -> Column:
         return count_of(columns, node) > 0
     if isinstance(node, Near):
         out = F.lit(False)
-        for tokens in columns.values():
-            out = out | near(tokens, node)
+        for name, tokens in columns.items():
+            every = F.lit(True)
+            for p in node.phrases:
+                every = every & (count_of({name: tokens}, p) > 0)
+            out = out | (every & near(tokens, node))
         return out
     left, right = matches(columns, node.left), matches(columns, node.right)
     return {"and": left & right, "or": left | right, "not": left & ~right}[node.op]

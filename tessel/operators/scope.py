@@ -21,7 +21,8 @@ def apply_scope(units: DataFrame, facets: DataFrame, scope: Scope | None) -> Dat
         return units.filter(F.lit(False))
     for name in CATEGORIES:
         if values := getattr(scope, name):
-            units = units.filter(F.col(name.removesuffix("s")).isin(*values))
+            column = "modality" if name == "modalities" else name.removesuffix("s")
+            units = units.filter(F.col(column).isin(*values))
     if scope.facets_any:
         units = units.join(facet_pairs(facets, scope.facets_any).select("resource_id").distinct(), "resource_id", "left_semi")
     if scope.facets_all:
