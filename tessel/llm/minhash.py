@@ -5,17 +5,19 @@ and its largest value, two signature entries for one hash evaluation. Bands of
 four entries propose pairs; a pair is a link when its full sets confirm it.
 
 Plan. Documents with one and the same set are one class, found by a digest of
-the set, and only class representatives go on. Buckets of a band that hold
-several classes are worked off by pivots: a pivot meets every member of its
-bucket that is not yet in its component, confirmed links join components, and
-the next round takes twice as many pivots from what is still apart. A bucket
-of mutual near copies is done after one pass over its members, and no bucket
-is ever gathered in one task; pairs stay untried only inside a component.
-The rounds end when every bucket is one component or all its members but one
-have been pivots, so no link that a band proposes is lost.
-
-Signatures have 40 permutations, 80 entries, 20 bands: a pair at the
-threshold of 0.85 misses all bands with a chance of 4e-7, a closer pair less.
+the set, and only class representatives go on. In each bucket of a band that
+holds several classes, the most central class is the pivot and meets every
+member; confirmed links join components. Central means sharing most buckets:
+the text that near copies were made from links with copies that do not link
+with each other, so one pass settles a bucket of near copies, whatever its
+size. After two passes, the members of buckets that still hold several
+components (texts around one common passage, say) are joined exactly, by
+prefix filtering over their shingles from rare to common: what they all share
+comes last and is not joined on. No bucket is gathered in one task, pairs stay
+untried only inside a component, and no link that a band proposes is lost.
+
+Signatures have 48 permutations, 96 entries, 24 bands: a pair at a threshold
+of 0.85 misses all bands with a chance of 2e-8, one at 0.8 with 3e-6.
 
 Defined results: a text of fewer than five words is one shingle; null, empty
 and blank texts have none, link with nothing and stay. Rows with equal texts
@@ -31,17 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import free_name, stash
 from tessel.llm.textkernel import mix, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 85
-PERMUTATIONS, ROWS = 40, 4
+PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Shingles hashed at once.
 BLOCK = 1 << 15
+#: Passes of pivots before what is still apart is joined by rare shingles.
+PIVOTS = 2
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -113,22 +117,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), held], ["id", "set"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, in hundredths."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     held = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return held.mapInArrow(_confirmed, "a long, b long")
+    return held.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,55 +152,87 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prefix_pairs(ids: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) among ``ids`` (id, n, component) that could be links, by prefix filtering.
+
+    With shingles ordered from rare to common, the first one that two sets
+    over the threshold share stands early in both: its places leave room for
+    the overlap that their sizes ask for. Shingles of one set alone come first
+    and need no join; the smaller set of a pair needs only its short prefix.
+    """
+    rows = stash(sets.join(ids, "id", "left_semi").mapInArrow(_shingles, "id long, shingle long"))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = rows.join(common, "shingle")
+    lone = held.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    up = lambda share: F.ceil(share - 1e-9)
+    # how many of its shared shingles a set's prefix still reaches
+    reach = ids.join(lone, "id").withColumn("reach", F.col("shared") - up(F.col("n") * threshold / 100.0) + 1).filter("reach > 0")
+    order = Window.partitionBy("id").orderBy("df", "shingle")
+    nth = held.join(reach, "id").withColumn("nth", F.row_number().over(order)).filter("nth <= reach")
+    prefix = stash(nth.withColumn("at", F.col("n") - F.col("shared") + F.col("nth")).select("shingle", "id", "n", "component", "at"))
+    both = threshold / (100.0 + threshold)
+    small = prefix.filter(F.col("at") <= F.col("n") - up(2 * both * F.col("n")) + 1)
+    large = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("at").alias("at_b"))
+    room = 1 + F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("at_b")) >= up(both * (F.col("n") + F.col("nb")))
+    sized = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("id") < F.col("b")))
+    met = small.join(large, (small.shingle == large.shingle) & sized & room & (F.col("component") != F.col("cb")))
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = np.frombuffer(s.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), i, np.int64)), pa.array(held)], ["id", "shingle"])
+
+
+def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     """Confirmed links (a, b) that span the components of the classes (id, n, bands)."""
     keyed = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most").select("key", "size")
     members = stash(keyed.join(shared, "key"))
-    wanted = members.select("id").distinct()
+    # the text that others were made from shares more of their bands than they do of each other's
+    central = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    members = stash(members.drop("size").join(central, "id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stash(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
-    links, tried, apart, width = None, None, members.withColumn("component", F.col("id")), 1
-    while True:
-        # each part of a bucket sends its first member that has not been a pivot
+    sets = stash(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
+    apart, links, tried = members.withColumn("component", F.col("id")), None, None
+    for _ in range(PIVOTS):
         fresh = apart if tried is None else apart.join(tried, ["key", "id"], "left_anti")
-        part = F.pmod(F.xxhash64("id", F.lit(width)), F.lit(width))
-        pivots = stash(fresh.groupBy("key", part.alias("part")).agg(F.min(F.struct("id", "n", "component")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("ca")))
+        pivots = stash(fresh.groupBy("key").agg(F.max(F.struct("weight", "id", "n", "component")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("ca")))
         met = apart.join(pivots, "key").filter((F.col("id") != F.col("a")) & (F.col("component") != F.col("ca")))
-        close = 100 * F.least("n", "na") >= THRESHOLD * F.greatest("n", "na")
+        close = 100 * F.least("n", "na") >= threshold * F.greatest("n", "na")
         pairs = met.filter(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        found = stash(confirmed(pairs, sets))
+        found = stash(confirmed(pairs, sets, threshold))
         links = found if links is None else links.unionByName(found)
         used = pivots.select("key", F.col("a").alias("id"))
-        tried = used if tried is None else stash(tried.unionByName(used))
-        joined = components(links)
-        now = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # what is left of a bucket: over one component, and a pair without a pivot
+        tried = used if tried is None else tried.unionByName(used)
+        now = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # what is left of a bucket: over one component, and a pair that no pivot has met
         left = now.join(tried.withColumn("was", F.lit(1)), ["key", "id"], "left")
         open_ = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if(F.col("was").isNull()).alias("fresh")).filter("lo < hi AND fresh > 1")
         apart = stash(now.join(open_.select("key"), "key"))
-        if apart.isEmpty():
-            return links
-        width *= 2
+    rest = stash(apart.select("id", "n", "component").distinct())
+    return links.unionByName(confirmed(prefix_pairs(rest, sets, threshold), sets, threshold))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = stash(signatures(docs, id_col, text_col))
     least = rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"))
     least = stash(least)
     held = rows.select("doc_id", F.col("n_shingles").alias("n"), "bands", "set_key")
     classes = least.filter(F.col("id").isNotNull()).join(held, (held.doc_id == least.id) & (held.set_key == least.set_key)).select("id", "n", "bands").dropDuplicates(["id", "bands"])
-    joined = components(near_links(docs, classes, id_col, text_col))
+    joined = components(near_links(docs, classes, id_col, text_col, threshold))
     named = least.join(joined, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest id."""
-    kept = near_components(docs, id_col, text_col).filter("kept").select(F.struct(F.col("doc_id").alias("id")).alias("mark")).distinct()
+    kept = near_components(docs, id_col, text_col, threshold).filter("kept").select(F.struct(F.col("doc_id").alias("id")).alias("mark")).distinct()
     mark = free_name(docs, "mark")
     marked = docs.withColumn(mark, F.struct(F.col(id_col).cast("long").alias("id")))
     return marked.join(kept.withColumnRenamed("mark", mark), mark, "left_semi").select(*docs.columns)
