@@ -145,6 +145,7 @@ class Chunker:
         cuts = self.definitions(text, starts) if (b.language or "").casefold() in ("py", "python") else None
         for lo, hi in cuts or [(0, len(text))]:
             if cuts and self.fits(text[lo:hi], room):
+                lo += len(text[lo:hi]) - len(text[lo:hi].lstrip("\n"))
                 yield Piece([b], text[lo:hi].rstrip("\n"), kind, self.span(b, text, lo, hi))
             else:
                 yield from self.windows(b, kind, text, [s for s in starts if lo <= s < hi] + [hi], room)

@@ -35,9 +35,14 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _read_text(self, name: str) -> str | None:
+        """Through the file system, since Spark's readers skip names that begin with an underscore."""
         if not self._fs.exists(self._path(name)):
             return None
-        return self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0]
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def _write_text(self, name: str, text: str) -> None:
         """Written under another name and renamed, so that no reader sees half of it."""

@@ -403,3 +403,100 @@ def catalog_violations(spark: SparkSession, sf: str) -> DataFrame:
     from tessel.plans.catalog import violations
 
     return violations(D.catalog(spark, sf))
+
+
+# --- sequential algorithms (held against brute force in tests) -----------------
+
+
+@query("timed_passages")
+def timed_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from tessel.operators import grouping
+    from tessel.sources import transcripts
+
+    return grouping.group_atoms(transcripts.conversation_atoms(D.read(spark, sf, "conversations")))
+
+
+@query("grouping_metrics")
+def grouping_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    from tessel.operators import grouping
+    from tessel.sources import transcripts
+
+    atoms = transcripts.conversation_atoms(D.read(spark, sf, "conversations"))
+    return grouping.grouping_metrics(grouping.group_atoms(atoms), atoms)
+
+
+@query("grouping_variants")
+def grouping_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from tessel.operators import grouping
+    from tessel.sources import transcripts
+
+    rows = grouping.group_variants(transcripts.conversation_atoms(D.read(spark, sf, "conversations")))
+    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n_passages"), F.sum("token_count").alias("n_tokens"), F.max("token_count").alias("max_tokens"))
+
+
+def _as_files(spark: SparkSession, sf: str) -> DataFrame:
+    return D.read(spark, sf, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("relative_path"), F.col("text").alias("content"))
+
+
+@query("structural_chunks")
+def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from tessel.operators import chunking
+
+    return chunking.chunk_files(_as_files(spark, sf))
+
+
+@query("markdown_blocks")
+def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    from tessel.sources import markdown
+
+    return markdown.parse_files(_as_files(spark, sf)).groupBy("block_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("n_chars"))
+
+
+@query("chunk_audit")
+def chunk_audit(spark: SparkSession, sf: str) -> DataFrame:
+    from tessel.operators import chunking
+
+    return evaluation.chunk_audit(chunking.chunk_files(_as_files(spark, sf)))
+
+
+@query("preset_search")
+def preset_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transcripts and events as frames, searched with a preset."""
+    from tessel.operators import graphs, grouping
+    from tessel.sources import transcripts
+
+    passages = grouping.group_atoms(transcripts.conversation_atoms(D.read(spark, sf, "conversations")))
+    e = _events(spark, sf)
+    frames = e.select(F.col("user_id").cast("string").alias("resource_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).alias("ordinal"), F.col("event_id").cast("string").alias("frame_id"), F.col("t").alias("timestamp_ms"), F.col("event_type").alias("caption"), F.lit("{}").alias("metadata_json"))
+    c = graphs.video_graph(passages, frames)
+    return search.search(c, search.preset_request("balanced", "purchase", None, None, 10)).rows.select("resource_id", "score", "rank")
+
+
+@query("interval_matches", f"WITH {_EVENTS}, r AS (SELECT user_id AS q, event_id, t AS s, t + 900000 AS e FROM e WHERE event_type = 'click'), g AS (SELECT user_id AS q, event_id AS g, t AS gs, t + 600000 AS ge FROM e WHERE event_type = 'purchase') SELECT event_id, g AS gold_id, round((least(r.e, ge) - greatest(s, gs))::DOUBLE / (greatest(r.e, ge) - least(s, gs)), 9) AS iou, abs(s - gs) AS start_error FROM r JOIN g USING (q) WHERE least(r.e, ge) > greatest(s, gs)")
+def interval_matches(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    own = lambda kind, more: e.filter(F.col("event_type") == kind).select(F.col("user_id").alias("query_id"), F.lit("r").alias("resource_id"), "event_id", F.col("t").alias("start_ms"), (F.col("t") + more).alias("end_ms"))
+    gold = own("purchase", 600000).withColumn("grade", F.col("event_id"))
+    return timed.interval_matches(own("click", 900000), gold).select("event_id", F.col("grade").alias("gold_id"), F.round("iou", 9).alias("iou"), "start_error")
+
+
+@query("scalar_facets", "SELECT 'quality' AS namespace, quality AS v, 'i:' || quality AS typed, 'integer' AS kind, count(*) AS n FROM labels GROUP BY quality UNION ALL SELECT 'toxic', toxic, 'b:' || (toxic = 1), 'boolean', count(*) FROM labels GROUP BY toxic")
+def scalar_facets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.read(spark, sf, "labels")
+    q = rows.select(F.lit("quality").alias("namespace"), F.col("quality").alias("v"), T.facet_value(F.col("quality"), "int").alias("typed"))
+    t = rows.select(F.lit("toxic").alias("namespace"), F.col("toxic").alias("v"), T.facet_value(F.col("toxic") == 1, "bool").alias("typed"))
+    return q.unionByName(t).groupBy("namespace", "v", "typed", T.facet_type(F.col("typed")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("doctor", "SELECT * FROM (VALUES ('missing_fts', 'error', (SELECT count(*) FROM documents WHERE doc_id % 11 = 0)), ('orphan_fts', 'error', 0), ('missing_embedding', 'warning', (SELECT count(*) FROM documents WHERE doc_id % 7 = 0)), ('stale_embedding', 'warning', (SELECT count(*) FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 13 = 0)), ('orphan_embedding', 'error', 0)) AS v(code, severity, n)")
+def doctor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("embedding_text"))
+    hashed = F.sha2(F.when(F.col("chunk_id") % 13 == 0, F.lit("old")).otherwise(F.col("embedding_text")), 256)
+    return incremental.doctor(docs, docs.filter("chunk_id % 11 <> 0").select("chunk_id"), docs.filter("chunk_id % 7 <> 0").select("chunk_id", hashed.alias("embedded_hash")))
+
+
+@query("tpch_like_join", "SELECT n_name, count(*) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def tpch_like_join(spark: SparkSession, sf: str) -> DataFrame:
+    r = lambda t: D.read(spark, sf, t)
+    rows = r("lineitem").join(r("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(r("customer"), F.col("o_custkey") == F.col("c_custkey")).join(r("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
