@@ -131,7 +131,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    # sets stay where their ids hash to, at every size; a broadcast of few pairs would change that with the input
+    held = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "set_a", "set_b")
     return held.mapInArrow(run, "a long, b long")
 
 
@@ -195,7 +196,7 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     central = members.groupBy("id").agg(F.sum("size").alias("weight"))
     members = stash(members.drop("size").join(central, "id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stash(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
+    sets = stash(texts.hint("merge").join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
     apart, links, tried = members.withColumn("component", F.col("id")), None, None
     for _ in range(PIVOTS):
         fresh = apart if tried is None else apart.join(tried, ["key", "id"], "left_anti")
