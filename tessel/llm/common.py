@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
 _MADE: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def let(value: Column, body) -> Column:
@@ -66,8 +67,20 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_name(spark: SparkSession, stem: str) -> str:
+    """A name for a table that only this session's results need; it is dropped when Python ends."""
+    name = f"tessel_{stem}_{uuid.uuid4().hex}"
+    _TABLES.append((spark, name))
+    return name
+
+
 @atexit.register
 def _sweep() -> None:
+    for spark, name in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # as below
+            return
     for spark, path in _MADE:
         try:
             jvm = spark.sparkContext._jvm

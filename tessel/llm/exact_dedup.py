@@ -14,12 +14,11 @@ are one group, and an empty table gives an empty result. A null id sorts last.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import SPACE, free_name, stash
+from tessel.llm.common import SPACE, free_name, stash, table_name
 
 #: A digest is hot when its group holds over one HOT-th of all rows; so at most HOT are.
 HOT = 1024
@@ -49,7 +48,7 @@ class DigestIndex:
 
     @classmethod
     def temporary(cls, spark: SparkSession) -> DigestIndex:
-        return cls(spark, f"tessel_digests_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return cls(spark, table_name(spark, "digests"), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)

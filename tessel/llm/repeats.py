@@ -34,7 +34,6 @@ ids come last; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import stash
+from tessel.llm.common import stash, table_name
 from tessel.llm.textkernel import _VALUE, mix, powers, raw
 
 WIDTH, GRAM = 100, 32
@@ -253,7 +252,7 @@ class Blocks:
         self.ranges = 1 << max(0, -(-total // RANGE) - 1).bit_length()
         buckets = max(1, -(-total // (2 * BLOCK)))
         ordered = rows.repartitionByRange(max(1, -(-total // (4 * BLOCK))), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-        self.table = f"tessel_blocks_{uuid.uuid4().hex}"
+        self.table = table_name(self.spark, "blocks")
         packed = ordered.mapInArrow(_pack, "block long, ids array<long>, offsets binary, data binary")
         packed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(self.table)
 
