@@ -64,6 +64,11 @@ class Codec:
         self.bpe = _model_type(sp.serialized_model_proto()) == 2
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece of this model crosses words")
+        endings: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                endings.setdefault(p[-3:], {2}).add(len(p))
+        self.endings = {k: tuple(sorted(v, reverse=True)) for k, v in endings.items()}
         self.follows: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         text = [b""] * len(pieces)
@@ -129,7 +134,11 @@ class Codec:
 
     def _bpe_step(self, w: str, j: int, lo: int, back: list[int], best: list[float]) -> None:
         ids, follows = self.id, self.follows
-        for i in range(lo, j - 1):
+        # only lengths that pieces with these last characters have, the longest first
+        for n in self.endings.get(w[j - 3 : j], (2,)) if j > 2 else range(j, 1, -1):
+            i = j - n
+            if i < 0:
+                continue
             piece = w[i:j]
             if piece in ids:
                 if i == 0:

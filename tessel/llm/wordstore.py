@@ -9,6 +9,7 @@ and changes no result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -39,12 +40,12 @@ class WordStore:
             new.sort()
             found = list(self.encode(new))
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for f in found for i in f), np.int32, int(lengths.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
             starts = len(self.flat) + np.cumsum(lengths) - lengths
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.flat, self.starts, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        at = np.fromiter((i for t in texts for i in map(self.index.__getitem__, t)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         lengths = self.lengths[at]
         pieces = np.concatenate([[0], np.cumsum(counts)])
         ends = np.concatenate([[0], np.cumsum(lengths)])
