@@ -12,10 +12,10 @@ stored as blocks of id arrays. Statistics cover every training document:
 The network is one causal attention head over the symbols before a position,
 with relative positions; its output is added to that bias as logits of the
 class, and an id's share of its class is its smoothed share of the counts.
-It is trained by rounds of local Adam steps in every block, on every
-``STRIDE``-th window of the block's training documents, another ones each
-round; blocks' weights are averaged by the number of windows they learned
-from. What training reads grows with the corpus; what reaches the driver (id
+It is trained by ``ROUNDS`` rounds of local Adam steps in every block. Each
+window that holds a training token, a block's short last one included, is
+learned from in one of the rounds; blocks' weights are averaged by the number
+of windows they learned from. What training reads grows with the corpus; what reaches the driver (id
 counts, bias counts and one set of weights per averaging group) does not.
 
 Scoring cuts a block's stream into windows of ``SPAN`` tokens to score after
@@ -50,7 +50,7 @@ HELD_OUT, FOLDS = 2, 7
 #: Bytes of text in a block; bytes of text for each hash range of words.
 BLOCK, RANGE = 4 << 20, 32 << 20
 SYMBOLS, CLASSES, SINGLE, WIDE = 1024, 128, 112, 16
-SPAN, STRIDE, ROUNDS, GROUPS = 16, 64, 2, 16
+SPAN, ROUNDS, GROUPS = 16, 2, 16
 BATCH, RATE = 256, 0.02
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 SMOOTH = 0.1
@@ -234,8 +234,13 @@ def windows(symbols: np.ndarray, doc: np.ndarray, which: np.ndarray) -> tuple[np
 _ONES = {n: np.ones((n, 1), np.float32) for n in (2 * SPAN, CLASSES)}
 
 
-def forward(w: dict[str, np.ndarray], bias: np.ndarray, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class logits of the scored half of windows, and what the backward pass needs.
+def room(n: int) -> np.ndarray:
+    """Memory for the logits of ``n`` windows, kept between batches: fresh pages cost more than the sums in them."""
+    return np.empty((2, n * SPAN, CLASSES), np.float32)
+
+
+def forward(w: dict[str, np.ndarray], bias: np.ndarray, x: np.ndarray, mask: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Class logits of the scored half of windows (in ``held``, if given), and what the backward pass needs.
 
     Scores are bounded before ``exp``, which spares the passes that look for maxima.
     """
@@ -247,30 +252,40 @@ def forward(w: dict[str, np.ndarray], bias: np.ndarray, x: np.ndarray, mask: np.
     np.copyto(s, np.float32(0), where=~mask)
     total = np.matmul(s, _ONES[2 * SPAN]) + np.float32(1e-30)
     h = np.matmul(s, v) / total
-    logits = h.reshape(-1, WIDE) @ w["o"]
-    logits += np.take(bias, x[:, SPAN:].ravel(), axis=0)
+    logits, more = (room(len(x)) if held is None else held)[:, : len(x) * SPAN]
+    np.matmul(h.reshape(-1, WIDE), w["o"], out=logits)
+    logits += np.take(bias, x[:, SPAN:].ravel(), axis=0, out=more, mode="clip")
     return logits, h, (s, total), q, k, v
 
 
-def _learn(w: dict, state: dict, bias: np.ndarray, x: np.ndarray, mask: np.ndarray, target: np.ndarray, use: np.ndarray) -> None:
+def _by_symbol(rows: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Sums of the vectors in ``part`` by their symbols."""
+    rows = rows.ravel()
+    order = np.argsort(rows, kind="stable")
+    ends = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out = np.zeros((SYMBOLS, part.shape[-1]), np.float32)
+    out[rows[order][ends]] = np.add.reduceat(part.reshape(-1, part.shape[-1])[order], ends)
+    return out
+
+
+def _learn(w: dict, state: dict, bias: np.ndarray, x: np.ndarray, mask: np.ndarray, target: np.ndarray, use: np.ndarray, held: np.ndarray | None = None) -> None:
     """One Adam step on the mean negative log-likelihood of the targets in ``use``."""
-    logits, h, (s, total), q, k, v = forward(w, bias, x, mask)
+    logits, h, (s, total), q, k, v = forward(w, bias, x, mask, held)
     s = s / total
-    logits -= logits.max(axis=1, keepdims=True)
+    np.minimum(logits, np.float32(60), out=logits)
     np.exp(logits, out=logits)
-    g = logits / logits.sum(axis=1, keepdims=True)
-    g[np.arange(len(g)), target.ravel()] -= 1
-    g *= use.ravel()[:, None] / np.float32(max(1, use.sum()))
+    weight = use.ravel()[:, None] / np.float32(max(1, use.sum()))
+    g = np.multiply(logits, weight / (logits @ _ONES[CLASSES] + np.float32(1e-30)), out=logits)
+    g[np.arange(len(g)), target.ravel()] -= weight[:, 0]
     grad = {"o": h.reshape(-1, WIDE).T @ g}
     gh = (g @ w["o"].T).reshape(h.shape)
     gs = np.matmul(gh, v.transpose(0, 2, 1))
     gv = np.matmul(s.transpose(0, 2, 1), gh)
     gs = s * (gs - (gs * s).sum(axis=2, keepdims=True)) * mask
     grad["r"] = np.bincount(np.clip(_BACK, 0, 2 * SPAN - 1).ravel(), weights=gs.sum(axis=0).ravel(), minlength=2 * SPAN)
-    for name, rows, part in (("q", x[:, SPAN:], np.matmul(gs, k) * np.float32(WIDE**-0.5)), ("k", x, np.matmul(gs.transpose(0, 2, 1), q)), ("v", x, gv)):
-        total = np.zeros_like(w[name])
-        np.add.at(total, rows.ravel(), part.reshape(-1, WIDE))
-        grad[name] = total
+    grad["q"] = _by_symbol(x[:, SPAN:], np.matmul(gs, k) * np.float32(WIDE**-0.5))
+    both = _by_symbol(x, np.concatenate((np.matmul(gs.transpose(0, 2, 1), q), gv), axis=2))
+    grad["k"], grad["v"] = both[:, :WIDE], both[:, WIDE:]
     state["t"] += 1
     for name, value in grad.items():
         m, n = state.setdefault(name, (np.zeros_like(w[name]), np.zeros_like(w[name])))
@@ -289,19 +304,25 @@ def inputs(block: Block, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return x, doc, train
 
 
+def trained(train: np.ndarray, turn: int) -> np.ndarray:
+    """The windows with a training token that a round learns from; those of all rounds are all there are."""
+    some = np.logical_or.reduceat(train, np.arange(0, len(train), SPAN)) if len(train) else train
+    return np.flatnonzero(some)[turn::ROUNDS]
+
+
 def train_block(block: Block, model: Model, turn: int) -> tuple[dict[str, np.ndarray], int]:
     """Local weights after this round's windows of a block, and how many those were."""
     x, doc, train = inputs(block, model.symbol)
-    n = len(x) // SPAN
-    which = np.arange(turn * STRIDE // ROUNDS % STRIDE, n, STRIDE)
-    which = which[train[which * SPAN] | train[which * SPAN + SPAN - 1]] if len(which) else which
+    which = trained(train, turn)
     w, state = {k: v.copy() for k, v in model.weights.items()}, {"t": 0}
-    target = model.klass[block.ids]
+    rest = -len(x) % SPAN
+    target, use = np.pad(model.klass[block.ids], (0, rest)), np.pad(train, (0, rest)).astype(np.float32)
+    kept = room(BATCH)
     for lo in range(0, len(which), BATCH):
         part = which[lo : lo + BATCH]
         at = part[:, None] * SPAN + np.arange(SPAN)[None, :]
         held, mask = windows(x, doc, part)
-        _learn(w, state, model.bias, held, mask, target[at], train[at].astype(np.float32))
+        _learn(w, state, model.bias, held, mask, target[at], use[at], kept)
     return w, len(which)
 
 
@@ -314,10 +335,11 @@ def score_block(block: Block, model: Model) -> np.ndarray:
     padded = np.zeros(n * SPAN, target.dtype)
     padded[: len(target)] = target
     logs = np.empty(n * SPAN, np.float32)
+    kept = room(2 * BATCH)
     for lo in range(0, n, 2 * BATCH):
         part = np.arange(lo, min(lo + 2 * BATCH, n))
         held, mask = windows(x, doc, part)
-        logits = forward(model.weights, model.bias, held, mask)[0]
+        logits = forward(model.weights, model.bias, held, mask, kept)[0]
         span = slice(part[0] * SPAN, (part[-1] + 1) * SPAN)
         np.minimum(logits, np.float32(60), out=logits)
         hit = logits[np.arange(len(logits)), padded[span]]

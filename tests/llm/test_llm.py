@@ -407,6 +407,46 @@ def test_lm_learns():
     assert first > 4 and loss() < 0.45  # guessing between the two would cost 0.69
 
 
+def _lm_block(streams, out):
+    at, none = np.cumsum([0, *map(len, streams)]), np.zeros(1, np.int64)
+    return lm.Block(list(range(len(out))), np.array(out), at, np.concatenate(streams).astype(np.uint16), none, none, none)
+
+
+def test_lm_trains_on_every_token(monkeypatch):
+    """Over the rounds each training token is learned from once, also in short documents and at the end of a block."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 5, 3, 17, *rng.integers(1, 60, 300), 7]
+    out = [i % 7 == 2 for i in range(len(sizes))]
+    block = _lm_block([np.arange(n) for n in sizes], out)
+    used = []
+    monkeypatch.setattr(lm, "_learn", lambda w, state, bias, x, mask, target, use, *rest: used.append((use.sum(), target[use > 0].sum())))
+    model = lm.Model(np.arange(100), np.arange(100) + 1, np.zeros(100, np.float32), np.zeros((lm.SYMBOLS, lm.CLASSES), np.float32), lm.start())
+    for turn in range(lm.ROUNDS):
+        lm.train_block(block, model, turn)
+    kept = [n for n, held in zip(sizes, out, strict=True) if not held]
+    assert [sum(u) for u in zip(*used, strict=True)] == [sum(kept), sum(n * (n + 1) // 2 for n in kept)]
+
+
+def test_lm_training_beats_the_bias_on_held_out_text():
+    rng = np.random.default_rng(2)
+    streams = []
+    for _ in range(700):
+        a = rng.integers(1, 9, 100)
+        streams.append(np.stack([a, np.full(100, 9), a + 10], axis=1).ravel())  # the third repeats the first across a constant
+    block = _lm_block(streams, [i % 7 == 2 for i in range(700)])
+    counts = np.bincount(block.ids, minlength=lm.SYMBOLS).astype(float)
+    symbol, klass, share = lm.classes(counts)
+    x, _, train = lm.inputs(block, symbol)
+    seen = np.zeros((lm.SYMBOLS, lm.CLASSES))
+    np.add.at(seen, (x[train], klass[block.ids[train]]), 1)
+    model = lm.Model(symbol, klass, share, np.log((seen + 0.01) / (seen + 0.01).sum(axis=1, keepdims=True)).astype(np.float32), lm.start())
+    before = lm.score_block(block, model)[block.out].sum()
+    for turn in range(lm.ROUNDS):
+        model.weights, _ = lm.train_block(block, model, turn)
+    after = lm.score_block(block, model)[block.out].sum()
+    assert after > 0.9 * before  # log10; a tenth of the loss at least
+
+
 def test_pipeline(spark, docs, texts, monkeypatch, tmp_path):
     import corpus_pipeline
 
