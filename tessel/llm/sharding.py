@@ -1,19 +1,28 @@
 """Sharding by sampled splitters, in DataFrame functions alone.
 
-Records are ordered by the key (64-bit text hash, id, position of equal
-records), so equal texts stand together and the order is a shuffle of the
+Records are ordered by the key (leading 60 bits of the text's MD5, id, CRC-32
+of the text), so equal texts stand together and the order is a shuffle of the
 corpus. A size-weighted sample of keys gives quantile boundaries; records are
 range-partitioned at them, the ranges are measured over all records, and
-ranges that turn out overfull are subdivided by a sample of their own. Shards
-are then cut at equal bytes: whole ranges where a cut falls between two, and
-record by record in the range that a cut falls into.
+ranges that turn out overfull are subdivided by samples of their own until
+none is overfull that holds two keys. Shards are then cut at equal bytes:
+whole ranges where a cut falls between two, and record by record in the range
+that a cut falls into.
 
 Law: ``bytes`` (sizes near equal: a shard's sum misses its share by one record
-at most). Slots follow the key within a shard without gaps; they come from the
-ranges' counts, so no task ever orders more than one range.
-
-Defined results: a null text has size 1; equal records (same id and text) get
-slots of their own in any order; an empty table gives an empty result.
+at most). A cut may fall inside a group of equal texts: the law is on bytes,
+and a group may be larger than a shard. Slots follow the key within a shard
+without gaps; they come from the ranges' counts, so no task ever orders more
+than one range.
+
+Repeated rows (same key) are one record of the order, with a count: however
+many there are, they are placed by arithmetic and no task orders them.
+
+Defined results: a null text has size 1; repeated rows get slots of their own,
+one after the other; a null id sorts first; an empty table gives an empty
+result. Ids are whole numbers, or text that reads as such. Extra columns,
+whatever their names, pass through ``write_shards`` untouched, but for
+``shard`` and ``slot``, which it adds and which must not be there.
 """
 
 from __future__ import annotations
@@ -21,25 +30,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import stash
+from tessel.llm.common import free_name, stash
 
 SHARDS = 16
 #: Ranges that the first sample aims at, and sampled keys for each of them.
 RANGES, PER_RANGE = 512, 8
-#: A range is overfull beyond so many times its even share; so often are such ranges subdivided.
-OVERFULL, ROUNDS = 4.0, 4
+#: A range of several keys is overfull beyond so many times its even share.
+OVERFULL = 4.0
+NO_ID = -(1 << 63)
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, h: all that sharding needs of a document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h"))
+    head = F.conv(F.substring(F.md5(F.encode(text, "utf-8")), 1, 15), 16, 10).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"), head.alias("h"))
 
 
 def sample_keys(rows: DataFrame, weight: Column, rate: float, round_no: int) -> list[tuple[int, int]]:
     """Keys drawn with a chance of ``weight`` times ``rate``: about 1 / share of the data in all, whatever its size."""
     draw = F.pmod(F.xxhash64(F.lit(round_no), "h", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(draw < weight * rate).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k")).distinct()
+    drawn = rows.filter(draw < weight * rate).select("h", F.coalesce("doc_id", F.lit(NO_ID)).alias("k")).distinct()
     return sorted((r.h, r.k) for r in drawn.collect())
 
 
@@ -65,35 +76,41 @@ def range_of(splitters: list[tuple[int, int]], h: Column, k: Column) -> Column:
 
 
 def ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
-    return rows.withColumn("range", range_of(splitters, F.col("h"), F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    return rows.withColumn("range", range_of(splitters, F.col("h"), F.coalesce("doc_id", F.lit(NO_ID))))
 
 
 def split(rows: DataFrame, ranges: int = RANGES) -> tuple[list[tuple[int, int]], list]:
-    """Splitters, and of each range its rows and bytes as measured over all records."""
-    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    """Splitters, and of each range its records, rows and bytes as measured over all ``rows`` (with ``copies``)."""
+    n, size = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0))).first()
     if not n:
         return [], []
-    weight = (F.col("size") / float(size) + 1 / float(n)) / 2  # bounds a range's bytes and its rows alike
-    splitters = quantiles(sample_keys(rows, weight, float(ranges * PER_RANGE), 0), ranges)
-    for round_no in range(1, ROUNDS + 1):
+    weight = F.col("copies") * (F.col("size") / float(size) + 1 / float(n)) / 2  # bounds a range's bytes and its rows alike
+    splitters, round_no = quantiles(sample_keys(rows, weight, float(ranges * PER_RANGE), 0), ranges), 0
+    while True:
         held = measure(rows, splitters)
-        most = OVERFULL / ranges
-        full = [r.range for r in held if r.n > 1 and max(r.bytes / size, r.n / n) > most]
+        # what stays above the bar is a single key, which is one row of the order
+        full = [r.range for r in held if r.keys > 1 and max(r.bytes / size, r.n / n) > OVERFULL / ranges]
         if not full:
-            break
+            return splitters, held
+        round_no += 1
         inside = ranged(rows, splitters).filter(F.col("range").isin(full))
         more = sample_keys(inside, weight, float(ranges * PER_RANGE * 4), round_no)
-        splitters = sorted({*splitters, *more[:: 2 * PER_RANGE]})
-    return splitters, measure(rows, splitters)
+        ends = inside.groupBy("range").agg(F.max(F.struct("h", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"))).alias("last")).collect()
+        # the last key of a range that holds several is a splitter that always divides it
+        splitters = sorted({*splitters, *more[:: 2 * PER_RANGE], *((r.last.h, r.last.k) for r in ends)})
 
 
 def measure(rows: DataFrame, splitters: list[tuple[int, int]]) -> list:
-    return ranged(rows, splitters).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).orderBy("range").collect()
+    held = ranged(rows, splitters).groupBy("range")
+    key = F.struct("h", F.coalesce("doc_id", F.lit(NO_ID)))
+    keys = F.when(F.min(key) == F.max(key), 1).otherwise(2).alias("keys")  # one, or more
+    return held.agg(keys, F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("bytes")).orderBy("range").collect()
 
 
 def shards(rows: DataFrame, n_shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
     """``rows`` with shard and slot. The ranges' table, a few thousand rows at any size, is the only broadcast."""
     spark = rows.sparkSession
+    rows = stash(rows.groupBy("h", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("copies")))
     splitters, held = split(rows, ranges)
     total, at, before, table = sum(r.bytes for r in held), 0, 0, []
     for r in held:
@@ -102,11 +119,15 @@ def shards(rows: DataFrame, n_shards: int = SHARDS, ranges: int = RANGES) -> Dat
     starts = spark.createDataFrame(table, "range int, bytes_before long, rows_before long")
     order = Window.partitionBy("range").orderBy("h", "doc_id", "text_crc32")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    copy = F.col("copy")
     placed = (
         ranged(rows, splitters)
         .join(F.broadcast(starts), "range")
-        .withColumn("at", F.col("bytes_before") + F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-        .withColumn("nth", F.col("rows_before") + F.row_number().over(order) - 1)
+        .withColumn("at", F.col("bytes_before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(so_far), F.lit(0)))
+        .withColumn("nth", F.col("rows_before") + F.coalesce(F.sum("copies").over(so_far), F.lit(0)))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("at", F.col("at") + copy * F.col("size"))
+        .withColumn("nth", F.col("nth") + copy)
         # a record goes where its middle falls
         .withColumn("shard", F.least(F.floor((F.col("at") * 2 + F.col("size")) * n_shards / F.lit(max(1, 2 * total))), F.lit(n_shards - 1)).cast("int"))
     )
@@ -121,12 +142,19 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sh
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS) -> DataFrame:
-    """Writes ``docs`` in shard folders under ``path``, each file in slot order; returns the placement."""
+    """Writes ``docs`` in shard folders under ``path``, each file in slot order; returns the placement.
+
+    A row meets its place by id, CRC-32 and position among its repeats.
+    """
+    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError("the rows must not have columns shard or slot")
     placed = stash(assign(docs, id_col, text_col, n_shards))
-    keyed = docs.withColumns({"_id": F.col(id_col), "_crc": F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")).cast("long")})
-    nth = Window.partitionBy("_id", "_crc").orderBy(F.lit(0))
-    places = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")))
-    joined = keyed.withColumn("_nth", F.row_number().over(nth)).alias("a").join(places.select(F.col("doc_id").alias("_pid"), F.col("text_crc32").alias("_pcrc"), F.col("_nth").alias("_pnth"), "shard", "slot"), (F.col("_id").eqNullSafe(F.col("_pid"))) & (F.col("_crc") == F.col("_pcrc")) & (F.col("a._nth") == F.col("_pnth")))
-    out = joined.drop("_id", "_crc", "_nth", "_pid", "_pcrc", "_pnth")
+    mark, nth = free_name(docs, "mark"), free_name(docs, "nth")
+    crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")).cast("long")
+    keyed = docs.withColumn(mark, F.struct(F.col(id_col).cast("long").alias("id"), crc.alias("crc")))
+    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy(F.lit(0))))
+    places = placed.select(F.struct(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc")).alias(mark), "shard", "slot")
+    places = places.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy("shard", "slot")))
+    out = keyed.join(places, [mark, nth]).drop(mark, nth)
     out.repartitionByRange(max(n_shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return placed
