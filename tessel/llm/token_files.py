@@ -1,9 +1,11 @@
 """Token ids in a binary file format, compressed by Re-Pair grammars.
 
 Documents are range-partitioned by id; each partition is a shard, written as
-blobs of about ``BLOB`` tokens in id order. A blob's ids are compressed by
-Re-Pair: in each turn the most frequent neighbour pairs become nonterminals,
-until no pair is frequent enough. The blob stores the rules, each rule's
+one blob in id order (a shard of over ``BLOB`` tokens as several, which bounds
+memory). A blob's ids are compressed by Re-Pair: in each turn the most frequent
+neighbour pairs become nonterminals, until no pair occurs ``LEAST`` times or
+all names of 16-bit symbols are given. A turn gives a ``SHARE``-th of the names
+left, so that pairs of later turns, whose parts are rules, find names too. The blob stores the rules, each rule's
 expansion length, the remaining symbols, and the documents' ids and token
 counts; the lengths tell which symbols a document's tokens come from, so one
 document decodes without the others.
@@ -16,8 +18,8 @@ and read wherever Spark can. Integers are little-endian.
   lowest value for null | token counts: u32
 
 Tokens are those of the tokenizers library, which each distinct piece between
-single spaces is handed once: its pre-tokenizer never joins across such a
-space. Texts with longer runs of white space go to the library whole.
+single spaces is handed once: its pre-tokenizer never joins across a space that
+stands between two characters other than white space.
 
 Defined results: a null or empty text has the end id alone; rows that share an
 id follow each other in order of their texts, null ids come first; an empty
@@ -43,11 +45,13 @@ from tessel.llm.wordstore import WordStore, batches_of, gather
 
 END = 2
 #: Bytes of text in a shard, tokens in a blob.
-SHARD_BYTES, BLOB = 24 << 20, 1 << 22
-#: Re-Pair: turns, pairs replaced in a turn, least count of a pair.
-TURNS, PAIRS, LEAST = 6, 1024, 8
+SHARD_BYTES, BLOB = 8 << 20, 1 << 22
+#: Re-Pair: least count of a pair; share of the names left that a turn gives, and how many at least.
+LEAST, SHARE, TURN = 8, 4, 512
 NO_ID = -(1 << 63)
 _RUN = re.compile(r"\s \s|  |\x00")
+#: Where a text with runs of white space or NUL may be cut: before a space between two other characters.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def default_tokenizer() -> str:
@@ -79,7 +83,7 @@ class Tokens:
         if not text:
             return []
         if _RUN.search(text):
-            return [text]
+            return _CUT.split(text)
         return text.replace(" ", "\x00 ").split("\x00")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +105,26 @@ def _matches(hit: np.ndarray) -> np.ndarray:
     return at[(at - run) % 2 == 0]
 
 
-def re_pair(ids: np.ndarray, first: int, turns: int = TURNS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (left, right), the k-th for symbol ``first + k``, and the symbols left."""
+def re_pair(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (left, right), the k-th for symbol ``first + k``, and the symbols left.
+
+    Ends when no neighbour pair occurs ``least`` times, or all 16-bit names are given.
+    """
     seq, rules, shift = ids.astype(np.int64), [], np.uint64(42)
     slot = lambda code: ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
-    for _ in range(turns):
-        room = min(pairs, (1 << 16) - first - len(rules))
-        if len(seq) < 2 or room < 1:
+    while len(seq) > 1:
+        names_left = (1 << 16) - first - len(rules)
+        room = min(names_left, max(TURN, names_left // SHARE))
+        if room < 1:
             break
         code = (seq[:-1] << 20) | seq[1:]
         at = slot(code)
         counts = np.bincount(at, minlength=1 << 22)
-        bar = max(least, int(np.partition(counts, -room)[-room]))
-        often, n = np.unique(code[counts[at] >= bar], return_counts=True)
-        keep = np.flatnonzero(n >= least)
+        for bar in (max(least, int(np.partition(counts, -room)[-room])), least):  # pairs that share a slot may raise the bar
+            often, n = np.unique(code[counts[at] >= bar], return_counts=True)
+            keep = np.flatnonzero(n >= least)
+            if len(keep):
+                break
         keep = keep[np.argsort(-n[keep], kind="stable")][:room]
         if not len(keep):
             break

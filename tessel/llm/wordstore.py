@@ -2,8 +2,8 @@
 
 A text is cut where its tokenizer can never join, each distinct piece is
 encoded once and remembered, and a text's ids are gathered from the store.
-The store is emptied when it holds ``limit`` pieces, which bounds its memory
-and changes no result.
+The store is emptied when it holds ``limit`` pieces or ``limit_bytes`` of them
+and their ids, which bounds its memory and changes no result.
 """
 
 from __future__ import annotations
@@ -23,17 +23,18 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class WordStore:
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 300_000, limit_bytes: int = 64 << 20):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.flat, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts given as pieces, and each text's offsets into them."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.held > self.limit_bytes:
             self.clear()
         new = list(set().union(*texts) - self.index.keys())
         if new:
@@ -41,6 +42,7 @@ class WordStore:
             found = list(self.encode(new))
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+            self.held += sum(map(len, new)) + flat.nbytes
             starts = len(self.flat) + np.cumsum(lengths) - lengths
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.flat, self.starts, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
