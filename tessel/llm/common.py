@@ -8,7 +8,6 @@ columns of the input, whatever their names, never reach their plans.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,14 +45,17 @@ def free_name(df: DataFrame, stem: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (tests on one machine) is one made.
+    A session on one machine that names none (tests) gets one beside its
+    warehouse; on a cluster that is an error, as no folder is known to be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessel-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/tessel-{uuid.uuid4().hex}"
     _MADE.append((spark, path))
