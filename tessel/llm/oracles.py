@@ -64,4 +64,45 @@ SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, c
 FROM d LEFT JOIN s USING (r) LEFT JOIN k USING (r)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7}
+#: CRC-32 byte by byte, with its table made from the polynomial; order, cuts and slots by windows over all records.
+OP4 = r"""
+WITH t AS (SELECT list(v ORDER BY k) AS tab FROM (SELECT k, list_reduce([k::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(k))),
+ d AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, substr(md5(coalesce(text, '')), 1, 15) AS h,
+              xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+                              lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM documents, t),
+ o AS (SELECT *, coalesce(sum(size) OVER w, 0) AS before, count(*) OVER w AS nth, sum(size) OVER () AS total FROM d
+       WINDOW w AS (ORDER BY h, doc_id NULLS FIRST, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ s AS (SELECT *, least(((before * 2 + size) * 16) // greatest(1, 2 * total), 15)::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY nth) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+#: Exact similarity join of whole sets by counting shared shingles, then what can be reached.
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*)::BIGINT AS n FROM g GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+ c AS (SELECT a AS doc_id, min(b)::BIGINT AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+#: Every 100-byte string as hexadecimal digits, by first start; then what the later ones cover.
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ s AS (SELECT r, i, md5(substr(x, 2 * i + 1, 200)) AS t FROM (SELECT r, x, unnest(range(len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200)),
+ f AS (SELECT t, min(r * 1000000000 + i) AS first FROM s GROUP BY t HAVING count(*) > 1),
+ m AS (SELECT r, i FROM s JOIN f USING (t) WHERE r * 1000000000 + i > first),
+ b AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM m),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM b),
+ g AS (SELECT r, span, min(i) AS lo, max(i) + 100 AS hi FROM c GROUP BY r, span),
+ k AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before, lead(lo) OVER (PARTITION BY r ORDER BY lo) IS NULL AS final FROM g),
+ j AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+              string_agg(substr(x, 2 * before + 1, 2 * (lo - before)) || CASE WHEN final THEN substr(x, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) AS kept FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN j USING (r)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op4_sharding": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_repeats": OP9}
