@@ -44,6 +44,8 @@ PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Shingles hashed at once.
 BLOCK = 1 << 15
+#: Groups that a hub's pairs are dealt to.
+SALTS = 64
 #: Passes of pivots before what is still apart is joined by rare shingles.
 PIVOTS = 2
 _RNG = np.random.default_rng(8)
@@ -118,22 +120,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold, in hundredths."""
+    """The pairs (hub, leaf) whose full sets reach the threshold, in hundredths, as links (a, b).
+
+    Pairs travel as ids until they meet their leaf's set. A hub's pairs are
+    dealt to ``SALTS`` groups by their leaves and its set goes once to each
+    group in use, so a hub that half the corpus was made from is spread.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            keep, held, x = [], None, None
+            for hub, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if hub != held:  # rows of one hub follow each other
+                    held, x = hub, np.frombuffer(a.as_buffer(), np.uint64)
+                y = np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    dealt = stash(pairs.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)).cast("int").alias("salt")))
+    leaves = sets.select(F.col("id").alias("leaf"), F.col("set").alias("set_b"))
+    hubs = sets.select(F.col("id").alias("hub"), F.col("set").alias("set_a"))
+    spread = dealt.select("hub", "salt").distinct().hint("merge").join(hubs, "hub")
     # sets stay where their ids hash to, at every size; a broadcast of few pairs would change that with the input
-    held = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "set_a", "set_b")
-    return held.mapInArrow(run, "a long, b long")
+    held = dealt.hint("merge").join(leaves, "leaf").hint("merge").join(spread, ["hub", "salt"]).select("hub", "leaf", "set_a", "set_b")
+    links = held.mapInArrow(run, "hub long, leaf long")
+    return links.select(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,7 +166,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(ids: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) among ``ids`` (id, n, component) that could be links, by prefix filtering.
+    """Pairs (hub, leaf) among ``ids`` (id, n, component) that could be links, by prefix filtering.
 
     With shingles ordered from rare to common, the first one that two sets
     over the threshold share stands early in both: its places leave room for
@@ -177,7 +189,7 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     room = 1 + F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("at_b")) >= up(both * (F.col("n") + F.col("nb")))
     sized = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("id") < F.col("b")))
     met = small.join(large, (small.shingle == large.shingle) & sized & room & (F.col("component") != F.col("cb")))
-    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    return met.select(F.col("b").alias("hub"), F.col("id").alias("leaf")).distinct()
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +215,7 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         pivots = stash(fresh.groupBy("key").agg(F.max(F.struct("weight", "id", "n", "component")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("ca")))
         met = apart.join(pivots, "key").filter((F.col("id") != F.col("a")) & (F.col("component") != F.col("ca")))
         close = 100 * F.least("n", "na") >= threshold * F.greatest("n", "na")
-        pairs = met.filter(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        pairs = met.filter(close).select(F.col("a").alias("hub"), F.col("id").alias("leaf")).distinct()
         found = stash(confirmed(pairs, sets, threshold))
         links = found if links is None else links.unionByName(found)
         used = pivots.select("key", F.col("a").alias("id"))

@@ -14,7 +14,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+#: Bytes hashed at once: ten arrays of 64-bit values of this length are held.
+PIECE = 1 << 18
 _RNG = np.random.default_rng(20240607)
 _VALUE = _RNG.integers(1, 1 << 64, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
