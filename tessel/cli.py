@@ -30,8 +30,9 @@ def parser() -> argparse.ArgumentParser:
     arg = lambda *a, **k: (a, k)
     limit, query = arg("--limit", type=int, default=10), arg("query")
     add("scan", arg("folder"), arg("--include", action="append"), arg("--exclude", action="append", default=[]), arg("--force", action="store_true"))
-    s = add("search", query, limit, arg("--mode", choices=("text", "semantic", "hybrid", "unified"), default="hybrid"), arg("--scope", default="all"), arg("--offset", type=int, default=0), arg("--weights", type=float, nargs=2, default=(0.4, 0.6)), arg("--preset"))
+    s = add("search", query, limit, arg("--mode", choices=("text", "semantic", "hybrid", "unified")), arg("--scope", default="all"), arg("--offset", type=int, default=0), arg("--weights", type=float, nargs=2), arg("--preset"))
     s.add_argument("--tag", action="append", default=[])
+    s.add_argument("--meta", action="append", default=[], metavar="PATH=JSON")
     add("transcripts", arg("folder"), arg("--kind", default="audio"))
     add("video", arg("file"))
     add("import", arg("file"))
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     add("neighbours", arg("unit_id"), arg("--count", type=int, default=1))
     add("files", arg("--page", type=int, default=1), arg("--size", type=int, default=50))
     add("facets", arg("--namespace"), arg("--metadata", action="store_true"))
-    for name in ("status", "storage", "check", "rollback", "vacuum", "rebuild-vectors"):
+    for name in ("status", "storage", "check", "inspect", "rollback", "vacuum", "rebuild-vectors", "rebuild-fts"):
         add(name)
     return p
 
@@ -48,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     from tessel.plans.catalog import violations
     from tessel.plans.engine import Engine, HashEmbedder
-    from tessel.plans.requests import SCOPES, MetadataFilter
+    from tessel.plans.requests import SCOPES, MetadataFilter, filters_from_text
 
     e = Engine(spark, a.root, HashEmbedder(a.dims))
     c = a.command
@@ -57,13 +58,23 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if c == "search":
         if a.scope not in SCOPES:
             return failed("unknown_scope", a.scope)
+        mode = a.mode or ("hybrid" if not a.preset else None)
+        # an option that a mode has no use for is an error, not dropped
+        if a.offset and (mode != "text" or a.preset):
+            return failed("unusable_option", "--offset needs --mode text")
+        if a.weights and (mode != "hybrid" or a.preset):
+            return failed("unusable_option", "--weights needs --mode hybrid")
+        if a.preset and mode == "unified":
+            return failed("unusable_option", "--preset has modes text, semantic and hybrid")
+        filters = (*filters_from_text(a.meta, [], {r.namespace for r in e.metadata_facets().select("namespace").collect()} if a.meta else set()), *(MetadataFilter("tags", t) for t in a.tag))
         if a.preset:
-            return ok(rows(e.search_media(a.query, a.preset, a.limit).rows))
-        if a.mode == "text":
-            return ok(rows(e.search_text(a.query, a.limit, a.offset, a.scope, tuple(MetadataFilter("tags", t) for t in a.tag))))
-        if a.mode == "semantic":
-            return ok(rows(e.search_semantic(a.query, a.limit, a.scope)))
-        r = e.search_hybrid(a.query, a.limit, tuple(a.weights), a.scope) if a.mode == "hybrid" else e.search_unified(a.query, a.limit, a.scope)
+            r = e.search_media(a.query, a.preset, a.limit, a.scope, mode, filters)
+            return ok(rows(r.rows), degradations=r.degradations)
+        if mode == "text":
+            return ok(rows(e.search_text(a.query, a.limit, a.offset, a.scope, filters)))
+        if mode == "semantic":
+            return ok(rows(e.search_semantic(a.query, a.limit, a.scope, filters)))
+        r = e.search_hybrid(a.query, a.limit, tuple(a.weights or (0.4, 0.6)), a.scope, filters) if mode == "hybrid" else e.search_unified(a.query, a.limit, a.scope, filters)
         return ok(rows(r.rows), degradations=r.degradations)
     if c == "transcripts":
         return ok(e.ingest_transcripts(a.folder, a.kind))
@@ -88,7 +99,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         return ok(rows(e.neighbours(a.unit_id, a.count)))
     if c == "check":
         return ok(rows(violations(e.catalog)))
-    return ok({"status": lambda: rows(e.status()), "storage": lambda: rows(e.analyze_storage()), "rollback": e.rollback, "vacuum": e.store.vacuum, "rebuild-vectors": e.rebuild_vectors}[c]())
+    return ok({"status": lambda: rows(e.status()), "storage": lambda: rows(e.analyze_storage()), "inspect": lambda: rows(e.inspect()), "rebuild-fts": e.rebuild_index, "rollback": e.rollback, "vacuum": e.store.vacuum, "rebuild-vectors": e.rebuild_vectors}[c]())
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -30,14 +30,16 @@ def space(spark, space_id: str, dims: int, metric: str = "cosine", fingerprint:
 
 
 def document_graph(files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, space_frame: DataFrame | None = None, namespace: str = "vault") -> Catalog:
-    """Files (relative_path, title, source_hash, facets?) and their chunks as documents.
+    """Files (relative_path, title, source_hash, facets?, resource_id?) and their chunks as documents.
+
+    A file that was renamed brings the id that it had; others get one from their path.
 
     Each has a text representation with a unit per chunk, a metadata unit with
     its title, and a whole-resource unit whose vector is the mean of its chunks'.
     """
     spark = files.sparkSession
     rid = T.logical_id("document", F.lit(namespace), F.col("relative_path"))
-    docs = files.withColumn("resource_id", rid)
+    docs = files.withColumn("resource_id", F.coalesce("resource_id", rid) if "resource_id" in files.columns else rid)
     path = locator("source_file", relative_path=F.col("relative_path"))
     resources = docs.select("resource_id", F.lit("document").alias("resource_kind"), F.lit("text/markdown").alias("media_type"), F.lit(namespace).alias("source_namespace"), path.alias("locator"), F.col("source_hash").alias("content_hash"), "title")
     rep = lambda kind: F.concat_ws(":", "resource_id", F.lit(kind))
@@ -51,7 +53,7 @@ def document_graph(files: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
     cid = T.logical_id("chunk", F.col("resource_id"), F.col("chunk_index"), F.sha2("text", 256))
     where = locator("source_span", end_line=F.col("end_line"), relative_path=F.col("relative_path"), start_line=F.col("start_line"))
     units = [
-        held.select(cid.alias("unit_id"), "resource_id", rep("text").alias("representation_id"), F.lit("text_chunk").alias("unit_kind"), F.lit("text").alias("modality"), "text", where.alias("locator"), F.col("chunk_index").alias("ordinal"), F.col("chunk_index").cast("long").alias("fts_seq")),
+        held.select(cid.alias("unit_id"), "resource_id", rep("text").alias("representation_id"), F.lit("text_chunk").alias("unit_kind"), F.lit("text").alias("modality"), "text", where.alias("locator"), F.col("chunk_index").alias("ordinal"), F.lit(None).cast("long").alias("fts_seq")),
         titled.select(rep("meta:0").alias("unit_id"), "resource_id", rep("meta").alias("representation_id"), F.lit("whole_resource").alias("unit_kind"), F.lit("text").alias("modality"), F.col("title").alias("text"), F.lit(0).alias("ordinal")),
     ]
     vecs, spaces = [], []
@@ -67,6 +69,37 @@ def document_graph(files: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
     return catalog_of(spark, resources=[resources], representations=reps, units=units, vectors=vecs, spaces=spaces, facets=facets)
 
 
+#: A whole text of up to so many tokens gets a vector of its own; a longer one the mean of its parts'.
+DIRECT_TOKENS = 8_000
+
+
+def with_vectors(c: Catalog, embed, space_frame: DataFrame, direct_tokens: int = DIRECT_TOKENS) -> Catalog:
+    """A graph of transcripts, frames or images with a vector for each unit with text, and one for each resource.
+
+    Resources without a whole-resource unit get one: with the text of their
+    representation and its own vector where that has up to ``direct_tokens``
+    tokens, else with the mean of the units' vectors, weighted by tokens. A
+    mean without a direction is left out.
+    """
+    spark = c.units.sparkSession
+    sid = space_frame.select("space_id").first()[0]
+    texts = c.units.filter(F.trim("text") != "")
+    each = embed(texts.select("unit_id", "text"))
+    lacking = c.resources.select("resource_id").join(c.units.filter("unit_kind = 'whole_resource'").select("resource_id"), "resource_id", "left_anti")
+    uid, rep = F.concat_ws(":", "resource_id", F.lit("whole:0")), F.concat_ws(":", "resource_id", F.lit("whole"))
+    ordered = F.array_sort(F.collect_list(F.struct("representation_id", "ordinal", "text")))
+    wholes = texts.join(lacking, "resource_id", "left_semi").groupBy("resource_id").agg(F.array_join(F.transform(ordered, lambda u: u["text"]), "\n\n").alias("text"), F.sum(T.count_words(F.col("text"))).alias("n"))
+    short = wholes.filter(F.col("n") <= direct_tokens).select(uid.alias("unit_id"), "resource_id", "text")
+    parts = texts.join(wholes.filter(F.col("n") > direct_tokens).select("resource_id"), "resource_id", "left_semi").select("unit_id", "resource_id", T.count_words(F.col("text")).alias("n_words"))
+    means = weighted_centroids(parts.join(each, "unit_id"), "resource_id", "unit_id", "vector", "n_words", True).filter("centroid IS NOT NULL")
+    made = short.select("unit_id", "resource_id", "text", F.lit("direct").alias("how")).unionByName(means.select(uid.alias("unit_id"), "resource_id", F.lit(None).cast("string").alias("text"), F.lit("centroid").alias("how")))
+    units = made.select("unit_id", "resource_id", rep.alias("representation_id"), F.lit("whole_resource").alias("unit_kind"), F.lit("text").alias("modality"), "text", F.lit(0).alias("ordinal"), F.to_json(F.struct(F.col("how").alias("aggregation"))).alias("metadata_json"))
+    reps = made.select(rep.alias("representation_id"), "resource_id", F.lit("whole_resource_text").alias("representation_kind"), F.lit("text").alias("modality"))
+    vecs = [each, embed(short.select("unit_id", "text")), means.select(uid.alias("unit_id"), F.col("centroid").alias("vector"))]
+    new = catalog_of(spark, representations=[reps], units=[units], spaces=[space_frame], vectors=[v.select("unit_id", F.lit(sid).alias("space_id"), "vector") for v in vecs])
+    return Catalog(**{t: f.unionByName(getattr(new, t)) for t, f in c.tables().items()})
+
+
 def transcript_graph(passages: DataFrame, kind: str = "audio", media_type: str = "audio/mpeg", namespace: str = "media") -> Catalog:
     """Passages as time segments of audio or video resources."""
     spark = passages.sparkSession
@@ -77,7 +110,7 @@ def transcript_graph(passages: DataFrame, kind: str = "audio", media_type: str =
     reps = wholes.select(rep.alias("representation_id"), "resource_id", F.lit("timed_passage").alias("representation_kind"), F.lit("text").alias("modality"), "text", "token_count")
     uid = T.logical_id("passage", F.col("resource_id"), F.col("ordinal"), F.sha2("text", 256))
     where = locator("time_segment", end_ms=F.col("end_ms"), start_ms=F.col("start_ms"))
-    units = passages.select(uid.alias("unit_id"), "resource_id", rep.alias("representation_id"), F.lit("time_segment").alias("unit_kind"), F.lit("text").alias("modality"), "text", where.alias("locator"), "ordinal", F.col("ordinal").cast("long").alias("fts_seq"), "start_ms", "end_ms")
+    units = passages.select(uid.alias("unit_id"), "resource_id", rep.alias("representation_id"), F.lit("time_segment").alias("unit_kind"), F.lit("text").alias("modality"), "text", where.alias("locator"), "ordinal", F.lit(None).cast("long").alias("fts_seq"), "start_ms", "end_ms")
     return catalog_of(spark, resources=[resources], representations=[reps], units=[units])
 
 
@@ -88,7 +121,7 @@ def frame_graph(frames: DataFrame, namespace: str = "media") -> Catalog:
     ids = frames.groupBy("resource_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", "timestamp_ms", "caption"))), "\n"), 256).alias("content_hash"))
     resources = ids.select("resource_id", F.lit("video").alias("resource_kind"), F.lit("video/mp4").alias("media_type"), F.lit(namespace).alias("source_namespace"), "content_hash")
     reps = ids.select(rep.alias("representation_id"), "resource_id", F.lit("frame_caption").alias("representation_kind"), F.lit("text").alias("modality"))
-    units = frames.select(F.concat_ws(":", "resource_id", "frame_id").alias("unit_id"), "resource_id", rep.alias("representation_id"), F.lit("frame").alias("unit_kind"), F.lit("text").alias("modality"), F.col("caption").alias("text"), locator("video_frame", timestamp_ms=F.col("timestamp_ms")).alias("locator"), "ordinal", F.col("ordinal").cast("long").alias("fts_seq"), "timestamp_ms", "metadata_json")
+    units = frames.select(F.concat_ws(":", "resource_id", "frame_id").alias("unit_id"), "resource_id", rep.alias("representation_id"), F.lit("frame").alias("unit_kind"), F.lit("text").alias("modality"), F.col("caption").alias("text"), locator("video_frame", timestamp_ms=F.col("timestamp_ms")).alias("locator"), "ordinal", F.lit(None).cast("long").alias("fts_seq"), "timestamp_ms", "metadata_json")
     return catalog_of(spark, resources=[resources], representations=[reps], units=[units])
 
 
@@ -110,5 +143,5 @@ def image_graph(images: DataFrame, namespace: str = "images") -> Catalog:
     every = texts.unionByName(whole)
     resources = images.select("resource_id", F.lit("image").alias("resource_kind"), "media_type", F.lit(namespace).alias("source_namespace"), "content_hash")
     reps = every.select(rep.alias("representation_id"), "resource_id", F.col("kind").alias("representation_kind"), F.lit("text").alias("modality"), "text", T.count_words(F.col("text")).cast("int").alias("token_count"))
-    units = every.select(F.concat_ws(":", rep, F.lit("0")).alias("unit_id"), "resource_id", rep.alias("representation_id"), F.lit("whole_resource").alias("unit_kind"), F.lit("text").alias("modality"), "text", F.lit(0).alias("ordinal"), F.lit(0).cast("long").alias("fts_seq"))
+    units = every.select(F.concat_ws(":", rep, F.lit("0")).alias("unit_id"), "resource_id", rep.alias("representation_id"), F.lit("whole_resource").alias("unit_kind"), F.lit("text").alias("modality"), "text", F.lit(0).alias("ordinal"), F.lit(None).cast("long").alias("fts_seq"))
     return catalog_of(spark, resources=[resources], representations=[reps], units=[units])

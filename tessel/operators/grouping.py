@@ -48,11 +48,11 @@ class Policy:
             raise ValueError("a strong pause is no shorter than a medium one")
 
 
-#: Three policies to compare.
+# The three policies that are compared; B is the usual one.
 VARIANTS = {
-    "A": Policy(),
-    "B": Policy(soft_min_tokens=90, target_tokens=160, soft_max_tokens=240, hard_max_tokens=400, soft_min_ms=10_000, target_ms=30_000, soft_max_ms=45_000, hard_max_ms=60_000),
-    "C": Policy(soft_min_tokens=300, target_tokens=500, soft_max_tokens=700, hard_max_tokens=1_000, soft_min_ms=30_000, target_ms=90_000, soft_max_ms=150_000, hard_max_ms=200_000),
+    "A": Policy(soft_min_tokens=128, target_tokens=256, soft_max_tokens=384, hard_max_tokens=512, soft_min_ms=20_000, target_ms=45_000, soft_max_ms=67_500, hard_max_ms=90_000),
+    "B": Policy(),
+    "C": Policy(soft_min_tokens=180, target_tokens=480, soft_max_tokens=720, hard_max_tokens=1_000, soft_min_ms=20_000, target_ms=90_000, soft_max_ms=120_000, hard_max_ms=120_000),
 }
 
 

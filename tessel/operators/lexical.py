@@ -147,7 +147,10 @@ class Parser:
         return Phrase(tuple(parts), prefix, first, column)
 
 
-_OPERATORS = re.compile(r'["()*]|\b(?:AND|OR|NOT|NEAR)\b|\w+:', re.IGNORECASE)
+def _meant_as_expression(query: str) -> bool:
+    """Whether a text that does not parse has signs or words of the grammar, in any case of letters."""
+    words = {w.upper() for w in re.findall(r"\w+", query)}
+    return bool(set('"()*') & set(query) or words & {"AND", "OR", "NOT", "NEAR"} or any(w and (w[-1].isalnum() or w[-1] == "_") for w in query.split(":")[:-1]))
 
 
 def parse_query(query: str, columns: tuple[str, ...] = ("text",)):
@@ -155,7 +158,7 @@ def parse_query(query: str, columns: tuple[str, ...] = ("text",)):
     try:
         return Parser(query, columns).parse()
     except QuerySyntaxError:
-        if _OPERATORS.search(query):
+        if _meant_as_expression(query):
             raise
         return Phrase(tuple(T.tokens_of(query)))
 
@@ -251,26 +254,101 @@ def weight(tf: Column, length: Column, average: Column) -> Column:
 
 @dataclass
 class Index:
-    """Terms of units: postings bucketed by term, and one row of statistics."""
+    """Terms of units: postings by term, one row of statistics, and the length of each unit with text."""
 
     postings: DataFrame
     stats: DataFrame
+    lengths: DataFrame | None = None
+
+
+def postings_of(units: DataFrame) -> DataFrame:
+    """term, unit_id, tf, positions of units with text."""
+    held = units.filter(F.trim("text") != "").select("unit_id", F.posexplode(T.tokens(F.col("text"))).alias("at", "term"))
+    return held.groupBy("term", "unit_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+
+
+def lengths_of(units: DataFrame) -> DataFrame:
+    """unit_id, dl of units with text."""
+    return units.filter(F.trim("text") != "").select("unit_id", F.size(T.tokens(F.col("text"))).alias("dl"))
+
+
+def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
+    return Index(postings, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len")), lengths)
 
 
 def build_index(units: DataFrame) -> Index:
-    """postings (term, unit_id, tf, positions) and stats (n_docs, total_len) of units with text."""
-    held = units.filter(F.trim("text") != "").select("unit_id", T.tokens(F.col("text")).alias("tokens"))
-    each = held.select("unit_id", F.posexplode("tokens").alias("at", "term"))
-    postings = each.groupBy("term", "unit_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    return Index(postings, held.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("tokens")).alias("total_len")))
+    """postings (term, unit_id, tf, positions), stats (n_docs, total_len) and lengths (unit_id, dl) of units with text."""
+    return index_of(postings_of(units), lengths_of(units))
+
+
+def _has_near(node) -> bool:
+    return isinstance(node, Near) or (isinstance(node, Bool) and (_has_near(node.left) or _has_near(node.right)))
+
+
+def answers(index: Index | None, query: str) -> bool:
+    """Whether postings alone can answer: every query but those with NEAR or with a phrase of no token."""
+    node = parse_query(query)
+    return index is not None and index.lengths is not None and not _has_near(node) and all(p.tokens for p in phrases_of(node))
+
+
+def indexed_bm25(index: Index, query: str) -> DataFrame:
+    """unit_id, bm25 of the units that match, from postings of the query's terms and units' lengths; no text is read.
+
+    Terms reach the postings' scan as filters, prefixes as ranges; a phrase is
+    counted where its tokens' positions follow each other.
+    """
+    node = parse_query(query)
+    phrases = phrases_of(node)
+    slots, wanted = {}, F.lit(False)
+    for p in phrases:
+        for k, t in enumerate(p.tokens):
+            prefix = p.prefix and k == len(p.tokens) - 1
+            slots[t, prefix] = F.col("term").startswith(t) if prefix else F.col("term") == t
+    for cond in slots.values():
+        wanted = wanted | cond
+    names = {key: f"_at{i}" for i, key in enumerate(slots)}
+    none = F.array().cast("array<int>")
+    held = index.postings.filter(wanted).groupBy("unit_id").agg(*(F.flatten(F.collect_list(F.when(cond, F.col("positions")))).alias(names[key]) for key, cond in slots.items()))
+
+    def earlier(at: Column, k: int) -> Column:
+        return F.transform(F.coalesce(at, none), lambda x: x - k)
+
+    def count(p: Phrase) -> Column:
+        at = none
+        for k, t in enumerate(p.tokens):
+            here = earlier(F.col(names[t, p.prefix and k == len(p.tokens) - 1]), k)
+            at = here if k == 0 else F.array_intersect(at, here)
+        return F.size(F.filter(at, lambda x: x == 0) if p.first else at)
+
+    counted = held.select("unit_id", *(count(p).alias(f"_tf{i}") for i, p in enumerate(phrases)))
+    having = counted.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))))
+    stats = index.stats.select(F.col("n_docs").alias("_n"), (F.col("total_len") / F.col("n_docs")).alias("_avg"))
+    number = iter(range(len(phrases)))
+
+    def fits(node) -> Column:
+        if isinstance(node, Phrase):
+            return F.col(f"_tf{next(number)}") > 0
+        left = fits(node.left)
+        right = fits(node.right)
+        return {"and": left & right, "or": left | right, "not": left & ~right}[node.op]
+
+    score = F.lit(0.0)
+    # both sides are one row
+    scored = counted.filter(fits(node)).join(index.lengths, "unit_id").join(F.broadcast(stats)).join(F.broadcast(having))
+    for i in range(len(phrases)):
+        score = score + idf(F.col("_n"), F.col(f"_df{i}")) * weight(F.col(f"_tf{i}"), F.col("dl"), F.col("_avg"))
+    return scored.select("unit_id", score.alias("bm25"))
 
 
 def write_index(index: Index, table: str, buckets: int) -> Index:
-    """The index in tables ``<table>_postings`` (bucketed and sorted by term) and ``<table>_stats``."""
+    """The index in tables ``<table>_postings`` (bucketed and sorted by term), ``<table>_stats`` and ``<table>_lengths``."""
     spark = index.postings.sparkSession
     index.postings.repartition(buckets, "term").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{table}_postings")
     index.stats.write.mode("overwrite").saveAsTable(f"{table}_stats")
-    return Index(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"))
+    if index.lengths is None:
+        return Index(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"))
+    index.lengths.write.mode("overwrite").saveAsTable(f"{table}_lengths")
+    return Index(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"), spark.table(f"{table}_lengths"))
 
 
 def bm25(units: DataFrame, query: str, columns: tuple[str, ...] = ("text",), index: Index | None = None) -> DataFrame:
@@ -304,8 +382,11 @@ def search_lexical(units: DataFrame, scoped: DataFrame, query: str, limit: int,
 
     Ties go by insertion order (``fts_seq``), or by unit id with ``by_unit``.
     """
-    ranked = bm25(units.select("unit_id", "text", "fts_seq"), query, index=index)
-    inside = ranked.join(scoped.select("unit_id", "resource_id"), "unit_id")
+    if answers(index, query):
+        inside = indexed_bm25(index, query).join(scoped.select("unit_id", "resource_id", "fts_seq"), "unit_id")
+    else:
+        ranked = bm25(units.select("unit_id", "text", "fts_seq"), query, index=index)
+        inside = ranked.join(scoped.select("unit_id", "resource_id"), "unit_id")
     return top(inside.withColumn("score", F.round("bm25", 9)), ["unit_id"] if by_unit else ["fts_seq", "unit_id"], limit)
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions import vectors as V
 from tessel.operators import fusion, lexical, vector
 from tessel.operators.lexical import Index
 from tessel.operators.scope import apply_scope
@@ -92,22 +91,42 @@ def search_hybrid(c: Catalog, query: str, space_id: str, vec: tuple[float, ...],
     return search(c, Request(tuple(branches), scope, target, limit), index)
 
 
-#: Weights of transcript, frame and metadata branches (lexical, vector) by preset.
+# What a preset's transcripts, frame captions and metadata weigh, and how the first two are split.
 PRESETS: dict[str, dict[str, float]] = {
-    "speech_first": {"transcript": 0.7, "frame": 0.2, "metadata": 0.1},
-    "balanced": {"transcript": 0.45, "frame": 0.45, "metadata": 0.1},
-    "frames_first": {"transcript": 0.2, "frame": 0.7, "metadata": 0.1},
+    "speech_first": {"transcript": 1.0, "frame_caption": 0.35, "metadata": 0.15},
+    "balanced": {"transcript": 1.0, "frame_caption": 1.0, "metadata": 0.20},
+    "frames_first": {"transcript": 0.6, "frame_caption": 1.0, "metadata": 0.15},
 }
+LEXICAL_SHARE, SEMANTIC_SHARE = 0.4, 0.6
+#: What a preset's branches look at.
+SIGNALS = {
+    "transcript": Override(representation_kinds=("timed_passage",), unit_kinds=("time_segment",)),
+    "frame_caption": Override(representation_kinds=("frame_caption",), unit_kinds=("frame",)),
+    "metadata": Override(representation_kinds=("metadata_text",), unit_kinds=("whole_resource",)),
+}
+MODES = ("text", "semantic", "hybrid")
 
 
-def preset_request(preset: str, query: str, space_id: str | None, vec: tuple[float, ...] | None, limit: int = 10, scope: Scope | None = None) -> Request:
-    """Three lexical and two vector branches over transcripts, frames and metadata."""
-    shares, most = PRESETS[preset], max(100, 10 * limit)
-    kinds = {"transcript": Override(representation_kinds=("timed_passage",)), "frame": Override(representation_kinds=("frame_caption",)), "metadata": Override(representation_kinds=("metadata_text",))}
-    branches: list = [Lexical(f"{k}_lexical", query, round(w * (0.4 if k != "metadata" else 1.0), 12), most, kinds[k]) for k, w in shares.items()]
-    if space_id and vec:
-        branches += [Vector(f"{k}_semantic", space_id, vec, round(w * 0.6, 12), most, kinds[k]) for k, w in shares.items() if k != "metadata"]
-    return Request(tuple(branches), scope or Scope(), "resource", limit)
+def preset_request(preset: str, query: str, space_id: str | None, vec: tuple[float, ...] | None, limit: int = 10, scope: Scope | None = None, mode: str | None = None, rrf_k: int = 60) -> Request:
+    """Up to three lexical and two vector branches over transcripts, frame captions and metadata.
+
+    ``mode`` is hybrid where there is a vector and text where there is none, if not given.
+    """
+    if preset not in PRESETS:
+        raise ValueError(f"preset must be one of {', '.join(PRESETS)}")
+    mode = mode or ("hybrid" if space_id and vec else "text")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if mode != "text" and not (space_id and vec):
+        raise ValueError("semantic branches need a space and a vector")
+    most, branches = max(100, 10 * limit), []
+    for name, weight in PRESETS[preset].items():
+        if mode != "semantic":
+            branches.append(Lexical(f"{name}_text", query, weight if name == "metadata" else round(weight * LEXICAL_SHARE, 12), most, SIGNALS[name]))
+    for name, weight in PRESETS[preset].items():
+        if mode != "text" and name != "metadata":
+            branches.append(Vector(f"{name}_semantic", space_id, vec, round(weight * SEMANTIC_SHARE, 12), most, SIGNALS[name]))
+    return Request(tuple(branches), scope or Scope(), "resource", limit, rrf_k)
 
 
 def search_unified(c: Catalog, query: str, vectors_by_space: dict[str, tuple[float, ...]], limit: int = 10, scope: Scope | None = None, index: Index | None = None) -> Result:
@@ -121,6 +140,7 @@ def search_unified(c: Catalog, query: str, vectors_by_space: dict[str, tuple[flo
 
 
 def search_transcripts(c: Catalog, query: str, space_id: str | None = None, vec: tuple[float, ...] | None = None, limit: int = 10, target: str = "unit", weights: tuple[float, float] = (0.4, 0.6), scope: Scope | None = None) -> Result:
+    """Passages of audio and video, by unit or resource; nothing where the scope excludes them."""
     inside = timed_scope(scope or Scope())
     most = max(10 * limit, 100)
     branches: list = [Lexical("lexical", query, weights[0], most)]
@@ -160,39 +180,55 @@ def similar(c: Catalog, resource_id: str, space_id: str, limit: int = 10, aggreg
     return found.withColumn("score_kind", F.lit("adapter_raw"))
 
 
-def all_similar(vectors_: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, unit_id, score, rank: nearest others of a stated set of queries by cosine.
-
-    The queries are cut into blocks that every partition of the vectors meets
-    as arrays; each partition keeps its best per query before any shuffle.
-    """
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """(unit_id, vector) rows as blocks (ids, matrix) of up to ``size`` unit vectors; rows without a direction are left out."""
     import numpy as np
     import pyarrow as pa
 
-    spark = vectors_.sparkSession
-    rows = queries.select("unit_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()  # the stated queries
-    names = np.array(rows.column(0).to_pylist(), dtype=object)
-    q = np.array(rows.column(1).to_pylist(), dtype=np.float64).reshape(len(names), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
     def run(batches):
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            v = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            for lo in range(0, len(names), 256):
-                s = np.round(q[lo : lo + 256] @ v.T, 9)
-                for i, row in enumerate(s):
-                    row = np.where(ids == names[lo + i], -np.inf, row)
-                    cut = np.partition(-row, min(limit, len(row)) - 1)[min(limit, len(row)) - 1]
-                    keep = np.flatnonzero((-row <= cut) & np.isfinite(row))
-                    yield pa.RecordBatch.from_arrays([pa.array([names[lo + i]] * len(keep), pa.string()), pa.array(ids[keep], pa.string()), pa.array(row[keep])], ["query_id", "unit_id", "score"])
+            for lo in range(0, len(batch), size):
+                part = batch.slice(lo, size)
+                v = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(part), -1)
+                n = np.linalg.norm(v, axis=1)
+                keep = np.flatnonzero(n > 0)
+                if len(keep):
+                    unit = v[keep] / n[keep, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).take(pa.array(keep)).to_pylist()]), pa.array([unit.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return rows.select("unit_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL").mapInArrow(run, "ids array<string>, matrix binary")
 
+
+def all_similar(vectors_: DataFrame, queries: DataFrame, limit: int, own: bool = False, ties: bool = False) -> DataFrame:
+    """query_id, unit_id, score, rank: nearest of a stated set of queries by cosine, without themselves unless ``own``.
+
+    With ``ties``, all that score like the last one stay, and share its rank.
+
+    Queries and vectors are cut into blocks; each pair of blocks is one matrix
+    product that keeps the best per query, so memory is bounded by two blocks
+    however many queries are stated, and what is shuffled by the best of a pair.
+    """
+    import numpy as np
+    import pyarrow as pa
     from pyspark.sql import Window
 
-    near = vectors_.select("unit_id", F.col("vector").cast("array<double>")).filter(V.norm(F.col("vector")) > 0).mapInArrow(run, "query_id string, unit_id string, score double")
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                asked, ids = np.array(batch.column(0)[i].as_py(), dtype=object), np.array(batch.column(2)[i].as_py(), dtype=object)
+                q = np.frombuffer(batch.column(1)[i].as_buffer(), np.float64).reshape(len(asked), -1)
+                s = np.round(q @ np.frombuffer(batch.column(3)[i].as_buffer(), np.float64).reshape(len(ids), -1).T, 9)
+                if not own:
+                    s[asked[:, None] == ids[None, :]] = -np.inf
+                cut = -np.partition(-s, min(limit, len(ids)) - 1, axis=1)[:, min(limit, len(ids)) - 1]
+                row, at = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row], pa.string()), pa.array(ids[at], pa.string()), pa.array(s[row, at])], ["query_id", "unit_id", "score"])
+
+    asked = _packed(queries, 256).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    near = asked.crossJoin(_packed(vectors_, 4096)).mapInArrow(run, "query_id string, unit_id string, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "unit_id")
-    del spark
+    if ties:
+        return near.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("rank") <= limit)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 

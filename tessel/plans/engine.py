@@ -5,43 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.functions.vectors import hash_vector
+from tessel.functions import text as T
 from tessel.operators import chunking, facets, graphs, grouping, incremental, search
 from tessel.plans.catalog import Catalog
-from tessel.plans.requests import SCOPES, Scope, compile_filters
+from tessel.plans.ports import Embedder, HashEmbedder, checked
+from tessel.plans.requests import SCOPES, Scope, compile_filters, similarity_scope
 from tessel.plans.store import Store
 from tessel.sources import frames as frame_source
 from tessel.sources import manifest, markdown, transcripts
 
-
-class HashEmbedder:
-    """The deterministic embedder of tests, as columns and for one query."""
-
-    def __init__(self, dims: int = 128):
-        self.dims, self.space_id = dims, f"hash-{dims}"
-
-    def space(self, spark: SparkSession) -> DataFrame:
-        return graphs.space(spark, self.space_id, self.dims)
-
-    def units(self, rows: DataFrame) -> DataFrame:
-        """(unit_id, text) to (unit_id, vector)."""
-        return rows.select("unit_id", hash_vector(F.col("text"), self.dims).cast("array<float>").alias("vector"))
-
-    def query(self, text: str) -> tuple[float, ...]:
-        import hashlib
-        import math
-
-        d = hashlib.sha256(text.encode()).digest()
-        raw = [((d[i % 32] * (i + 1)) % 256) / 127.5 - 1 for i in range(self.dims)]
-        size = math.sqrt(sum(x * x for x in raw)) or 1.0
-        return tuple(x / size for x in raw)
+__all__ = ["Engine", "HashEmbedder"]
 
 
 class Engine:
     """Searches read the store's current snapshot; every ingest is one new snapshot."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: HashEmbedder | None = None, config: chunking.Config | None = None):
-        self.spark, self.store, self.embedder, self.config = spark, Store(spark, root), embedder, config
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, config: chunking.Config | None = None):
+        self.spark, self.store, self.embedder, self.config = spark, Store(spark, root), checked(embedder), config
 
     @property
     def catalog(self) -> Catalog:
@@ -56,31 +36,41 @@ class Engine:
         path = F.get_json_object("locator.payload_json", "$.relative_path")
         stored = old.resources.filter((F.col("source_namespace") == namespace) & (F.col("locator.kind") == "source_file")).select(path.alias("relative_path"), F.col("content_hash").alias("source_hash"), F.col("resource_id").alias("logical_id"), F.lit("active").alias("status"))
         plan = incremental.change_plan(files, stored)
-        work = plan if force else plan.filter("change IN ('new', 'changed')")
-        todo = files.join(work.select("relative_path"), "relative_path", "left_semi")
-        titled = todo.join(markdown.titles(todo), "relative_path")
-        chunks = chunking.chunk_files(todo, self.config)
-        batch = self._documents(titled, chunks, namespace)
-        gone = plan.filter("change = 'deleted'").select(F.col("logical_id").alias("resource_id"))
-        kept = Store._without(old, gone)
-        rows = plan.collect()  # one small row for each file, before the snapshot they came from is replaced
-        if any(r.change != "unchanged" for r in rows) or force:
-            if old.resources.isEmpty():
-                self.store.commit(batch)
-            else:
-                self.store.commit(kept)
-                self.store.replace(batch)
-        return self.spark.createDataFrame(rows, plan.schema)
+        moves = incremental.renames(plan)
+        rows = plan.join(moves.select(F.col("new_path").alias("relative_path"), F.col("logical_id").alias("moved_id")), "relative_path", "left")
+        rows = rows.join(moves.select(F.col("old_path").alias("relative_path"), F.lit(True).alias("left")), "relative_path", "left")
+        kind = F.when(F.col("moved_id").isNotNull() | F.col("left"), F.when(F.col("left"), "renamed_from").otherwise("renamed")).otherwise(F.col("change"))
+        rows = rows.select("relative_path", F.coalesce("moved_id", "logical_id").alias("logical_id"), "source_hash", kind.alias("change")).orderBy("relative_path").collect()  # one small row for each file, before the snapshot they came from is replaced
+        found = self.spark.createDataFrame(rows, plan.schema)
+        if force or any(r.change != "unchanged" for r in rows):
+            work = found.filter("change NOT IN ('deleted', 'renamed_from')" if force else "change IN ('new', 'changed', 'renamed')")
+            # what changed keeps the id it is stored under, wherever the file is now
+            todo = files.join(work.select("relative_path", F.col("logical_id").alias("resource_id")), "relative_path")
+            # a new file at a path whose first file has moved on cannot have that one's id
+            own = T.logical_id("document", F.lit(namespace), F.col("relative_path"))
+            todo = todo.join(stored.select(F.col("logical_id").alias("taken")), (F.col("taken") == own) & F.col("resource_id").isNull(), "left")
+            anew = F.when(F.col("taken").isNotNull(), T.logical_id("document", F.lit(namespace), F.col("relative_path"), F.col("source_hash")))
+            todo = todo.withColumn("resource_id", F.coalesce("resource_id", anew)).drop("taken")
+            titled = todo.join(markdown.titles(todo), "relative_path")
+            batch = self._documents(titled, chunking.chunk_files(todo.drop("resource_id"), self.config), namespace)
+            self.store.replace(batch, found.filter("change = 'deleted'").select(F.col("logical_id").alias("resource_id")))
+        return found
+
+    def _space(self) -> DataFrame:
+        return graphs.space(self.spark, self.embedder.space_id, self.embedder.dims)
 
     def _documents(self, files: DataFrame, chunks: DataFrame, namespace: str) -> Catalog:
         graph = graphs.document_graph(files, chunks, namespace=namespace)
         if self.embedder is None:
             return graph
-        return graphs.document_graph(files, chunks, self.embedder.units(graph.units.filter("unit_kind = 'text_chunk'").select("unit_id", "text")), self.embedder.space(self.spark), namespace)
+        return graphs.document_graph(files, chunks, self.embedder.units(graph.units.filter("unit_kind = 'text_chunk'").select("unit_id", "text")), self._space(), namespace)
+
+    def _embedded(self, graph: Catalog) -> Catalog:
+        return graph if self.embedder is None else graphs.with_vectors(graph, self.embedder.units, self._space())
 
     def ingest_transcripts(self, folder: str, kind: str = "audio", policy: grouping.Policy | None = None, strict: bool = True) -> str:
         atoms = transcripts.read_atoms(transcripts.scan(self.spark, folder), strict).filter("problem IS NULL").withColumn("resource_id", F.concat(F.lit("media_"), F.substring(F.sha2("source", 256), 1, 32)))
-        return self.store.replace(graphs.transcript_graph(grouping.group_atoms(atoms, policy), kind))
+        return self.store.replace(self._embedded(graphs.transcript_graph(grouping.group_atoms(atoms, policy), kind)))
 
     def ingest_video(self, text: str, policy: grouping.Policy | None = None) -> str:
         """A video manifest: transcript and frames of one resource."""
@@ -88,10 +78,10 @@ class Engine:
         rid = resource["resource_id"]
         files = lambda body: self.spark.createDataFrame([(rid, body)], "source string, content string")
         atoms = transcripts.read_atoms(files(transcript), True).withColumn("resource_id", F.lit(rid))
-        return self.store.replace(graphs.video_graph(grouping.group_atoms(atoms, policy), frame_source.read_captions(files(captions))))
+        return self.store.replace(self._embedded(graphs.video_graph(grouping.group_atoms(atoms, policy), frame_source.read_captions(files(captions)))))
 
     def ingest_images(self, images: DataFrame) -> str:
-        return self.store.replace(graphs.image_graph(images))
+        return self.store.replace(self._embedded(graphs.image_graph(images)))
 
     def import_manifest(self, data: bytes) -> str:
         return self.store.replace(manifest.to_catalog(self.spark, manifest.decode(data)))
@@ -109,35 +99,42 @@ class Engine:
         return compile_filters(all_=filters, base=base) if filters else base
 
     def search_text(self, query: str, limit: int = 10, offset: int = 0, scope: str | Scope | None = None, filters: tuple = ()) -> DataFrame:
-        return search.search_text(self.catalog, query, limit, offset, self._scope(scope, filters))
+        return search.search_text(self.catalog, query, limit, offset, self._scope(scope, filters), self.store.index())
 
-    def search_semantic(self, query: str, limit: int = 10, scope: str | Scope | None = None) -> DataFrame:
-        return search.search_semantic(self.catalog, self.embedder.space_id, self.embedder.query(query), limit, self._scope(scope))
+    def search_semantic(self, query: str, limit: int = 10, scope: str | Scope | None = None, filters: tuple = ()) -> DataFrame:
+        return search.search_semantic(self.catalog, self.embedder.space_id, self.embedder.query(query), limit, self._scope(scope, filters))
 
-    def search_hybrid(self, query: str, limit: int = 10, weights: tuple[float, float] = (0.4, 0.6), scope: str | Scope | None = None) -> search.Result:
+    def search_hybrid(self, query: str, limit: int = 10, weights: tuple[float, float] = (0.4, 0.6), scope: str | Scope | None = None, filters: tuple = ()) -> search.Result:
         """Text alone, with the reason, where there is no usable vector."""
-        return search.search_hybrid(self.catalog, query, self.embedder.space_id, self.embedder.query(query), limit, weights, self._scope(scope))
+        return search.search_hybrid(self.catalog, query, self.embedder.space_id, self.embedder.query(query), limit, weights, self._scope(scope, filters), index=self.store.index())
 
-    def search_unified(self, query: str, limit: int = 10, scope: str | Scope | None = None) -> search.Result:
+    def search_unified(self, query: str, limit: int = 10, scope: str | Scope | None = None, filters: tuple = ()) -> search.Result:
         vecs = {self.embedder.space_id: self.embedder.query(query)} if self.embedder else {}
-        return search.search_unified(self.catalog, query, vecs, limit, self._scope(scope))
+        return search.search_unified(self.catalog, query, vecs, limit, self._scope(scope, filters), self.store.index())
+
+    def _asked(self, query: str) -> tuple[str | None, tuple[float, ...] | None]:
+        """Space and vector of a query, where the store has vectors of the embedder."""
+        if self.embedder is None or self.catalog.spaces.filter(F.col("space_id") == self.embedder.space_id).isEmpty():
+            return None, None
+        return self.embedder.space_id, self.embedder.query(query)
 
     def search_transcripts(self, query: str, limit: int = 10, target: str = "unit") -> search.Result:
-        return search.search_transcripts(self.catalog, query, limit=limit, target=target)
+        return search.search_transcripts(self.catalog, query, *self._asked(query), limit=limit, target=target)
 
-    def search_media(self, query: str, preset: str = "balanced", limit: int = 10) -> search.Result:
-        return search.search(self.catalog, search.preset_request(preset, query, None, None, limit))
+    def search_media(self, query: str, preset: str = "balanced", limit: int = 10, scope: str | Scope | None = None, mode: str | None = None, filters: tuple = ()) -> search.Result:
+        """A preset's branches: all five where the store has vectors, the lexical three where it has none."""
+        return search.search(self.catalog, search.preset_request(preset, query, *self._asked(query), limit, self._scope(scope, filters), mode), self.store.index())
 
     def search_images(self, query: str, limit: int = 10) -> search.Result:
-        return search.search_images(self.catalog, query, limit=limit)
+        return search.search_images(self.catalog, query, *self._asked(query), limit=limit)
 
     def search_resources(self, query: str, limit: int = 10) -> search.Result:
         return search.search_resources_text(self.catalog, query, limit)
 
     # reads ------------------------------------------------------------------
 
-    def similar(self, resource_id: str, limit: int = 10) -> DataFrame:
-        return search.similar(self.catalog, resource_id, self.embedder.space_id, limit, ("centroid", "direct"))
+    def similar(self, resource_id: str, limit: int = 10, scope: str | None = None) -> DataFrame:
+        return search.similar(self.catalog, resource_id, self.embedder.space_id, limit, ("centroid", "direct"), similarity_scope(scope) if scope else None)
 
     def duplicates(self, resource_id: str, limit: int = 10) -> DataFrame:
         return facets.duplicates(self.catalog.resources, resource_id, limit)
@@ -176,6 +173,19 @@ class Engine:
     def status(self) -> DataFrame:
         return facets.store_counts(self.catalog.tables())
 
+    def inspect(self) -> DataFrame:
+        """Counts of resources, units and vectors by kind: nothing of their content, names or places."""
+        c = self.catalog
+        count = lambda frame, what, kind: frame.groupBy(F.lit(what).alias("what"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        parts = [count(c.resources, "resource", "resource_kind"), count(c.representations, "representation", "representation_kind"), count(c.units, "unit", "unit_kind"), count(c.vectors, "vector", "space_id"), count(c.facets, "facet", "origin")]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def rebuild_index(self) -> str:
+        return self.store.rebuild_index()
+
     def rollback(self) -> None:
         self.store.rollback()
 

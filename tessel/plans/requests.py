@@ -73,17 +73,24 @@ class Override:
     unit_kinds: tuple[str, ...] = ()
 
 
-#: Named scopes of the unified search.
+# The named scopes of the unified search.
 SCOPES: dict[str, Scope] = {
-    "all": Scope(),
-    "notes": Scope(resource_kinds=("document",)),
-    "audio": Scope(resource_kinds=("audio",), unit_kinds=("time_segment",)),
-    "video": Scope(resource_kinds=("video",), unit_kinds=("time_segment",)),
-    "frames": Scope(resource_kinds=("video",), representation_kinds=("frame_caption",), unit_kinds=("frame",)),
-    "images": Scope(resource_kinds=("image",)),
+    "all": Scope(modalities=("text",)),
+    "notes": Scope(resource_kinds=("document",), modalities=("text",)),
+    "audio": Scope(resource_kinds=("audio",), modalities=("text",)),
+    "video": Scope(resource_kinds=("video",), representation_kinds=("timed_passage",), modalities=("text",), unit_kinds=("time_segment",)),
+    "frames": Scope(resource_kinds=("video",), representation_kinds=("frame_caption",), modalities=("text",), unit_kinds=("frame",)),
+    "images": Scope(resource_kinds=("image",), modalities=("text",)),
 }
 
 
+def similarity_scope(name: str) -> Scope:
+    """A named scope for similarity: the same resources, by their whole-resource units."""
+    if name not in SCOPES:
+        raise ValueError(f"scope must be one of {', '.join(SCOPES)}")
+    return replace(SCOPES[name], representation_kinds=(), unit_kinds=("whole_resource",))
+
+
 @dataclass(frozen=True)
 class Lexical:
     """One lexical branch."""
@@ -203,4 +210,4 @@ def filters_from_text(items: list[str], tags: list[str], projected: set[str]) ->
 
 def timed_scope(scope: Scope) -> Scope | None:
     """A scope restricted to timed passages of audio and video; None where nothing can match."""
-    return scope.narrowed(Override(resource_kinds=("audio", "video"), representation_kinds=("timed_passage", "transcript_text"), unit_kinds=("time_segment",)))
+    return scope.narrowed(Override(resource_kinds=("audio", "video"), representation_kinds=("timed_passage",), unit_kinds=("time_segment",)))

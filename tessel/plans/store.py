@@ -1,9 +1,9 @@
 """The catalog on storage: snapshots of Parquet tables and a pointer to the current one.
 
-A write makes a new snapshot beside the old, checks it, and then moves the
-pointer; readers resolve the pointer once. A failed write leaves the pointer
-where it was. Vectors are partitioned by space; Hadoop's file system does the
-renames, so any storage that Spark writes to will do.
+A write makes a new snapshot beside the old, checks it, and then adds the next
+pointer; readers take the highest once. A failed write leaves the pointer where
+it was. Vectors are partitioned by space, postings sorted by term; Hadoop's
+file system does the renames, so any storage that Spark writes to will do.
 """
 
 from __future__ import annotations
@@ -14,65 +14,84 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.operators import lexical
+from tessel.operators.vector import weighted_centroids
 from tessel.plans.catalog import SCHEMAS, Catalog, conform, violations
 
-POINTER = "_current.json"
+POINTER = "_pointer-"
 #: States of a store.
 STATES = ("empty", "building", "ready", "failed")
+#: Tables beside the catalog's that answer lexical queries: postings sorted by term, and units' lengths.
+POSTINGS, LENGTHS = "term string, unit_id string, tf int, positions array<int>", "unit_id string, dl int"
 
 
 class StoreError(RuntimeError):
     """A write that was not carried out."""
 
 
+def stash(root: str, rows: DataFrame) -> DataFrame:
+    """``rows`` written under the store and read back, so that two uses embed once."""
+    path = f"{root}/_stash-{uuid.uuid4().hex}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._conf)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _read_text(self, name: str) -> str | None:
+    def _read_text(self, name: str) -> str:
         """Through the file system, since Spark's readers skip names that begin with an underscore."""
-        if not self._fs.exists(self._path(name)):
-            return None
         stream = self._fs.open(self._path(name))
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        """Written under another name and renamed, so that no reader sees half of it."""
-        part = self._path(f"{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        target = self._path(name)
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(part, target):
-            raise StoreError(f"{name} could not be replaced")
+    def _names(self, prefix: str) -> list[str]:
+        if not self._fs.exists(self._path("")):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(""))) if n.startswith(prefix))
 
     # pointer ----------------------------------------------------------------
+    # Pointers are numbered and never changed: a reader takes the highest, and
+    # of two writers that saw the same one only the first can add the next.
 
     def state(self) -> dict:
-        """status, snapshot, previous."""
-        text = self._read_text(POINTER)
-        return json.loads(text) if text else {"status": "empty", "snapshot": None, "previous": None}
+        """status, number, snapshot, previous, failed (snapshots whose checks failed are gone; their count stays)."""
+        found = self._names(POINTER)
+        return json.loads(self._read_text(found[-1])) if found else {"status": "empty", "number": 0, "snapshot": None, "previous": None}
+
+    def _advance(self, state: dict, seen: int) -> None:
+        number = seen + 1
+        name = f"{POINTER}{number:012d}"
+        part = self._path(f"_part-{uuid.uuid4().hex}")
+        out = self._fs.create(part, True)
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
+        out.close()
+        if self.state()["number"] != seen or self._fs.exists(self._path(name)) or not self._fs.rename(part, self._path(name)):
+            self._fs.delete(part, False)
+            raise StoreError("another writer has changed the store")
+        for old in self._names(POINTER)[:-3]:
+            self._fs.delete(self._path(old), False)
 
-    def activate(self, snapshot: str) -> None:
-        now = self.state()
-        self._write_text(POINTER, json.dumps({"status": "ready", "snapshot": snapshot, "previous": now["snapshot"]}))
+    def activate(self, snapshot: str, seen: dict | None = None) -> None:
+        """Makes a snapshot the current one, if the pointer is still the one in ``seen``."""
+        now = seen or self.state()
+        self._advance({"status": "ready", "snapshot": snapshot, "previous": now["snapshot"]}, now["number"])
 
     def rollback(self) -> None:
         """Back to the snapshot before the current one."""
         now = self.state()
         if not now["previous"]:
             raise StoreError("there is no earlier snapshot")
-        self._write_text(POINTER, json.dumps({"status": "ready", "snapshot": now["previous"], "previous": None}))
+        self._advance({"status": "ready", "snapshot": now["previous"], "previous": None}, now["number"])
 
     # tables -----------------------------------------------------------------
 
@@ -83,47 +102,90 @@ class Store:
         read = lambda t: self.spark.read.schema(self.spark.createDataFrame([], SCHEMAS[t]).schema).parquet(f"{self.root}/{snapshot}/{t}")
         return Catalog(**{t: read(t) for t in SCHEMAS})
 
-    def _write(self, c: Catalog) -> str:
+    def index(self, snapshot: str | None = None) -> lexical.Index | None:
+        """The stored lexical index of a snapshot: postings and lengths of its units with text."""
+        snapshot = snapshot or self.state()["snapshot"]
+        if not snapshot:
+            return None
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.root}/{snapshot}/{name}")
+        return lexical.index_of(read("postings", POSTINGS), read("lengths", LENGTHS))
+
+    def _write(self, c: Catalog, index: lexical.Index | None) -> str:
         snapshot = f"snapshot-{uuid.uuid4().hex}"
         for name, frame in c.tables().items():
             writer = conform(frame, name).write.option("compression", "zstd")
             (writer.partitionBy("space_id") if name == "vectors" else writer).parquet(f"{self.root}/{snapshot}/{name}")
+        index = index or lexical.build_index(self.spark.read.parquet(f"{self.root}/{snapshot}/units"))
+        # sorted by term, so that a query's terms skip the files and row groups of others
+        index.postings.repartitionByRange("term").sortWithinPartitions("term", "unit_id").write.option("compression", "zstd").parquet(f"{self.root}/{snapshot}/postings")
+        index.lengths.write.option("compression", "zstd").parquet(f"{self.root}/{snapshot}/lengths")
         return snapshot
 
-    def commit(self, c: Catalog) -> str:
+    def index_problems(self, snapshot: str) -> dict[str, int]:
+        """Units with text that the lexical index lacks, and indexed units that are none, by code."""
+        texts = self.load(snapshot).units.filter(F.trim("text") != "").select("unit_id")
+        held = self.index(snapshot).lengths.select("unit_id")
+        n = {"missing_fts": texts.join(held, "unit_id", "left_anti").count(), "orphan_fts": held.join(texts, "unit_id", "left_anti").count()}
+        return {k: v for k, v in n.items() if v}
+
+    def commit(self, c: Catalog, index: lexical.Index | None = None, seen: dict | None = None) -> str:
         """Writes, checks and activates a catalog; on a broken rule the snapshot goes and the pointer stays."""
-        snapshot = self._write(c)
+        seen = seen or self.state()
+        snapshot = self._write(self._numbered(c), index)
         try:
-            found = {r.rule: r.n for r in violations(self.load(snapshot)).filter("n > 0").collect()}
+            found = {r.rule: r.n for r in violations(self.load(snapshot)).filter("n > 0").collect()} | self.index_problems(snapshot)
+            if found:
+                raise StoreError(f"integrity rules broken: {found}")
+            self.activate(snapshot, seen)
         except Exception:
             self._fs.delete(self._path(snapshot), True)
             raise
-        if found:
-            self._fs.delete(self._path(snapshot), True)
-            raise StoreError(f"integrity rules broken: {found}")
-        self.activate(snapshot)
         return snapshot
 
-    def replace(self, batch: Catalog) -> str:
-        """The resources of ``batch`` in place of those with their ids, all tables at once; spaces may not change."""
-        old = self.load()
+    @staticmethod
+    def _numbered(c: Catalog) -> Catalog:
+        """Units without an insertion number get one: after all others, by their resource's place, representation and ordinal."""
+        last = c.units.agg(F.coalesce(F.max("fts_seq"), F.lit(-1)).alias("last")).first().last
+        old, new = c.units.filter("fts_seq IS NOT NULL"), c.units.filter("fts_seq IS NULL")
+        place = c.resources.select("resource_id", "source_namespace", F.col("locator.payload_json").alias("_place"))
+        ordered = new.join(place, "resource_id", "left").orderBy("source_namespace", "_place", "resource_id", "representation_id", "ordinal", "unit_id")
+        numbered = ordered.withColumn("fts_seq", F.monotonically_increasing_id() + (last + 1))
+        return Catalog(**(c.tables() | {"units": old.unionByName(conform(numbered, "units"))}))
+
+    def replace(self, batch: Catalog, gone: DataFrame | None = None) -> str:
+        """The resources of ``batch`` in place of those with their ids, without those in ``gone`` (resource_id): one snapshot.
+
+        Spaces may not change. Of the lexical index, what units keep is carried over; only the batch is tokenised.
+        """
+        seen = self.state()
+        old = self.load(seen["snapshot"])
         changed = batch.spaces.alias("n").join(old.spaces.alias("o"), "space_id").filter("n.dimensions <> o.dimensions OR n.metric <> o.metric OR n.fingerprint <> o.fingerprint")
         if not changed.isEmpty():
             raise StoreError("an embedding space is immutable")
+        ids = batch.resources.select("resource_id")
+        leaving = ids if gone is None else ids.unionByName(gone.select("resource_id")).distinct()
+        kept = self._without(old, leaving)
         source = ["source_namespace", "locator"]
-        theirs = old.resources.filter("locator IS NOT NULL").select("resource_id", *source)
+        theirs = kept.resources.filter("locator IS NOT NULL").select("resource_id", *source)
         moved = batch.resources.filter("locator IS NOT NULL").select(F.col("resource_id").alias("new_id"), *source).join(theirs, source).filter("new_id <> resource_id")
         if not moved.isEmpty():
             raise StoreError("a source belongs to another resource id")
-        ids = batch.resources.select("resource_id")
-        kept = self._without(old, ids)
         # a replaced resource moves to the end of the insertion order
         last = old.units.agg(F.coalesce(F.max("fts_seq"), F.lit(-1)).alias("last")).first().last
-        fresh = batch.units.withColumn("fts_seq", F.coalesce("fts_seq", F.col("ordinal").cast("long")) + (last + 1))
+        fresh = batch.units.withColumn("fts_seq", F.col("fts_seq") + (last + 1))
         merged = {t: getattr(kept, t).unionByName(conform(f, t)) for t, f in batch.tables().items() if t not in ("spaces", "units")}
         merged["units"] = kept.units.unionByName(conform(fresh, "units"))
         merged["spaces"] = kept.spaces.unionByName(conform(batch.spaces, "spaces").join(kept.spaces, "space_id", "left_anti"))
-        return self.commit(Catalog(**merged))
+        index = None
+        if seen["snapshot"]:
+            held, new = self.index(seen["snapshot"]), lexical.build_index(batch.units)
+            out = old.units.join(leaving, "resource_id", "left_semi").select("unit_id")
+            index = lexical.index_of(held.postings.join(out, "unit_id", "left_anti").unionByName(new.postings), held.lengths.join(out, "unit_id", "left_anti").unionByName(new.lengths))
+        return self.commit(Catalog(**merged), index, seen)
+
+    def rebuild_index(self) -> str:
+        """The lexical index anew, from the units."""
+        return self.commit(self.load())
 
     def delete(self, resource_id: str) -> str:
         """Takes a resource and all that hangs on it out; an unknown id changes nothing but the snapshot."""
@@ -138,10 +200,27 @@ class Store:
         return Catalog(**out)
 
     def rebuild_vectors(self, space_id: str, embed) -> str:
-        """All vectors of a space anew: ``embed`` maps (unit_id, text) rows to (unit_id, vector)."""
+        """All vectors of a space anew: ``embed`` maps (unit_id, text) rows to (unit_id, vector).
+
+        Units without text that had a vector are means: they get the mean of their resource's new vectors,
+        of its text chunks or, where it has none, of all its units with text.
+        """
         c = self.load()
-        fresh = embed(c.units.filter(F.trim("text") != "").select("unit_id", "text")).withColumn("space_id", F.lit(space_id))
-        return self.commit(Catalog(**(c.tables() | {"vectors": c.vectors.filter(F.col("space_id") != space_id).unionByName(conform(fresh, "vectors"))})))
+        texts = c.units.filter(F.trim("text") != "")
+        had = c.vectors.filter(F.col("space_id") == space_id).select("unit_id")
+        means = c.units.join(had, "unit_id", "left_semi").join(texts.select("unit_id"), "unit_id", "left_anti").select("unit_id", "resource_id")
+        # a unit with text is embedded if it was, or if no mean stands for it
+        asked = texts.join(had, "unit_id", "left_semi").unionByName(texts.join(had, "unit_id", "left_anti").filter("unit_kind <> 'whole_resource'"))
+        fresh = stash(self.root, embed(asked.select("unit_id", "text")))
+        parts = fresh.join(texts.select("unit_id", "resource_id", "unit_kind"), "unit_id").filter("unit_kind <> 'whole_resource'").join(means.select("resource_id"), "resource_id", "left_semi")
+        mean = weighted_centroids(parts, "resource_id", "unit_id", "vector", normalize=True).filter("centroid IS NOT NULL")
+        wholes = means.join(mean, "resource_id").select("unit_id", F.col("centroid").cast("array<float>").alias("vector"))
+        every = fresh.unionByName(wholes).withColumn("space_id", F.lit(space_id))
+        try:
+            return self.commit(Catalog(**(c.tables() | {"vectors": c.vectors.filter(F.col("space_id") != space_id).unionByName(conform(every, "vectors"))})))
+        finally:
+            for name in self._names("_stash-"):
+                self._fs.delete(self._path(name), True)
 
     def vacuum(self) -> list[str]:
         """Deletes snapshots that neither the pointer nor a rollback can reach."""

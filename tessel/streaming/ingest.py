@@ -27,6 +27,6 @@ def stream_markdown(engine: Engine, folder: str, checkpoint: str, namespace: str
         path = F.regexp_replace("path", f"^(?:[\\w+.-]+:)?/*{base.lstrip('/')}/", "")
         rows = batch.select(path.alias("relative_path"), F.col("content").cast("string").alias("content")).withColumn("source_hash", file_hash(F.col("content")))
         graph = engine._documents(rows.join(markdown.titles(rows), "relative_path"), chunking.chunk_files(rows, engine.config), namespace)
-        engine.store.replace(graph) if engine.store.state()["snapshot"] else engine.store.commit(graph)
+        engine.store.replace(graph)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()

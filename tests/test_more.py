@@ -63,3 +63,168 @@ def test_ids():
     for bad in ((9, 8), (4, 8), (0, 8)):
         with pytest.raises(ValueError):
             ids.output_dimensions(*bad)
+
+
+# --- the store: one snapshot for each write, an index beside it --------------------
+
+
+def _vault(tmp_path, files):
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+
+
+@pytest.fixture
+def vault(spark, tmp_path):
+    from tessel.plans.engine import Engine, HashEmbedder
+
+    folder = tmp_path / "vault"
+    folder.mkdir()
+    _vault(folder, {"a.md": "# Alpha\n\nthe red fox jumps", "b.md": "# Beta\n\na blue whale sings\n\n## More\n\nthe red sea", "d.md": "# Delta\n\ngreen hills"})
+    engine = Engine(spark, f"file://{tmp_path}/store", HashEmbedder(16))
+    engine.scan(str(folder))
+    return engine, folder
+
+
+def _paths(engine):
+    return sorted(r.relative_path for r in engine.files()[0].collect())
+
+
+def test_scan_is_one_snapshot_and_renames_keep_their_id(vault):
+    engine, folder = vault
+    ids = {r.relative_path: r.resource_id for r in engine.files()[0].collect()}
+    first = engine.store.state()
+    (folder / "b.md").rename(folder / "c.md")
+    _vault(folder, {"a.md": "# Alpha\n\nthe red fox sleeps", "b.md": "# New\n\na second beta"})
+    (folder / "d.md").unlink()
+    plan = {r.relative_path: r.change for r in engine.scan(str(folder)).collect()}
+    assert plan == {"a.md": "changed", "b.md": "changed", "d.md": "deleted", "c.md": "new"} or plan["c.md"] in ("new", "renamed")
+    (folder / "c.md").rename(folder / "e.md")
+    plan = {r.relative_path: r.change for r in engine.scan(str(folder)).collect()}
+    assert plan["e.md"] == "renamed" and plan["c.md"] == "renamed_from"
+    now = {r.relative_path: r.resource_id for r in engine.files()[0].collect()}
+    assert set(now) == {"a.md", "b.md", "e.md"} and now["a.md"] == ids["a.md"] and len(set(now.values())) == 3
+    assert engine.store.state()["number"] == first["number"] + 2
+    engine.rollback()
+    assert _paths(engine) == ["a.md", "b.md", "c.md"]
+    _vault(folder, {"c.md": "# Other\n\nnot the file that was here"})
+    engine.scan(str(folder))
+    assert _paths(engine) == ["a.md", "b.md", "c.md", "e.md"]
+
+
+def test_a_new_file_where_a_renamed_one_was(vault):
+    engine, folder = vault
+    (folder / "b.md").rename(folder / "c.md")
+    engine.scan(str(folder))
+    _vault(folder, {"b.md": "# Third\n\nanother text"})
+    engine.scan(str(folder))
+    assert _paths(engine) == ["a.md", "b.md", "c.md", "d.md"]
+
+
+def test_rebuild_vectors_gives_means_too(vault):
+    engine, _ = vault
+    before = {r.unit_id: [round(x, 5) for x in r.vector] for r in engine.catalog.vectors.collect()}
+    engine.rebuild_vectors()
+    assert {r.unit_id: [round(x, 5) for x in r.vector] for r in engine.catalog.vectors.collect()} == before and len(before) >= 6
+
+
+def test_insertion_numbers_are_unique_and_grow(vault):
+    engine, folder = vault
+    numbers = [r.fts_seq for r in engine.catalog.units.collect()]
+    assert None not in numbers and len(set(numbers)) == len(numbers)
+    _vault(folder, {"a.md": "# Alpha\n\nthe red fox is new"})
+    last = max(numbers)
+    engine.scan(str(folder))
+    a = engine.files()[0].filter("relative_path = 'a.md'").first().resource_id
+    assert min(r.fts_seq for r in engine.units(a).collect()) > last
+    assert len({r.fts_seq for r in engine.catalog.units.collect()}) == engine.catalog.units.count()
+
+
+def test_two_writers(spark, vault):
+    from tessel.plans.store import Store, StoreError
+
+    engine, _ = vault
+    other = Store(spark, engine.store.root)
+    seen = other.state()
+    engine.rebuild_index()
+    with pytest.raises(StoreError, match="another writer"):
+        other.commit(other.load(), seen=seen)
+    assert other.state()["number"] == seen["number"] + 1
+
+
+def test_stored_index_answers_like_the_texts(vault):
+    from tessel.operators import lexical
+
+    engine, folder = vault
+    rows = {(r.what, r.kind): r.n for r in engine.inspect().collect()}
+    assert rows["resource", "document"] == 3 and rows["vector", "hash-16"] == engine.catalog.vectors.count()
+    _vault(folder, {"a.md": "# Alpha\n\nthe red fox and the red hen", "z.md": "# Zed\n\nred red red"})
+    engine.scan(str(folder))
+    units, index = engine.catalog.units.cache(), engine.store.index()
+    show = lambda rows: [(r.unit_id, r.score, r.rank) for r in rows.collect()]
+    for query in ("red", "the red", '"the red"', "red OR blue", "re*", "the NOT fox", "^the", '"the re"*', "(fox OR whale) AND the", "nothing"):
+        assert lexical.answers(index, query)
+        assert show(lexical.search_lexical(units, units, query, 10, index=index)) == show(lexical.search_lexical(units, units, query, 10)), query
+    assert "text" not in lexical.indexed_bm25(index, "red").schema.names and engine.store.index_problems(engine.store.state()["snapshot"]) == {}
+    before = sorted((r.term, r.unit_id, r.tf) for r in index.postings.collect())
+    engine.rebuild_index()
+    assert before == sorted((r.term, r.unit_id, r.tf) for r in engine.store.index().postings.collect())
+
+
+# --- values that are fixed --------------------------------------------------------
+
+
+def test_fixed_values():
+    from tessel.operators.grouping import VARIANTS, Policy
+    from tessel.operators.search import preset_request
+    from tessel.plans.requests import SCOPES, Scope, similarity_scope, timed_scope
+
+    got = {b.branch_id: (b.weight, b.candidate_limit, b.override.unit_kinds) for b in preset_request("speech_first", "q", "s", (1.0,), 20).branches}
+    assert got == {
+        "transcript_text": (0.4, 200, ("time_segment",)), "frame_caption_text": (0.14, 200, ("frame",)), "metadata_text": (0.15, 200, ("whole_resource",)),
+        "transcript_semantic": (0.6, 200, ("time_segment",)), "frame_caption_semantic": (0.21, 200, ("frame",)),
+    }
+    assert [b.weight for b in preset_request("frames_first", "q", None, None).branches] == [0.24, 0.4, 0.15]
+    assert [b.branch_id for b in preset_request("balanced", "q", "s", (1.0,), mode="semantic").branches] == ["transcript_semantic", "frame_caption_semantic"]
+    for bad in ({"preset": "loud"}, {"mode": "fast"}, {"mode": "hybrid"}):
+        with pytest.raises(ValueError):
+            preset_request(**({"preset": "balanced", "query": "q", "space_id": None, "vec": None} | bad))
+    assert VARIANTS["B"] == Policy() and (VARIANTS["A"].target_tokens, VARIANTS["A"].soft_max_ms) == (256, 67_500) and (VARIANTS["C"].target_tokens, VARIANTS["C"].hard_max_ms) == (480, 120_000)
+    assert SCOPES["audio"] == Scope(resource_kinds=("audio",), modalities=("text",)) and SCOPES["video"].representation_kinds == ("timed_passage",)
+    assert similarity_scope("frames") == Scope(resource_kinds=("video",), modalities=("text",), unit_kinds=("whole_resource",))
+    assert timed_scope(Scope()).representation_kinds == ("timed_passage",)
+    assert timed_scope(Scope(unit_kinds=("frame",))) is None
+
+
+# --- embedders --------------------------------------------------------------------
+
+
+def test_media_graphs_get_vectors(spark, tmp_path):
+    from tessel.operators import graphs, grouping
+    from tessel.plans.engine import Engine
+    from tessel.plans.ports import BatchEmbedder
+
+    flat = BatchEmbedder("letters", 3, lambda texts: [[t.count("a") + 1.0, t.count("e") + 1.0, len(t) + 1.0] for t in texts], batch=2, query_prefix="aa")
+    assert flat.query("e") == (3.0, 2.0, 4.0)
+    engine = Engine(spark, f"file://{tmp_path}/store", flat)
+    rows = [("r1", 0, 1000, "a cat sat.", None), ("r1", 1000, 200_000, "then it ate.", None), ("r2", 0, 900, "empty hall", None)]
+    atoms = spark.createDataFrame([(r, i, *rest) for i, (r, *rest) in enumerate(rows)], "resource_id string, ordinal int, start_ms long, end_ms long, text string, speaker string")
+    graph = graphs.transcript_graph(grouping.group_atoms(atoms))
+    engine.store.replace(engine._embedded(graph))
+    c = engine.catalog
+    assert c.vectors.count() == c.units.count() == graph.units.count() + 2
+    found = engine.search_transcripts("cat", target="resource").rows.collect()
+    assert found[0].resource_id == "r1" and found[0].n_branches == 2
+    assert engine.similar("r1").collect()[0].resource_id == "r2"
+    long = graphs.with_vectors(graph, flat.units, engine._space(), direct_tokens=2)
+    how = {r.resource_id: r.metadata_json for r in long.units.filter("unit_kind = 'whole_resource'").collect()}
+    assert how == {"r1": '{"aggregation":"centroid"}', "r2": '{"aggregation":"direct"}'}
+
+
+def test_embedders_are_checked(spark, tmp_path):
+    from tessel.plans.engine import Engine
+    from tessel.plans.ports import BatchEmbedder
+
+    with pytest.raises(TypeError):
+        Engine(spark, f"file://{tmp_path}/store", object())
+    with pytest.raises(ValueError, match="finite vector"):
+        BatchEmbedder("s", 2, lambda texts: [[1.0]] * len(texts)).query("x")
