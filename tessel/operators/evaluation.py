@@ -77,6 +77,34 @@ def checked(ranked: DataFrame, gold: DataFrame) -> None:
             raise ValueError(what)
 
 
+def holders(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, item_id of the rows (item_id, text) that hold the text of an item (query_id, text).
+
+    Blocks of items meet blocks of rows, so neither side is held whole anywhere and no plan grows with the items.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, texts, asked, numbers = (batch.column(k)[i].as_py() for k in range(4))
+                found = [(q, d) for q, item in zip(numbers, asked, strict=True) for d, t in zip(ids, texts, strict=True) if item in t]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["query_id", "item_id"])
+
+    def pack(names):
+        def go(batches):
+            for batch in batches:
+                for lo in range(0, len(batch), 512):
+                    part = batch.slice(lo, 512)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()]), pa.array([part.column(1).to_pylist()])], names)
+
+        return go
+
+    held = rows.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL").mapInArrow(pack(["ids", "texts"]), "ids array<long>, texts array<string>")
+    asked = items.select(F.col("query_id").cast("long"), "text").filter("text IS NOT NULL").mapInArrow(pack(["qs", "items"]), "qs array<long>, items array<string>")
+    return held.crossJoin(asked).select("ids", "texts", "items", "qs").mapInArrow(run, "query_id long, item_id long")
+
+
 def deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Differences of the metrics (name, value) that both runs have."""
     b = baseline.select("name", F.col("value").alias("base"))

@@ -36,10 +36,39 @@ def check_query(spaces: DataFrame, space_id: str, vector: tuple[float, ...]) ->
 
 
 def scores(vectors: DataFrame, space_id: str, metric: str, query: tuple[float, ...]) -> DataFrame:
-    """unit_id, score; the query is a constant of the plan, so a scan and a projection are all. Zero norms are left out for cosine."""
-    q = F.lit([float(x) for x in query])
-    s = vectors.filter(F.col("space_id") == space_id).select("unit_id", F.round(V.score(metric, F.col("vector"), q), 9).alias("score"))
-    return s.filter("score IS NOT NULL")
+    """unit_id, score: one matrix product for each Arrow batch, and no shuffle.
+
+    Vectors of other dimensions, with null entries or (for cosine) without a direction are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if metric not in ("cosine", "dot", "l2"):
+        raise ValueError(f"no metric {metric}")
+    q = np.array(query, np.float64)
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column(1)
+            fits = np.flatnonzero(held.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == len(q))
+            held = held.take(pa.array(fits))
+            flat = held.flatten()
+            if flat.null_count:
+                whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, len(q)).any(axis=1)
+                fits, flat = fits[whole], held.filter(pa.array(whole)).flatten()
+            v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            if metric == "l2":
+                score = 0.0 - np.sqrt(((v - q) ** 2).sum(axis=1))
+            else:
+                score = v @ q
+            if metric == "cosine":
+                size = np.sqrt((v * v).sum(axis=1)) * np.sqrt(q @ q)
+                some = (size > 0) | np.isnan(size)
+                fits, score = fits[some], score[some] / size[some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fits)), pa.array(score)], ["unit_id", "score"])
+
+    rows = vectors.filter(F.col("space_id") == space_id).select("unit_id", "vector")
+    return rows.mapInArrow(run, "unit_id string, score double").withColumn("score", F.round("score", 9))
 
 
 def search_vector(vectors: DataFrame, scoped: DataFrame, space_id: str, metric: str, query: tuple[float, ...], limit: int) -> DataFrame:

@@ -278,21 +278,19 @@ _EVAL = f"""WITH g AS (SELECT b.item_id AS q, d.doc_id AS i, 1 + (d.doc_id % 3)
 def _evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics at 50 of nearest vectors as answers to the benchmark items; gold: the documents that hold the item."""
     bench, docs = D.read(spark, sf, "benchmark"), D.read(spark, sf, "documents")
-    # the items are few and fixed; each text is searched for all of them in one pass
-    items = bench.orderBy("item_id").collect()
-    found = F.array(*(F.when(F.contains("text", F.lit(r.text)), F.lit(r.item_id)) for r in items))
-    gold = docs.select(F.col("doc_id").alias("item_id"), (1 + F.col("doc_id") % 3).alias("grade"), F.explode(F.array_compact(found)).alias("query_id"))
+    held = evaluation.holders(docs.select(F.col("doc_id").alias("item_id"), "text"), bench.select(F.col("item_id").alias("query_id"), "text"))
+    gold = held.select("item_id", (1 + F.col("item_id") % 3).alias("grade"), "query_id")
     vecs = D.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vector"))
-    asked = vecs.filter(F.col("unit_id").isin(*(str(r.item_id) for r in items)))
+    asked = vecs.join(bench.select(F.col("item_id").cast("string").alias("unit_id")), "unit_id", "left_semi")
     near = _ranked_with_self(asked, vecs, 50)
     return evaluation.metrics(near, gold, 50)
 
 
 def _ranked_with_self(asked: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
-    q = asked.select(F.col("unit_id").cast("long").alias("query_id"), F.col("vector").alias("qv"))
-    rows = vecs.join(F.broadcast(q)).select("query_id", F.col("unit_id").cast("long").alias("item_id"), F.round(V.cosine(F.col("vector"), F.col("qv")), 9).alias("s"))  # 40 stated queries against all rows
-    order = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "item_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("s")
+    """The best ``k`` with ties at the last place, ranked by score and number."""
+    rows = search.all_similar(vecs, asked, k, own=True, ties=True).select(F.col("query_id").cast("long").alias("query_id"), F.col("unit_id").cast("long").alias("item_id"), "score")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("score")
 
 
 @query("eval_recall_mrr_ndcg", _EVAL + " SELECT * FROM m")
@@ -359,9 +357,9 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return D.read(spark, sf, "documents").select("doc_id", T.content_fingerprint(F.col("text")).alias("content_fp"), T.logical_id("doc", F.col("source"), F.col("doc_id")).alias("logical_id"))
 
 
-@query("facet_codec", "WITH w AS (SELECT DISTINCT unnest(string_split(substr(text, 1, 300), chr(10))) AS x FROM documents) SELECT x, 's:' || url_encode(x) AS encoded, x AS decoded FROM w")
+@query("facet_codec", "WITH w AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS x FROM documents) SELECT x, 's:' || url_encode(x) AS encoded, x AS decoded FROM w")
 def facet_codec(spark: SparkSession, sf: str) -> DataFrame:
-    parts = D.read(spark, sf, "documents").select(F.explode(F.split(F.substring("text", 1, 300), "\n")).alias("x")).distinct()
+    parts = D.read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("x")).distinct()
     return parts.withColumn("encoded", T.facet_text(F.col("x"))).withColumn("decoded", T.facet_display(F.col("encoded")))
 
 
@@ -376,9 +374,13 @@ def page_title_and_h1(spark: SparkSession, sf: str) -> DataFrame:
     return D.read(spark, sf, "pages").select("page_id", tag("title").alias("title"), tag("h1").alias("h1"))
 
 
-@query("hash_embeddings")
+@query("hash_embeddings", """WITH h AS (SELECT doc_id, sha256(text) AS x FROM documents),
+ r AS (SELECT doc_id, list_transform(range(32), lambda i: ((('0x' || substr(x, 2 * i + 1, 2))::INT * (i + 1)) % 256) / 127.5 - 1) AS v FROM h),
+ n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM r)
+ SELECT doc_id, k::INT AS pos, round(CASE WHEN size > 0 THEN v[k + 1] / size ELSE v[k + 1] END, 9) AS x FROM (SELECT *, unnest(range(32)) AS k FROM n)""")
 def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    return D.read(spark, sf, "documents").select("doc_id", V.hash_vector(F.col("text"), 32).alias("vector"))
+    rows = D.read(spark, sf, "documents").select("doc_id", F.posexplode(V.hash_vector(F.col("text"), 32)).alias("pos", "x"))
+    return rows.withColumn("x", F.round("x", 9))
 
 
 @query("store_counts", "SELECT 'resources' AS name, count(*) AS n FROM documents UNION ALL SELECT 'representations', 2 * count(*) FROM documents UNION ALL SELECT 'units', sum(1 + len(string_split(text, chr(10))))::BIGINT FROM documents UNION ALL SELECT 'spaces', 1 UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'facets', (SELECT count(*) FROM documents) + 2 * count(*) FROM labels")
