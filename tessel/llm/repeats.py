@@ -11,24 +11,31 @@ earlier in the corpus (documents in id order, matches within documents).
 2. Dictionary. Phrases are named by hashes. A trigger that occurs once in the
    corpus has no repeated string; a later copy of a whole phrase repeats all
    its strings; a trigger all of whose phrases are equal needs nothing more.
-3. Corpus order. The rest are the phrases at the edges of repeats: triggers
-   with different phrases, first copies alone. Their strings, the prefixes of
-   the phrases' suffixes, are sorted; of equal ones the first in corpus order
-   stays. Since the strings sought have one length, sorting suffixes by that
-   prefix is all of the suffix array that the result needs, and it is the part
-   that can be divided: equal prefixes meet in one range of hashes, so no
-   array over the whole dictionary or parse is ever built.
+   What is left are the phrases at the edges of repeats: triggers with
+   different phrases, first copies alone.
+3. Suffix arrays. Equal strings have one trigger, so the dictionary is divided
+   by triggers' hashes: each range gets its phrases' bytes in order of the
+   parse, and sorts the suffixes that begin in a phrase by their first
+   ``WIDTH`` bytes, by doubling. Neighbours that agree so far are one string;
+   their places in the parse give its first start, and the later ones go. As
+   strings have one length, no suffix is compared beyond it.
+4. A trigger with over ``HOT`` phrases, in a line that half the corpus has, say,
+   would fill one range. Its strings are dealt one by one, by their own hashes,
+   and sorted in the same way, each distinct one of a block once.
 
 Blocks of consecutive documents are stored once in a bucketed table. Each step
-reads the blocks where they lie, sends sorted arrays of hashes, one of each
-kind per block and hash range, and gets back those that count; a hash that a
-block holds a thousand times is sent once, so common lines make no hot task.
-Strings are equal when 64 bits and the independent bits that choose the range
-agree. Long texts are worked off in overlapping pieces.
+reads the blocks where they lie, sends sorted arrays of hashes (in the last
+step, phrases), one of each kind per block and range, and gets back those that
+count; a hash that a block holds a thousand times is sent once, so common
+lines make no hot task. Triggers and phrases are equal when 64 bits and the
+bits that choose the range agree; strings are compared byte by byte, but for
+those of a hot trigger within a block, which 128 bits tell apart. Long texts
+are worked off in overlapping pieces.
 
 Defined results: null is an empty text; a text of under ``WIDTH`` bytes loses
 nothing; rows that share an id follow each other in order of their texts, null
-ids come last; an empty table gives an empty result.
+ids come last; an empty table gives an empty result. Ids are whole numbers, or
+text that reads as such. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,13 +50,16 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import stash, table_name
 from tessel.llm.textkernel import _VALUE, mix, powers, raw
+from tessel.llm.wordstore import gather
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text in a block, in a piece of it, and for each hash range.
 BLOCK, PIECE, RANGE = 4 << 20, 1 << 20, 32 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _OTHER = np.random.default_rng(9).integers(1, 1 << 64, 256, dtype=np.uint64)
-_KINDS = {"key": 0, "mixed": 1, "phrase": 2, "string": 3}
+#: Phrases of a trigger from which on its strings are dealt one by one; strings that are sorted at once.
+HOT, SORTED = 4096, 1 << 21
+_KEY, _MIXED, _PHRASE, _EDGE, _SPREAD, _STRING = range(6)
 
 
 class Sums:
@@ -132,13 +142,50 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def sort_prefixes(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Ranks of the suffixes of ``data`` that start at ``at``, by their first ``width`` bytes (at least 8): equal ones share a rank."""
+    n = len(data)
+    word = np.zeros(max(0, n - 7), np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | data[k : n - 7 + k]
+    have, rank = 8, _ranks(word)
+    while have * 2 <= width:
+        rank = _ranks((rank[:-have] << np.uint64(32)) | rank[have:])
+        have *= 2
+    rest = width - have
+    return _ranks((rank[at] << np.uint64(32)) | rank[at + rest]) if rest else rank[at]
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    held = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]])) if len(keys) else 0
+    return out
+
+
+def later_copies(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of phrases in order of the parse (bytes one after the other, strings of each), a mask of strings that start earlier too."""
+    ends = np.cumsum(counts)
+    at = np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+    rank = sort_prefixes(data, at)
+    first = np.full(int(rank.max()) + 1 if len(rank) else 0, len(rank), np.int64)
+    np.minimum.at(first, rank.astype(np.int64), np.arange(len(rank)))
+    return first[rank.astype(np.int64)] < np.arange(len(rank))
+
+
 _SENT = "kind int, range int, block long, items binary, extra binary, flags binary"
 _BACK = "block long, kind int, items binary"
 
 
-def _send(kind: str, block: int, items: np.ndarray, other: np.ndarray, ranges: int, extra: np.ndarray | None = None, flags: np.ndarray | None = None) -> Iterator[tuple]:
-    """Rows of one kind: items sorted within hash ranges, chosen by the top bits of ``other``."""
-    to = (other >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(items), np.int64)
+def _range_of(other: np.ndarray, ranges: int) -> np.ndarray:
+    """Hash ranges, chosen by the top bits of ``other``."""
+    return (other >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(other), np.int64)
+
+
+def _send(kind: int, block: int, items: np.ndarray, other: np.ndarray, ranges: int, extra: np.ndarray | None = None, flags: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows of one kind: items sorted within hash ranges."""
+    to = _range_of(other, ranges)
     order = np.lexsort((items, to))
     items, to = items[order], to[order]
     cuts = np.searchsorted(to, np.arange(ranges + 1))
@@ -146,13 +193,20 @@ def _send(kind: str, block: int, items: np.ndarray, other: np.ndarray, ranges: i
         a, b = cuts[r], cuts[r + 1]
         if a < b:
             pick = order[a:b]
-            yield _KINDS[kind], r, block, items[a:b].tobytes(), extra[pick].tobytes() if extra is not None else b"", flags[pick].tobytes() if flags is not None else b""
+            yield kind, r, block, items[a:b].tobytes(), extra[pick].tobytes() if extra is not None else b"", flags[pick].tobytes() if flags is not None else b""
 
 
 def _settle(table: pa.Table) -> pa.Table:
     """Which items of one kind and hash range count, per block."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "kind", "items", "extra", "flags")), strict=True))
-    kind = rows[0][1] if rows else 0
+    kind = rows[0][1] if rows else _KEY
+    out = _settle_strings(rows, kind) if kind in (_EDGE, _SPREAD) else _settle_hashes(rows, kind)
+    columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["block", "kind", "items"])
+
+
+def _settle_hashes(rows: list[tuple], kind: int) -> list[tuple]:
+    """Triggers that occur twice; of those, the ones with different phrases (hot ones apart); phrases that occur earlier."""
     read = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows]) if rows else np.empty(0, t)
     items = read(2, np.uint64)
     sizes = np.array([len(r[2]) // 8 for r in rows], np.int64)
@@ -161,26 +215,50 @@ def _settle(table: pa.Table) -> pa.Table:
     new = np.concatenate([[True], held[1:] != held[:-1]]) if len(held) else np.empty(0, bool)
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(held)))
-    if kind in (2, 3):
-        chosen = ~new
-    else:
-        flags = np.logical_or.reduceat(read(4, bool)[order], starts) if len(starts) else np.empty(0, bool)
-        if kind == 0:
-            flags = flags | (counts > 1)
-        elif len(starts):
+    named = np.zeros(len(items), np.int32)  # the kind under which an item goes back, 0 for none
+    if kind == _PHRASE:
+        named[order] = np.where(new, 0, _PHRASE + 1)
+    elif len(starts):
+        seen = np.add.reduceat(read(4, np.uint32)[order].astype(np.int64), starts)
+        if kind == _KEY:
+            named[order] = np.repeat(np.where(seen > 1, _KEY + 1, 0), counts)
+        else:
             extra = read(3, np.uint64)[order]
-            flags = flags | (np.minimum.reduceat(extra, starts) != np.maximum.reduceat(extra, starts))
-        chosen = np.repeat(flags, counts)
-    mask = np.zeros(len(items), bool)
-    mask[order] = chosen
+            most = np.maximum.reduceat(read(4, np.uint32)[order], starts)
+            mixed = (most > 1) | (np.minimum.reduceat(extra, starts) != np.maximum.reduceat(extra, starts))
+            named[order] = np.repeat(np.where(mixed, np.where(seen > HOT, _SPREAD + 1, _MIXED + 1), 0), counts)
     out, at = [], 0
     for row, n in zip(rows, sizes, strict=True):
-        part = items[at : at + n][mask[at : at + n]]
+        mine, told = items[at : at + n], named[at : at + n]
         at += n
-        if len(part):
-            out.append((row[0], kind, part.tobytes()))
-    columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["block", "kind", "items"])
+        out += [(row[0], int(k) - 1, mine[told == k].tobytes()) for k in np.unique(told) if k]
+    return out
+
+
+def _settle_strings(rows: list[tuple], kind: int) -> list[tuple]:
+    """Starts of the strings that start earlier too, of edge phrases or of a hot trigger's single strings."""
+    size, blocks = WIDTH, np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
+    keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
+    places = np.concatenate([np.frombuffer(r[4], np.int64).reshape(-1, 2) for r in rows])
+    lengths = places[:, 1] + size - 1
+    data = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows])
+    begins = np.cumsum(lengths) - lengths
+    # equal strings have one key, so parts of the keys are sorted one after the other
+    parts = max(1, -(-int(lengths.sum()) // SORTED))
+    part = (mix(keys ^ np.uint64(0x5BD1E995)) % np.uint64(parts)).astype(np.int64)
+    gone: list[list[np.ndarray]] = [[] for _ in rows]
+    for k in range(parts):
+        pick = np.flatnonzero(part == k)  # in order of blocks, and of starts within
+        if len(pick):
+            n = lengths[pick]
+            counts = places[pick, 1]
+            later = later_copies(gather(data, begins[pick], n), np.cumsum(n) - n, counts)
+            ends = np.cumsum(counts)
+            start = np.repeat(places[pick, 0] - (ends - counts), counts) + np.arange(ends[-1])
+            owner = np.repeat(blocks[pick], counts)[later]
+            for r in np.unique(owner):
+                gone[r].append(start[later][owner == r])
+    return [(row[0], _STRING, np.concatenate(g).astype(np.uint64).tobytes()) for row, g in zip(rows, gone, strict=True) if g]
 
 
 def _replies(column: pa.Scalar) -> dict[int, np.ndarray]:
@@ -191,46 +269,68 @@ def _replies(column: pa.Scalar) -> dict[int, np.ndarray]:
     return {k: np.unique(np.concatenate(v)) for k, v in held.items()}
 
 
+_NONE = np.empty(0, np.uint64)
+
+
 def _keys(block: int, p: Parse, told: dict, ranges: int) -> Iterator[tuple]:
     keys, counts = np.unique(p.key, return_counts=True)
-    yield from _send("key", block, keys, mix(keys), ranges, flags=counts > 1)
+    yield from _send(_KEY, block, keys, mix(keys), ranges, flags=counts.astype(np.uint32))
 
 
 def _phrases(block: int, p: Parse, told: dict, ranges: int) -> Iterator[tuple]:
-    on = np.flatnonzero(_among(p.key, told.get(0, np.empty(0, np.uint64))))
+    on = np.flatnonzero(_among(p.key, told.get(_KEY, _NONE)))
     phrases, at = np.unique(p.phrase[on], return_index=True)
-    yield from _send("phrase", block, phrases, p.other[on][at], ranges)
-    keys, one, back = np.unique(p.key[on], return_index=True, return_inverse=True)
-    several = np.zeros(len(keys), bool)
-    several[back[p.phrase[on] != p.phrase[on][one][back]]] = True
-    yield from _send("mixed", block, keys, mix(keys), ranges, p.phrase[on][one], several)
+    yield from _send(_PHRASE, block, phrases, p.other[on][at], ranges)
+    keys, one, counts = np.unique(p.key[on][at], return_index=True, return_counts=True)  # of the distinct phrases
+    yield from _send(_MIXED, block, keys, mix(keys), ranges, phrases[one], counts.astype(np.uint32))
+
+
+def _edges(p: Parse, told: dict, kind: int) -> np.ndarray:
+    """Phrases whose strings are compared: first copies, of triggers with different phrases."""
+    return np.flatnonzero(_among(p.key, told.get(kind, _NONE)) & ~_among(p.phrase, told.get(_PHRASE, _NONE)) & p.firsts())
 
 
-def _edges(p: Parse, told: dict) -> np.ndarray:
-    """Phrases whose strings are compared one by one."""
-    none = np.empty(0, np.uint64)
-    return np.flatnonzero(_among(p.key, told.get(1, none)) & ~_among(p.phrase, told.get(2, none)) & p.firsts())
+def _spread(p: Parse, told: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of hot triggers: starts, hashes, range bits, and the start of the block's first equal string."""
+    at, hashes, other = p.strings(_edges(p, told, _SPREAD))
+    order = np.lexsort((at, other, hashes))
+    new = np.ones(len(at), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (other[order][1:] != other[order][:-1])
+    first = np.empty(len(at), np.int64)
+    if len(at):
+        first[order] = at[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return at, hashes, other, first
 
 
 def _strings(block: int, p: Parse, told: dict, ranges: int) -> Iterator[tuple]:
-    _, hashes, other = p.strings(_edges(p, told))
-    hashes, at = np.unique(hashes, return_index=True)
-    yield from _send("string", block, hashes, other[at], ranges)
+    edges = _edges(p, told, _MIXED)
+    yield from _bytes(_EDGE, block, p, p.start[edges], p.count[edges], p.key[edges], mix(p.key[edges]), ranges)
+    at, hashes, other, first = _spread(p, told)
+    one = np.flatnonzero(first == at)
+    yield from _bytes(_SPREAD, block, p, at[one], np.ones(len(one), np.int64), hashes[one], other[one], ranges)
+
+
+def _bytes(kind: int, block: int, p: Parse, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray, bits: np.ndarray, ranges: int) -> Iterator[tuple]:
+    """Phrases' bytes, keys, and (start, strings), in order of their starts within each range."""
+    to = _range_of(bits, ranges)
+    for r in np.unique(to):
+        pick = np.flatnonzero(to == r)
+        data = gather(p.data, starts[pick], counts[pick] + WIDTH - 1)
+        yield kind, int(r), block, data.tobytes(), keys[pick].tobytes(), np.stack([starts[pick], counts[pick]], axis=1).astype(np.int64).tobytes()
 
 
 def _removed(p: Parse, told: dict) -> np.ndarray:
     """Mask of the bytes that go."""
-    none = np.empty(0, np.uint64)
     change = np.zeros(len(p.data) + 1, np.int64)
-    later = np.flatnonzero(_among(p.phrase, told.get(2, none)) | ~p.firsts())
+    later = np.flatnonzero(_among(p.phrase, told.get(_PHRASE, _NONE)) | ~p.firsts())
     np.add.at(change, p.start[later], 1)
     np.add.at(change, p.start[later] + p.count[later] + WIDTH - 1, -1)
-    at, hashes, _ = p.strings(_edges(p, told))
-    again = np.ones(len(at), bool)
-    again[np.unique(hashes, return_index=True)[1]] = False
-    at = at[again | _among(hashes, told.get(3, none))]
-    np.add.at(change, at, 1)
-    np.add.at(change, at + WIDTH, -1)
+    gone = told.get(_STRING, _NONE)
+    at, _, _, first = _spread(p, told)
+    again = at[(first != at) | _among(first.astype(np.uint64), gone)]
+    for starts in (gone.astype(np.int64), again):
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + WIDTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -279,7 +379,8 @@ class Blocks:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "range", "block", "items", "extra", "flags"])
 
         source = self.with_replies(replies) if replies else self.rows()
-        return stash(source.mapInArrow(run, _SENT).groupBy("kind", "range").applyInArrow(_settle, _BACK))
+        sent = source.mapInArrow(run, _SENT).repartition(max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * ranges), "kind", "range")
+        return stash(sent.groupBy("kind", "range").applyInArrow(_settle, _BACK))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
