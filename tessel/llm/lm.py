@@ -13,20 +13,25 @@ The network is one causal attention head over the symbols before a position,
 with relative positions; its output is added to that bias as logits of the
 class, and an id's share of its class is its smoothed share of the counts.
 It is trained by ``ROUNDS`` rounds of local Adam steps in every block. Each
-window that holds a training token, a block's short last one included, is
-learned from in one of the rounds; blocks' weights are averaged by the number
-of windows they learned from. What training reads grows with the corpus; what reaches the driver (id
-counts, bias counts and one set of weights per averaging group) does not.
-
-Scoring cuts a block's stream into windows of ``SPAN`` tokens to score after
-``SPAN`` tokens of context; neighbouring windows overlap by the context, each
-token is scored once, and batches of windows are scored by masked matrix
+window of a training document, its short last one included, is learned from in
+one of the rounds; blocks' weights are averaged by the number of windows they
+learned from. What training reads grows with the corpus; what reaches the
+driver (id counts, bias counts and one set of weights per averaging group)
+does not.
+
+Windows are laid from a document's first token on: ``SPAN`` tokens to score
+after ``SPAN`` tokens of context, so that neighbours overlap by the context,
+each token is scored once, and a document's windows are the same wherever it
+stands. Batches of windows, all of one size, are scored by masked matrix
 products. Context never crosses documents.
 
 Defined results: null, empty and blank texts have the end token alone; an
 empty table gives an empty result; with no training document counts are 0 and
-the model is uniform over classes. Rows are scored one by one, so repeated
-rows and ids score alike.
+the model is uniform over classes. Equal texts score alike, repeated rows and
+ids included. Ids are whole numbers, or text that reads as such; a null id is
+empty text for the fold. Extra columns are not read. Runs over the same splits
+of the input agree; other splits cut other blocks for training, whose averaged
+weights, and with them ``score``, differ a little (the base columns never do).
 """
 
 from __future__ import annotations
@@ -221,8 +226,20 @@ _CAUSAL = _BACK >= 0
 
 
 def windows(symbols: np.ndarray, doc: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by number, from the start of the stream on."""
+    return windows_at(symbols, doc, which * SPAN)
+
+
+def starts_of(id_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each window and end of its document: windows follow each other from a document's first token on."""
+    n = -(-np.diff(id_at) // SPAN)
+    first = np.cumsum(n) - n
+    return np.repeat(id_at[:-1] - first * SPAN, n) + np.arange(n.sum()) * SPAN, np.repeat(id_at[1:], n)
+
+
+def windows_at(symbols: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs (context, then the tokens before those scored) of some windows, and the mask of what a token may see."""
-    at = which[:, None] * SPAN + np.arange(-SPAN, SPAN)[None, :]
+    at = starts[:, None] + np.arange(-SPAN, SPAN)[None, :]
     inside = (at >= 0) & (at < len(symbols))
     at = np.clip(at, 0, len(symbols) - 1)
     docs = np.where(inside, doc[at], -1)
@@ -304,48 +321,52 @@ def inputs(block: Block, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return x, doc, train
 
 
-def trained(train: np.ndarray, turn: int) -> np.ndarray:
-    """The windows with a training token that a round learns from; those of all rounds are all there are."""
-    some = np.logical_or.reduceat(train, np.arange(0, len(train), SPAN)) if len(train) else train
-    return np.flatnonzero(some)[turn::ROUNDS]
+def trained(block: Block, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and documents' ends of the windows that a round learns from: those of all rounds are all of training documents."""
+    starts, ends = starts_of(block.id_at)
+    kept = np.flatnonzero(~np.repeat(block.out, -(-np.diff(block.id_at) // SPAN)))[turn::ROUNDS]
+    return starts[kept], ends[kept]
 
 
 def train_block(block: Block, model: Model, turn: int) -> tuple[dict[str, np.ndarray], int]:
     """Local weights after this round's windows of a block, and how many those were."""
-    x, doc, train = inputs(block, model.symbol)
-    which = trained(train, turn)
+    x, doc, _ = inputs(block, model.symbol)
+    starts, ends = trained(block, turn)
     w, state = {k: v.copy() for k, v in model.weights.items()}, {"t": 0}
-    rest = -len(x) % SPAN
-    target, use = np.pad(model.klass[block.ids], (0, rest)), np.pad(train, (0, rest)).astype(np.float32)
+    target = np.pad(model.klass[block.ids], (0, SPAN))
     kept = room(BATCH)
-    for lo in range(0, len(which), BATCH):
-        part = which[lo : lo + BATCH]
-        at = part[:, None] * SPAN + np.arange(SPAN)[None, :]
-        held, mask = windows(x, doc, part)
-        _learn(w, state, model.bias, held, mask, target[at], use[at], kept)
-    return w, len(which)
+    for lo in range(0, len(starts), BATCH):
+        part = starts[lo : lo + BATCH]
+        at = part[:, None] + np.arange(SPAN)[None, :]
+        held, mask = windows_at(x, doc, part)
+        _learn(w, state, model.bias, held, mask, target[at], (at < ends[lo : lo + BATCH, None]).astype(np.float32), kept)
+    return w, len(starts)
 
 
 def score_block(block: Block, model: Model) -> np.ndarray:
-    """log10 probability of each document of a block."""
+    """log10 probability of each document of a block.
+
+    Every batch has the same number of windows (the last one repeats its last
+    window), so that a window's sums are the same wherever it stands.
+    """
     x, doc, _ = inputs(block, model.symbol)
-    total = model.share[block.ids].astype(np.float64)
-    target = model.klass[block.ids]
-    n = -(-len(x) // SPAN)
-    padded = np.zeros(n * SPAN, target.dtype)
-    padded[: len(target)] = target
-    logs = np.empty(n * SPAN, np.float32)
-    kept = room(2 * BATCH)
-    for lo in range(0, n, 2 * BATCH):
-        part = np.arange(lo, min(lo + 2 * BATCH, n))
-        held, mask = windows(x, doc, part)
+    target = np.pad(model.klass[block.ids], (0, SPAN))
+    starts, ends = starts_of(block.id_at)
+    logs = np.empty(len(x), np.float32)
+    size = 2 * BATCH
+    kept = room(size)
+    for lo in range(0, len(starts), size):
+        part = starts[np.minimum(np.arange(lo, lo + size), len(starts) - 1)]
+        at = part[:, None] + np.arange(SPAN)[None, :]
+        held, mask = windows_at(x, doc, part)
         logits = forward(model.weights, model.bias, held, mask, kept)[0]
-        span = slice(part[0] * SPAN, (part[-1] + 1) * SPAN)
         np.minimum(logits, np.float32(60), out=logits)
-        hit = logits[np.arange(len(logits)), padded[span]]
+        hit = logits[np.arange(len(logits)), target[at].ravel()]
         np.exp(logits, out=logits)
-        logs[span] = hit - np.log((logits @ _ONES[CLASSES])[:, 0])
-    total += logs[: len(total)] * np.log10(np.e)
+        told = (hit - np.log((logits @ _ONES[CLASSES])[:, 0])).reshape(at.shape)
+        inside = at < ends[np.minimum(np.arange(lo, lo + size), len(starts) - 1), None]
+        logs[at[inside]] = told[inside]
+    total = model.share[block.ids].astype(np.float64) + logs * np.log10(np.e)
     return np.add.reduceat(total, block.id_at[:-1]) if len(block.doc_ids) else total
 
 
@@ -378,13 +399,15 @@ def _averaged(blocks: DataFrame, model: Model, turn: int) -> dict[str, np.ndarra
             w, n = train_block(block, model, turn)
             total, seen = total + flat(w).astype(np.float64) * n, seen + n
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([number % GROUPS], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([number % GROUPS], pa.int32()), pa.array([number], pa.int64()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "number", "n", "w"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(w, np.float64) for w in table.column("w").to_pylist())
-        return pa.table([pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
+        # in order of blocks, whatever the order of arrival: sums of floats agree between runs
+        total = sum(np.frombuffer(w, np.float64) for _, w in sorted(zip(table.column("number").to_pylist(), table.column("w").to_pylist(), strict=True)))
+        return pa.table([table.column("part").combine_chunks().slice(0, 1), pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n", "w"])
 
-    rows = blocks.mapInArrow(part, "part int, n long, w binary").groupBy("part").applyInArrow(add, "n long, w binary").collect()
+    rows = blocks.mapInArrow(part, "part int, number long, n long, w binary").groupBy("part").applyInArrow(add, "part int, n long, w binary").collect()
+    rows.sort(key=lambda r: r.part)
     seen = sum(r.n for r in rows)
     if not seen:
         return model.weights
