@@ -4,7 +4,7 @@ Documents are range-partitioned by id; each partition is a shard, written as
 one blob in id order (a shard of over ``BLOB`` tokens as several, which bounds
 memory). A blob's ids are compressed by Re-Pair: in each turn the most frequent
 neighbour pairs become nonterminals, until no pair occurs ``LEAST`` times or
-all names of 16-bit symbols are given. A turn gives a ``SHARE``-th of the names
+all names of 16-bit symbols are given. A turn gives one ``SHARE``-th of the names
 left, so that pairs of later turns, whose parts are rules, find names too. The blob stores the rules, each rule's
 expansion length, the remaining symbols, and the documents' ids and token
 counts; the lengths tell which symbols a document's tokens come from, so one
@@ -46,8 +46,8 @@ from tessel.llm.wordstore import WordStore, batches_of, gather
 END = 2
 #: Bytes of text in a shard, tokens in a blob.
 SHARD_BYTES, BLOB = 8 << 20, 1 << 22
-#: Re-Pair: least count of a pair; share of the names left that a turn gives, and how many at least.
-LEAST, SHARE, TURN = 8, 4, 512
+#: Re-Pair: least count of a pair; share of the names left that a turn gives, and how many at least; bits of a slot.
+LEAST, SHARE, TURN, SLOTS = 8, 2, 512, 22
 NO_ID = -(1 << 63)
 _RUN = re.compile(r"\s \s|  |\x00")
 #: Where a text with runs of white space or NUL may be cut: before a space between two other characters.
@@ -108,10 +108,13 @@ def _matches(hit: np.ndarray) -> np.ndarray:
 def re_pair(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Rules (left, right), the k-th for symbol ``first + k``, and the symbols left.
 
-    Ends when no neighbour pair occurs ``least`` times, or all 16-bit names are given.
+    Ends when no neighbour pair occurs ``least`` times, or all 16-bit names are
+    given. Pairs are counted in a table of slots; of pairs that share a slot
+    one is counted, the others when it has gone, or by sorting at the end.
     """
-    seq, rules, shift = ids.astype(np.int64), [], np.uint64(42)
+    seq, rules, shift = ids.astype(np.int64), [], np.uint64(64 - SLOTS)
     slot = lambda code: ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+    owner, names = np.empty(1 << SLOTS, np.int64), np.empty(1 << SLOTS, np.int64)
     while len(seq) > 1:
         names_left = (1 << 16) - first - len(rules)
         room = min(names_left, max(TURN, names_left // SHARE))
@@ -119,23 +122,25 @@ def re_pair(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray
             break
         code = (seq[:-1] << 20) | seq[1:]
         at = slot(code)
-        counts = np.bincount(at, minlength=1 << 22)
-        for bar in (max(least, int(np.partition(counts, -room)[-room])), least):  # pairs that share a slot may raise the bar
-            often, n = np.unique(code[counts[at] >= bar], return_counts=True)
-            keep = np.flatnonzero(n >= least)
-            if len(keep):
+        owner[at] = code
+        hit = owner[at] == code
+        counts = np.bincount(at[hit], minlength=1 << SLOTS)
+        slots = np.flatnonzero(counts >= least)
+        if len(slots):
+            slots = slots[np.argsort(-counts[slots], kind="stable")][:room]
+            chosen = owner[slots]
+        else:
+            often, n = np.unique(code[~hit], return_counts=True)
+            chosen = often[n >= least][:1]
+            if not len(chosen):
                 break
-        keep = keep[np.argsort(-n[keep], kind="stable")][:room]
-        if not len(keep):
-            break
-        chosen, slots = often[keep], slot(often[keep])
-        _, one = np.unique(slots, return_index=True)  # the more frequent of two pairs in one slot
-        chosen, slots = chosen[np.sort(one)], slots[np.sort(one)]
-        names = np.zeros(1 << 22, np.int32)
-        codes = np.full(1 << 22, -1, np.int64)
-        names[slots], codes[slots] = first + len(rules) + np.arange(len(chosen)), chosen
-        where = _matches(codes[at] == code)
-        seq[where] = names[at[where]]
+            slots = slot(chosen)
+            owner[slots], hit = chosen, code == chosen
+        names.fill(0)
+        names[slots] = first + len(rules) + np.arange(len(slots))
+        given = names[at]
+        where = _matches(hit & (given > 0))
+        seq[where] = given[where]
         rules += list(zip(chosen >> 20, chosen & ((1 << 20) - 1), strict=True))
         left = np.ones(len(seq), bool)
         left[where + 1] = False
