@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    n = max(PIECE * 2, n)
+    n = max(PIECE * 2, 1 << (n - 1).bit_length() if n else 1)  # few lengths, so that the cache holds them
     return _powers(int(_P), n), _powers(int(_INV), n)
 
 
