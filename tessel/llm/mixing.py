@@ -12,11 +12,16 @@
    until its seats are used, twice at most.
 
 Streams are summed by (source, hash range) first, so no task orders a whole
-source; all that meets on one task is one row per source, or per hash range
-of a source. Words are counted over whole texts; null has none.
-
-Defined results: an empty text or an empty source takes nothing; an empty
-table gives an empty result; repeated rows take places of their own.
+source; a source has as many ranges as its rows ask for, ``RUNS`` at most. Rows
+of one source, id and size follow each other and are one entry with a count, so
+neither a repeated id nor rows without one fill a range. All that meets on one
+task is one row per source (sources are taken to be few: thousands, not
+millions), or per hash range of a source. Words are counted over whole texts.
+
+Defined results: a null text has no words; an empty text or an empty source
+takes nothing; an empty table gives an empty result; repeated rows take places
+of their own. A null id or source is a value like others. Extra columns are
+not read, and pass through ``mixed`` untouched.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ WEIGHTS = (5, 2, 1)
 #: Of all words that the mix holds, and times its own size that a source may give at most.
 SHARE, MOST = 1.5, 2
 BLOCK, SHARDS, SEED = 64, 16, "mix-1"
-#: Documents of a source that are ordered in one task, on average.
-RUN = 4096
+#: Documents of a source that are ordered in one task, on average, and ranges of a source at most.
+RUN, RUNS = 512, 1 << 16
+#: A source is large when it has over one LARGE-th of all rows.
+LARGE = 1024
 
 
 def seeded(*parts: Column) -> Column:
@@ -103,15 +110,22 @@ def shard_quotas(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def mix(rows: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of ``sized`` rows."""
-    n = rows.count()
-    runs = max(1, n // RUN)
-    rows = rows.withColumn("run", F.floor(F.col("h") / float(1 << 48) * runs).cast("int"))
+    # ranges by a source's size where it has over one LARGE-th of all rows, as LARGE sources at most do; by that share for others
+    total = rows.count()
+    ranges = lambda n: F.greatest(F.lit(1), F.least(F.lit(RUNS), F.ceil(n / float(RUN)))).cast("long")
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * LARGE > total).select("key", ranges(F.col("n")).alias("runs"))
     plan = quotas(targets(rows)).filter(F.col("shard") == SHARDS - 1)
-    sums = rows.groupBy("key", "run").agg(F.sum("size").alias("words"))
+    rows = rows.groupBy("key", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
+    runs = F.coalesce("runs", ranges(F.lit(total / LARGE)))
+    # rows of one place in the order are one entry from here on
+    rows = stash(rows.join(F.broadcast(large), "key", "left").withColumn("run", F.floor(F.col("h") / float(1 << 48) * runs).cast("int")).drop("runs"))
+    all_of = F.col("size") * F.col("copies")
+    sums = rows.groupBy("key", "run").agg(F.sum(all_of).alias("words"))
     ahead = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs_at = sums.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words").join(plan, "key")
     within = Window.partitionBy("key", "run").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(runs_at, ["key", "run"]).withColumn("at", F.col("at") + F.col("start"))
+    placed = rows.withColumn("at", F.coalesce(F.sum(all_of).over(within), F.lit(0))).join(runs_at, ["key", "run"]).withColumn("at", F.col("at") + F.col("start"))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
     edge = lambda b: F.floor(b.cast("decimal(38,0)") * F.col("source_size") / F.greatest("blocks", F.lit(1))).cast("long")
     placed = placed.withColumns({"first": F.when(F.col("blocks") > 0, F.pmod(seeded(F.col("key.source")), F.col("blocks"))).otherwise(F.lit(0)), "whole": F.when(F.col("blocks") > 0, F.floor(F.col("seats") / F.col("blocks"))).otherwise(F.lit(0))})
     placed = placed.withColumn("last", F.col("first") + F.col("seats") - F.col("whole") * F.col("blocks"))
