@@ -82,6 +82,22 @@ def logical_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(body, 256), 1, 32))
 
 
+def safe_fingerprint(value: Column) -> Column:
+    """``sha256:`` and the hash of a value that must not be shown."""
+    return F.concat(F.lit("sha256:"), F.sha2(value, 256))
+
+
+MEDIA_KINDS = ("resource", "representation", "atom", "passage", "frame", "whole")
+
+
+def stable_media_id(kind: str, contract: str, *parts: Column) -> Column:
+    """``kind_`` and the SHA-256 of the canonical JSON of contract, kind and parts; the contract's name is the caller's."""
+    if kind not in MEDIA_KINDS or not parts:
+        raise ValueError("a media id has a known kind and at least one part")
+    body = F.concat(F.lit('{"contract":'), json_string(F.lit(contract)), F.lit(f',"kind":"{kind}","parts":['), F.concat_ws(",", *(json_string(p) for p in parts)), F.lit("]}"))
+    return F.concat(F.lit(f"{kind}_"), F.sha2(body, 256))
+
+
 def heading_key(path: Column) -> Column:
     """Heading path for comparisons: white space collapsed, lower case."""
     return F.transform(path, lambda x: F.lower(collapse(x)))

@@ -65,3 +65,16 @@ def rrf_two(text: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     part = lambda c: F.coalesce(1 / (F.lit(k) + F.col(c)), F.lit(0.0))
     both = text.select("unit_id", F.col("rank").alias("text_rank")).join(semantic.select("unit_id", F.col("rank").alias("semantic_rank")), "unit_id", "full_outer")
     return both.withColumn("score", F.round(part("text_rank") + part("semantic_rank"), 12))
+
+
+def problems(candidates: DataFrame, branch_id: str, limit: int) -> DataFrame:
+    """rule, n: how a branch's first ``limit`` candidates break what fusion relies on; all rules always, 0 where kept."""
+    rows = candidates.filter(F.col("rank") <= limit)
+    n = F.count(F.lit(1)).alias("n")
+    checks = {
+        "branch_id": rows.filter(F.col("branch_id") != branch_id).agg(n),
+        "ranks_from_1": rows.agg((F.coalesce(F.max("rank"), F.lit(0)) - F.count_distinct("rank")).cast("long").alias("n")),
+        "rank_repeats": rows.groupBy("rank").count().filter("count > 1").agg(n),
+        "unit_repeats": rows.groupBy("unit_id").count().filter("count > 1").agg(n),
+    }
+    return reduce(DataFrame.unionByName, (f.select(F.lit(k).alias("rule"), "n") for k, f in checks.items()))

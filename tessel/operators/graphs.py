@@ -100,12 +100,17 @@ def with_vectors(c: Catalog, embed, space_frame: DataFrame, direct_tokens: int =
     return Catalog(**{t: f.unionByName(getattr(new, t)) for t, f in c.tables().items()})
 
 
+def whole_texts(parts: DataFrame, key: str = "resource_id", ordinal: str = "ordinal") -> DataFrame:
+    """key, text (parts joined by blank lines in order) and token_count (their sum)."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, "text"))), lambda p: p["text"]), "\n\n")
+    return parts.groupBy(key).agg(text.alias("text"), F.sum("token_count").alias("token_count"))
+
+
 def transcript_graph(passages: DataFrame, kind: str = "audio", media_type: str = "audio/mpeg", namespace: str = "media") -> Catalog:
     """Passages as time segments of audio or video resources."""
     spark = passages.sparkSession
     rep = F.concat_ws(":", "resource_id", F.lit("passages"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda p: p["text"]), "\n\n")
-    wholes = passages.groupBy("resource_id").agg(text.alias("text"), F.sum("token_count").cast("int").alias("token_count"))
+    wholes = whole_texts(passages).withColumn("token_count", F.col("token_count").cast("int"))
     resources = wholes.select("resource_id", F.lit(kind).alias("resource_kind"), F.lit(media_type).alias("media_type"), F.lit(namespace).alias("source_namespace"), F.sha2("text", 256).alias("content_hash"))
     reps = wholes.select(rep.alias("representation_id"), "resource_id", F.lit("timed_passage").alias("representation_kind"), F.lit("text").alias("modality"), "text", "token_count")
     uid = T.logical_id("passage", F.col("resource_id"), F.col("ordinal"), F.sha2("text", 256))

@@ -409,7 +409,7 @@ def postings_bm25(index: Index, lengths: DataFrame, terms: list[str]) -> DataFra
 
 def snippet(text: Column, terms: list[str], size: int = 64) -> Column:
     """Up to ``size`` words from the first hit on, hits in ``<b>``."""
-    found = F.split(text, r"\s+")
+    found = F.array_remove(F.split(text, r"\s+"), "")
     is_hit = lambda w: F.exists(T.tokens(w), lambda t: t.isin(*terms))
     first = F.coalesce(F.array_position(F.transform(found, is_hit), F.lit(True)), F.lit(1))
     part = F.slice(found, F.greatest(first, F.lit(1)).cast("int"), size)

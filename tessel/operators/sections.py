@@ -77,3 +77,10 @@ def packed(blocks: DataFrame, target: int = 3200, least: int = 1200) -> DataFram
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "plain"))), lambda b: b["plain"]), "\n\n")
     rows = merged.groupBy("relative_path", "section", "part").agg(text.alias("text"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
     return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("relative_path").orderBy("section", "part")) - 1).drop("part")
+
+
+def provenance(chunks: DataFrame, secs: DataFrame) -> DataFrame:
+    """Chunks (relative_path, section, heading_path) with their section's title; a chunk without one stays, with its own heading path."""
+    s = secs.select("relative_path", "section", F.col("title").alias("section_title"), F.col("path").alias("section_path"))
+    held = chunks.join(s, ["relative_path", "section"], "left")
+    return held.withColumn("heading_path", F.coalesce("section_path", "heading_path")).drop("section_path")

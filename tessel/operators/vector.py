@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vectors as V
@@ -92,6 +92,16 @@ def weighted_centroids(rows: DataFrame, key: str, id_col: str, vector: str, weig
     return out.withColumn("centroid", F.when(size > 0, F.transform("centroid", lambda x: x / size)))
 
 
+def plain_cosine(rows: DataFrame, query: tuple[float, ...], limit: int, order: str = "ordinal") -> DataFrame:
+    """unit_id, score, rank by cosine alone: a vector without a direction scores 0, a query without one finds nothing; ties by ``order``."""
+    if not any(query):
+        return rows.select("unit_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).filter(F.lit(False))
+    q = F.lit([float(x) for x in query])
+    scored = rows.select("unit_id", order, F.round(F.coalesce(V.cosine(F.col("vector"), q), F.lit(0.0)), 9).alias("score"))
+    best = scored.orderBy(F.col("score").desc(), order).limit(limit)
+    return best.select("unit_id", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), order)).alias("rank"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with equal keys; the last of ``new`` (by ``embedded_at``) wins."""
     last = new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in new.columns if c not in keys]), "embedded_at").alias("row")).select(*keys, "row.*")

@@ -395,19 +395,34 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("whole_resource_text", "SELECT conv_id::VARCHAR AS resource_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, sum(len(regexp_extract_all(text, '[^\\s]+')))::BIGINT AS n_tokens FROM conversations GROUP BY conv_id")
 def whole_resource_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.read(spark, sf, "conversations")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"])
-    return rows.groupBy(F.col("conv_id").cast("string").alias("resource_id")).agg(F.array_join(parts, "\n\n").alias("text"), F.sum(T.count_words(F.col("text"))).alias("n_tokens"))
-
-
-@query("catalog_violations")
+    from tessel.operators import graphs
+
+    rows = D.read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("resource_id"), "turn", "text", T.count_words(F.col("text")).alias("token_count"))
+    return graphs.whole_texts(rows, ordinal="turn").withColumnRenamed("token_count", "n_tokens")
+
+
+@query("catalog_violations", """WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents),
+ l AS (SELECT * FROM labels), f AS (SELECT doc_id, 'lang' AS ns, lang AS v FROM documents UNION ALL SELECT doc_id, 'quality', 'i:' || quality FROM l UNION ALL SELECT doc_id, 'toxic', 'i:' || toxic FROM l),
+ n(rule, n) AS (VALUES ('resource_id_unique', (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1))),
+  ('facet_unique', (SELECT count(*) FROM (SELECT doc_id, ns, v FROM f GROUP BY ALL HAVING count(*) > 1))),
+  ('unit_text_or_vector', (SELECT count(*) FROM d WHERE trim(x) = '' OR x IS NULL) + (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))),
+  ('vector_unique', (SELECT count(*) FROM (SELECT vec_id FROM embeddings GROUP BY vec_id HAVING count(*) > 1))),
+  ('vector_has_unit', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))),
+  ('vector_dimensions', (SELECT count(*) FROM embeddings WHERE len(embedding) <> 64)),
+  ('vector_finite', (SELECT count(*) FROM embeddings WHERE len(embedding) = 0 OR len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0)),
+  ('vector_norm', (SELECT count(*) FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: x * x)) = 0)),
+  ('facet_has_resource', (SELECT count(*) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM documents)))),
+ r(rule) AS (VALUES ('resource_id_unique'), ('representation_id_unique'), ('unit_id_unique'), ('unit_ordinal_unique'), ('space_id_unique'), ('vector_unique'), ('facet_unique'), ('source_unique'), ('representation_has_resource'),
+  ('resource_has_representation'), ('unit_has_representation'), ('representation_has_unit'), ('unit_modality'), ('unit_text_or_vector'), ('vector_has_unit'), ('vector_has_space'), ('vector_dimensions'), ('vector_finite'),
+  ('vector_norm'), ('facet_has_resource'), ('resource_kind'), ('space_metric'), ('facet_origin'))
+ SELECT rule, coalesce(n, 0)::BIGINT AS n FROM r LEFT JOIN n USING (rule)""")
 def catalog_violations(spark: SparkSession, sf: str) -> DataFrame:
     from tessel.plans.catalog import violations
 
     return violations(D.catalog(spark, sf))
 
 
-# --- sequential algorithms (held against brute force in tests) -----------------
+# --- sequential algorithms (beyond SQL; properties and parts of them are held in tests) ---
 
 
 @query("timed_passages")
