@@ -411,8 +411,8 @@ def snippet(text: Column, terms: list[str], size: int = 64) -> Column:
     """Up to ``size`` words from the first hit on, hits in ``<b>``."""
     found = F.array_remove(F.split(text, r"\s+"), "")
     is_hit = lambda w: F.exists(T.tokens(w), lambda t: t.isin(*terms))
-    first = F.coalesce(F.array_position(F.transform(found, is_hit), F.lit(True)), F.lit(1))
-    part = F.slice(found, F.greatest(first, F.lit(1)).cast("int"), size)
+    first = F.greatest(F.array_position(F.transform(found, is_hit), F.lit(True)), F.lit(1))
+    part = F.slice(found, first.cast("int"), size)
     body = F.array_join(F.transform(part, lambda w: F.when(is_hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
     return F.concat(F.when(first > 1, F.lit("...")).otherwise(F.lit("")), body, F.when(F.size(found) - first + 1 > size, F.lit("...")).otherwise(F.lit("")))
 
