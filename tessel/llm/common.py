@@ -69,6 +69,14 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, stem: str, buckets: int, column: str) -> DataFrame:
+    """``df`` in a table of this session alone, bucketed where it is made; its files lie in the shared folder and go with it."""
+    spark = df.sparkSession
+    name = table_name(spark, stem)
+    df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def table_name(spark: SparkSession, stem: str) -> str:
     """A name for a table that only this session's results need; it is dropped when Python ends."""
     name = f"tessel_{stem}_{uuid.uuid4().hex}"

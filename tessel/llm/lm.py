@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import stash, table_name
+from tessel.llm.common import bucketed, stash
 from tessel.llm.textkernel import _LOWER, mix, raw, word_hashes
 from tessel.llm.wordstore import WordStore
 
@@ -440,16 +440,15 @@ def fit(blocks: DataFrame, vocabulary: int) -> Model:
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords of every row."""
     path = tokenizer or default_tokenizer()
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    ranges, table = max(1, -(-total // RANGE)), table_name(spark, "lm")
+    ranges = max(1, -(-total // RANGE))
     made = rows.mapInArrow(_make(path), _SCHEMA)
     # bucketed where it is made: what later steps learn comes to the blocks, not they to it
-    made.write.format("parquet").option("compression", "zstd").bucketBy(max(1, -(-total // (2 * BLOCK))), "block").saveAsTable(table)
-    blocks = spark.table(table)
+    blocks = bucketed(made, "lm", max(1, -(-total // (2 * BLOCK))), "block")
     model = fit(blocks, subwords(path).end + 1)
-    words = stash(blocks.mapInArrow(_word_counts(ranges), "range int, block long, items binary, counts binary").groupBy("range").applyInArrow(_sum_words, "block long, items binary, counts binary"))
+    sent = blocks.mapInArrow(_word_counts(ranges), "range int, block long, items binary, counts binary")
+    words = stash(sent.repartition(max(ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range").groupBy("range").applyInArrow(_sum_words, "block long, items binary, counts binary"))
     both = words.filter("block = -1").select("counts").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     told = words.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("items", "counts")).alias("told"))
     joined = blocks.join(told.hint("shuffle_hash"), "block")

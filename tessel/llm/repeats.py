@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import stash, table_name
+from tessel.llm.common import bucketed, stash
 from tessel.llm.textkernel import _VALUE, mix, powers, raw
 from tessel.llm.wordstore import gather
 
@@ -352,12 +352,11 @@ class Blocks:
         self.ranges = 1 << max(0, -(-total // RANGE) - 1).bit_length()
         buckets = max(1, -(-total // (2 * BLOCK)))
         ordered = rows.repartitionByRange(max(1, -(-total // (4 * BLOCK))), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-        self.table = table_name(self.spark, "blocks")
         packed = ordered.mapInArrow(_pack, "block long, ids array<long>, offsets binary, data binary")
-        packed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(self.table)
+        self.table = bucketed(packed, "blocks", buckets, "block")
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.table
 
     def with_replies(self, replies: list[DataFrame]) -> DataFrame:
         told = replies[0]

@@ -15,7 +15,11 @@ pair. Each prefix has one such last piece. Characters that no piece covers
 become byte pieces. Ids and texts equal the library's.
 
 Defined results: a null or empty text has no ids and decodes to an empty
-text; U+2581 in a text decodes to a space, as in the library.
+text; U+2581 in a text decodes to a space, as in the library; an empty table
+gives an empty result. Rows are coded one by one, repeated ones and null ids
+like others. A very long text is one row's work, cut into marked words; the
+store of words is bounded by their number and bytes. Extra columns pass
+through ``coded`` untouched.
 """
 
 from __future__ import annotations
