@@ -3,6 +3,12 @@
 Each stage works on all that the one before kept and returns the columns of
 ``documents``; the last returns doc_id, source, lang, ids and the text that
 the ids decode to. Stages never swallow errors.
+
+Defined results: a null text counts as empty (the quality rules reject it), a
+null id or source is a value like others, an empty table stays empty, and rows
+that repeat id and text are one from exact dedup on. Of groups of copies one
+row stays: the longest original text's, then the smallest id's (exact), the
+smallest id's (near). Texts of any length are worked off whole.
 """
 
 from __future__ import annotations
