@@ -41,7 +41,8 @@ def parser() -> argparse.ArgumentParser:
     add("neighbours", arg("unit_id"), arg("--count", type=int, default=1))
     add("files", arg("--page", type=int, default=1), arg("--size", type=int, default=50))
     add("facets", arg("--namespace"), arg("--metadata", action="store_true"))
-    for name in ("status", "storage", "check", "inspect", "rollback", "vacuum", "rebuild-vectors", "rebuild-fts"):
+    add("chunk", arg("unit_id"))
+    for name in ("init", "status", "storage", "check", "doctor", "inspect", "rollback", "vacuum", "rebuild-vectors", "rebuild-fts"):
         add(name)
     return p
 
@@ -97,9 +98,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         return ok(rows(getattr(e, c)(a.resource_id)))
     if c == "neighbours":
         return ok(rows(e.neighbours(a.unit_id, a.count)))
+    if c == "chunk":
+        found = rows(e.unit(a.unit_id))
+        return ok(found[0]) if found else failed("unknown_unit", a.unit_id)
     if c == "check":
         return ok(rows(violations(e.catalog)))
-    return ok({"status": lambda: rows(e.status()), "storage": lambda: rows(e.analyze_storage()), "inspect": lambda: rows(e.inspect()), "rebuild-fts": e.rebuild_index, "rollback": e.rollback, "vacuum": e.store.vacuum, "rebuild-vectors": e.rebuild_vectors}[c]())
+    return ok({"status": lambda: rows(e.status()), "storage": lambda: rows(e.analyze_storage()), "init": e.init, "doctor": lambda: rows(e.doctor()), "inspect": lambda: rows(e.inspect()), "rebuild-fts": e.rebuild_index, "rollback": e.rollback, "vacuum": e.store.vacuum, "rebuild-vectors": e.rebuild_vectors}[c]())
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

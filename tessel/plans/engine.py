@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as T
 from tessel.operators import chunking, facets, graphs, grouping, incremental, search
-from tessel.plans.catalog import Catalog
+from tessel.plans.catalog import Catalog, violations
 from tessel.plans.ports import Embedder, HashEmbedder, checked
 from tessel.plans.requests import SCOPES, Scope, compile_filters, similarity_scope
-from tessel.plans.store import Store
+from tessel.plans.store import Store, StoreError
 from tessel.sources import frames as frame_source
 from tessel.sources import manifest, markdown, transcripts
 
@@ -183,6 +183,28 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def init(self) -> str:
+        """An empty store with a snapshot; an error where there is one."""
+        if self.store.state()["snapshot"]:
+            raise StoreError("the store is not empty")
+        return self.store.commit(Catalog.empty(self.spark))
+
+    def doctor(self) -> DataFrame:
+        """code, severity, n: units with text against the lexical index and the embedder's vectors, and broken integrity rules."""
+        c, index = self.catalog, self.store.index()
+        texts = c.units.filter(F.trim("text") != "").select(F.col("unit_id").alias("chunk_id"), F.col("text").alias("embedding_text"), "unit_kind")
+        indexed = (index.lengths if index else c.units.limit(0)).select(F.col("unit_id").alias("chunk_id"))
+        space = self.embedder.space_id if self.embedder else None
+        # titles and the like need no vector; the store keeps no hash of what was embedded, so none is told to be stale
+        asked = texts.filter("unit_kind <> 'whole_resource'") if self.embedder else texts.limit(0)
+        held = c.vectors.filter(F.col("space_id") == F.lit(space)).select(F.col("unit_id").alias("chunk_id"))
+        hashes = held.join(texts.select("chunk_id", F.sha2("embedding_text", 256).alias("embedded_hash")), "chunk_id")
+        lexical = incremental.doctor(texts, indexed, hashes).filter("code LIKE '%fts'")
+        semantic = incremental.doctor(asked, asked.select("chunk_id"), hashes).filter("code IN ('missing_embedding', 'stale_embedding')")
+        orphans = held.join(c.units.select(F.col("unit_id").alias("chunk_id")), "chunk_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphan_embedding").alias("code"), F.lit("error").alias("severity"), "n")
+        broken = violations(c).select(F.concat(F.lit("rule_"), "rule").alias("code"), F.lit("error").alias("severity"), "n").filter("n > 0")
+        return lexical.unionByName(semantic).unionByName(orphans).unionByName(broken)
+
     def rebuild_index(self) -> str:
         return self.store.rebuild_index()
 
