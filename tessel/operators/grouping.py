@@ -127,7 +127,9 @@ def _next_cut(atoms: list[Atom], first: int, p: Policy, count: Callable[[str], i
         tokens, end = ahead
         after = atoms[i + 1] if i + 1 < len(atoms) else None
         if after:
-            ahead = (count(joined(atoms[first : i + 2])), max(end, after.end_ms))
+            # there is white space at every seam, so words add up; other counters see the whole text
+            more = tokens + count(after.text) if count is count_words else count(joined(atoms[first : i + 2]))
+            ahead = (more, max(end, after.end_ms))
         free = after is None or after.start_ms >= end  # nothing overlaps the seam
         if tokens > p.hard_max_tokens or end - begin > p.hard_max_ms:
             if tried:  # the last boundary before the limit gets the risk's worth, then all compete

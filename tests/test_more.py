@@ -228,3 +228,76 @@ def test_embedders_are_checked(spark, tmp_path):
         Engine(spark, f"file://{tmp_path}/store", object())
     with pytest.raises(ValueError, match="finite vector"):
         BatchEmbedder("s", 2, lambda texts: [[1.0]] * len(texts)).query("x")
+
+
+# --- grouping against a second, declarative implementation -------------------------
+
+
+def _grouped_by_hand(atoms, p):
+    """Passages as (first, last, reason, score): every seam is described first, then chosen among."""
+    ends = ".!?。！？…"
+    out, first = [], 0
+    while first < len(atoms):
+        seams = []
+        for last in range(first, len(atoms)):
+            part, text = atoms[first : last + 1], ""
+            for a in part:
+                text += ("" if not text or text[-1].isspace() or a.text[0].isspace() else " ") + a.text
+            end, nxt = max(a.end_ms for a in part), atoms[last + 1] if last + 1 < len(atoms) else None
+            seams.append({"last": last, "tokens": len(text.split()), "ms": end - part[0].start_ms, "end": end, "next": nxt, "free": nxt is None or nxt.start_ms >= end})
+        over = lambda s: s["tokens"] > p.hard_max_tokens or s["ms"] > p.hard_max_ms
+        full = lambda s: s["tokens"] >= p.soft_max_tokens or s["ms"] >= p.soft_max_ms
+        for k, s in enumerate(seams):
+            s["risk"] = s["next"] is not None and not over(s) and over(seams[k + 1])
+            s["stops"] = s["free"] and (over(s) or s["risk"] or full(s) or s["next"] is None)
+            s["counts"] = s["free"] and not over(s) and (s["stops"] or s["tokens"] >= p.soft_min_tokens and s["ms"] >= p.soft_min_ms)
+
+        def score(s, risk):
+            a, n, pause = atoms[s["last"]], s["next"], (s["next"].start_ms - s["end"]) if s["next"] else None
+            worth = 100 * risk + 40 * (a.text.rstrip()[-1] in ends) + 15 * ("\n" in a.text) + 20 * full(s) + 10 * (s["tokens"] >= p.target_tokens) + 10 * (s["ms"] >= p.target_ms)
+            if n:
+                worth += 45 * (a.speaker is not None and n.speaker is not None and a.speaker != n.speaker)
+                worth += 35 if pause >= p.strong_pause_ms else 15 if pause >= p.medium_pause_ms else 0
+            far, long = abs(s["tokens"] - p.target_tokens) * 10 // p.target_tokens, abs(s["ms"] - p.target_ms) * 10 // p.target_ms
+            return worth - far - long, far, long
+
+        beyond = next((k for k, s in enumerate(seams) if over(s)), len(seams))
+        stop = next((k for k, s in enumerate(seams[:beyond]) if s["stops"]), None)
+        known = [s for s in seams[: beyond if stop is None else stop + 1] if s["counts"]]
+        if known:
+            if stop is None:
+                marks = [(score(s, s is known[-1]), s["last"]) for s in known]
+                reason = "hard_limit"
+            else:
+                marks = [(score(s, s["risk"]), s["last"]) for s in known]
+                reason = "hard_limit" if seams[stop]["risk"] else "soft_max" if full(seams[stop]) else "end_of_input"
+            mark, last = min(marks, key=lambda m: (-m[0][0], m[0][1], m[0][2], m[1]))
+            out.append((first, last, reason, mark[0]))
+        else:
+            s = next(s for s in seams if s["free"] and over(s))
+            last = s["last"]
+            out.append((first, last, "unsplittable", score(s, False)[0]))
+        first = last + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_grouping_by_hand(seed):
+    import random
+
+    from tessel.operators.grouping import VARIANTS, Atom, Policy, passages
+
+    rng = random.Random(seed)
+    p = VARIANTS["ABC"[seed % 3]] if seed % 4 else Policy(4, 10, 15, 30, 1000, 3000, 5000, 9000)
+    at, atoms = 0, []
+    for _ in range(rng.randint(1, 70)):
+        n = rng.randint(1, 60) if seed % 4 else rng.randint(1, 12)
+        long = rng.randint(200, 30_000) if seed % 4 else rng.randint(100, 4000)
+        text = " ".join(rng.choice(["word", "und", "ça"]) for _ in range(n)) + rng.choice(["", ".", "!", " ", "\n", "…"])
+        atoms.append(Atom(at, at + long, text, rng.choice([None, "a", "b"])))
+        at += max(0, long + rng.choice([0, 0, 300, 800, 2000, -500]))
+    got = [(a, c.last, c.reason, c.score) for a, c in passages(atoms, p)]
+    assert got == _grouped_by_hand(atoms, p)
+    assert [x for a, last, *_ in got for x in range(a, last + 1)] == list(range(len(atoms)))
+    whole = lambda t: len(t.split())  # noqa: E731 - not the usual counter, so texts are joined and recounted
+    assert [(a, c.last, c.tokens) for a, c in passages(atoms, p, whole)] == [(a, c.last, c.tokens) for a, c in passages(atoms, p)]
