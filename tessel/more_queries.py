@@ -12,9 +12,10 @@ from tessel import testdata as D
 from tessel.functions import privacy
 from tessel.functions import text as T
 from tessel.functions import vectors as V
-from tessel.operators import evaluation, facets, fusion, incremental, lexical, search, sections, vector
+from tessel.operators import evaluation, facets, fusion, incremental, lexical, search, sections, timed, vector
 from tessel.operators.scope import evidence_locator, like
-from tessel.queries import _Q, _TERMS, UNITS, bm25_sql, query, renamed
+from tessel.queries import _EVENTS, _Q, _TERMS, UNITS, _events, bm25_sql, query, renamed
+from tessel.sources import cases
 
 _BLOCKS = """b AS (SELECT conv_id, turn, turn % 2 = 0 AS h, 1 + (turn // 2) % 3 AS lvl, text, turn * 2 + 1 AS s, turn * 2 + 2 AS e FROM conversations)"""
 _SECTIONS = f"""{_BLOCKS},
@@ -228,3 +229,29 @@ def heading_keys(spark: SparkSession, sf: str) -> DataFrame:
     path = F.array(F.col("lang"), F.concat(F.lit(" "), "source", F.lit("  X ")), F.upper("source"))
     return D.read(spark, sf, "documents").select("doc_id", F.array_join(T.heading_key(path), "/").alias("heading_key"))
 
+
+
+@query("case_judgments", """WITH c AS (SELECT item_id AS q, CASE WHEN item_id % 3 <> 0 THEN substr(text, 1, 8) END AS a, CASE WHEN item_id % 2 = 0 THEN '/' || (item_id % 10) || '%.md' END AS b, CASE WHEN item_id % 3 = 0 THEN 'F_' END AS h FROM benchmark),
+ u AS (SELECT doc_id, lang, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS txt FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents))
+ SELECT q AS query_id, doc_id || ':' || ord AS item_id, 1 AS grade FROM c JOIN u ON (a IS NULL OR txt ILIKE '%' || a || '%') AND (b IS NULL OR 'd/' || doc_id || '.md' ILIKE '%' || b || '%') AND (h IS NULL OR lang ILIKE '%' || h || '%')""")
+def case_judgments(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("item_id")
+    items = D.read(spark, sf, "benchmark").select(
+        i.alias("query_id"), F.when(i % 3 != 0, F.substring("text", 1, 8)).alias("content_contains"),
+        F.when(i % 2 == 0, F.concat(F.lit("/"), i % 10, F.lit("%.md"))).alias("file_path_contains"), F.when(i % 3 == 0, F.lit("F_")).alias("heading_contains"),
+    )
+    docs = D.read(spark, sf, "documents").select("doc_id", F.col("lang").alias("heading"))
+    chunks = D.paragraphs(spark, sf).join(docs, "doc_id").select(F.col("unit_id").alias("chunk_id"), "text", F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("relative_path"), "heading")
+    return cases.gold(chunks, items)
+
+
+@query("temporal_cases", f"""WITH {_EVENTS}, r AS (SELECT user_id AS q, t AS s, t + 900000 AS e FROM e WHERE event_type = 'click'), g AS (SELECT user_id AS q, t AS gs, t + 600000 AS ge FROM e WHERE event_type = 'purchase'),
+ m AS (SELECT q, round((least(e, ge) - greatest(s, gs))::DOUBLE / (greatest(e, ge) - least(s, gs)), 12) AS iou, abs(s - gs) AS se, abs(e - ge) AS ee FROM r JOIN g USING (q) WHERE least(e, ge) > greatest(s, gs)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY iou DESC, se, ee) AS k FROM m)
+ SELECT u.q AS query_id, round(coalesce(iou, 0), 9) AS best_iou, coalesce(iou, 0) > 0 AS hit, se AS start_error, ee AS end_error FROM (SELECT DISTINCT user_id AS q FROM e) u LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (q)""")
+def temporal_cases(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    own = lambda kind, more: e.filter(F.col("event_type") == kind).select(F.col("user_id").alias("query_id"), F.lit("r").alias("resource_id"), F.col("t").alias("start_ms"), (F.col("t") + more).alias("end_ms"))
+    matches = timed.interval_matches(own("click", 900000), own("purchase", 600000).withColumn("grade", F.lit(1)))
+    found = evaluation.temporal(matches, e.select(F.col("user_id").alias("query_id")).distinct())
+    return found.withColumn("best_iou", F.round("best_iou", 9))
