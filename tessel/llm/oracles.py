@@ -105,4 +105,22 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN j USING (r)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op4_sharding": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_repeats": OP9}
+OP12 = r"""
+WITH x AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+ p AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM x),
+ w AS (SELECT lang, p, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM p),
+ s AS (SELECT lang, a, lead(a) OVER q AS b, lead(a, 2) OVER q AS c FROM w WINDOW q AS (PARTITION BY p ORDER BY i)),
+ f AS MATERIALIZED (SELECT lang, 1 AS m, a AS ph, count(*) AS a FROM s GROUP BY ALL
+   UNION ALL SELECT lang, 2, a || ' ' || b AS ph, count(*) FROM s WHERE b IS NOT NULL GROUP BY ALL
+   UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c AS ph, count(*) FROM s WHERE c IS NOT NULL GROUP BY ALL),
+ c AS MATERIALIZED (SELECT *, string_split(ph, ' ') AS v FROM f WHERE m > 1 AND a >= 10),
+ cut AS MATERIALIZED (SELECT c.lang, c.m, c.ph, c.a, l.a AS l, r.a AS r, k, ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+   FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f l ON l.lang || chr(9) || l.ph = c.lang || chr(9) || array_to_string(c.v[1:k], ' ') JOIN f r ON r.lang || chr(9) || r.ph = c.lang || chr(9) || array_to_string(c.v[k + 1:], ' ')),
+ low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+ longer AS (SELECT lang, ph, max(a) AS a FROM (SELECT lang, a, array_to_string(v[i:i + 1], ' ') AS ph FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE m = 3)) GROUP BY ALL),
+ kept AS MATERIALIZED (SELECT low.* FROM low LEFT JOIN longer h ON low.m = 2 AND h.lang = low.lang AND h.ph = low.ph WHERE h.a IS NULL OR 100 * h.a < 50 * low.a),
+ n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank, ph AS phrase, a, l, r, n, score FROM kept JOIN n USING (lang)) WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op4_sharding": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_repeats": OP9, "op12_phrases": OP12}
