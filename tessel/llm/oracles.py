@@ -105,6 +105,24 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN j USING (r)
 """
 
+#: Windows of 2048 (a half is 1024) with up to four turns before them; the template's marks are 24 characters of a turn.
+OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+   UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) t(i)),
+ t AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]{1,4}')) + len(regexp_extract_all(role, '[^\x20\x09-\x0D]{1,4}')) + 4 AS cost,
+              24 + length(replace(role, '<|', '<||')) + length(replace(text, '<|', '<||')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM c),
+ s AS (SELECT *, sum(cost) OVER w AS upto, first_value(CASE WHEN role = 'system' THEN {'place': place, 'cost': cost, 'size': size} END IGNORE NULLS) OVER b AS sys
+       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY place), b AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ v AS (SELECT conv_id, (upto - 1) // 1024 AS k, min(place) AS p, sum(cost) AS new, sum(size) AS size, min(upto - cost) AS start, arg_min({'s': sys}, place).s AS sys FROM s GROUP BY ALL),
+ h AS (SELECT v.conv_id, v.k, sum(s.size) AS size, bool_or(s.place = v.sys.place) AS has FROM v JOIN s ON s.conv_id = v.conv_id AND s.place BETWEEN v.p - 4 AND v.p - 1
+       AND v.start - (s.upto - s.cost) <= 2048 - v.new - coalesce(v.sys.cost, 0) GROUP BY ALL),
+ f AS (SELECT v.conv_id, sum(v.size + coalesce(h.size, 0) + CASE WHEN v.sys IS NOT NULL AND NOT coalesce(h.has, false) THEN v.sys.size ELSE 0 END)::BIGINT AS formatted_chars, count(*) AS n_windows
+       FROM v LEFT JOIN h ON h.conv_id = v.conv_id AND h.k = v.k GROUP BY v.conv_id),
+ d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+              coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learned FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, n_windows FROM d JOIN f USING (conv_id)
+"""
+
 OP12 = r"""
 WITH x AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
  p AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM x),
@@ -123,4 +141,4 @@ WITH x AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank, ph AS phrase, a, l, r, n, score FROM kept JOIN n USING (lang)) WHERE rank <= 2000
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op4_sharding": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_repeats": OP9, "op12_phrases": OP12}
+ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op4_sharding": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_repeats": OP9, "op11_chat": OP11, "op12_phrases": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import alignment, exact_dedup, line_dedup, lm, minhash, mixing, phrases, quality_rules, repeats, sharding, subwords, token_files
+from tessel.llm import alignment, chat, exact_dedup, line_dedup, lm, minhash, mixing, phrases, quality_rules, repeats, sharding, subwords, token_files
 from tessel.llm.oracles import ORACLES
 
 
@@ -60,6 +60,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents(spark, sf_dir))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = chat.with_trial(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.digests(chat.read(chat.windows(talks)))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.best(phrases.phrases(documents(spark, sf_dir)))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op9_repeats": op9_repeats,
     "op10_token_files": op10_token_files,
+    "op11_chat": op11_chat,
     "op12_phrases": op12_phrases,
     "op13_alignment": op13_alignment,
 }
