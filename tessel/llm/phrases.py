@@ -44,7 +44,7 @@ from tessel.llm.wordstore import gather
 
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Bits of the table of what may be frequent; bytes of text in a slice; rows in a section, in a part of one.
-BITS, SLICE, SECTION, PART = 27, 16 << 20, 1 << 20, 1 << 17
+BITS, SLICE, SECTION, PART = 27, 8 << 20, 1 << 20, 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -147,8 +147,11 @@ def word_rows(texts: DataFrame, seed: int) -> DataFrame:
             if not len(code):
                 continue
             flat, lengths = words.bytes_of(first)
-            mine, theirs = words.bytes_of(np.arange(len(of))), (gather(flat, (np.cumsum(lengths) - lengths)[of], lengths[of]), lengths[of])
-            same = np.array_equal(mine[1], theirs[1]) and np.array_equal(mine[0], theirs[0])
+            starts, same = np.cumsum(lengths) - lengths, True
+            for lo in range(0, len(of), PART):  # each word against the one that stands for its code
+                part = of[lo : lo + PART]
+                mine, own = words.bytes_of(np.arange(lo, lo + len(part)))
+                same &= np.array_equal(own, lengths[part]) and np.array_equal(mine, gather(flat, starts[part], lengths[part]))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             word = pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
             codes = pa.array(code.view(np.int64), mask=np.full(len(code), not same))
