@@ -32,7 +32,8 @@ class Engine:
     def scan(self, folder: str, include: tuple[str, ...] = ("**/*.md",), exclude: tuple[str, ...] = (), force: bool = False, namespace: str = "vault") -> DataFrame:
         """Indexes new and changed Markdown files, takes deleted ones out, and returns the plan of changes."""
         files = markdown.scan(self.spark, folder, include, exclude)
-        old = self.catalog
+        seen = self.store.state()
+        old = self.store.load(seen["snapshot"])
         path = F.get_json_object("locator.payload_json", "$.relative_path")
         stored = old.resources.filter((F.col("source_namespace") == namespace) & (F.col("locator.kind") == "source_file")).select(path.alias("relative_path"), F.col("content_hash").alias("source_hash"), F.col("resource_id").alias("logical_id"), F.lit("active").alias("status"))
         plan = incremental.change_plan(files, stored)
@@ -40,9 +41,9 @@ class Engine:
         rows = plan.join(moves.select(F.col("new_path").alias("relative_path"), F.col("logical_id").alias("moved_id")), "relative_path", "left")
         rows = rows.join(moves.select(F.col("old_path").alias("relative_path"), F.lit(True).alias("left")), "relative_path", "left")
         kind = F.when(F.col("moved_id").isNotNull() | F.col("left"), F.when(F.col("left"), "renamed_from").otherwise("renamed")).otherwise(F.col("change"))
-        rows = rows.select("relative_path", F.coalesce("moved_id", "logical_id").alias("logical_id"), "source_hash", kind.alias("change")).orderBy("relative_path").collect()  # one small row for each file, before the snapshot they came from is replaced
-        found = self.spark.createDataFrame(rows, plan.schema)
-        if force or any(r.change != "unchanged" for r in rows):
+        # the plan is written beside the snapshot that it was made from
+        found = self.store.keep(rows.select("relative_path", F.coalesce("moved_id", "logical_id").alias("logical_id"), "source_hash", kind.alias("change")).orderBy("relative_path"))
+        if force or not found.filter("change <> 'unchanged'").isEmpty():
             work = found.filter("change NOT IN ('deleted', 'renamed_from')" if force else "change IN ('new', 'changed', 'renamed')")
             # what changed keeps the id it is stored under, wherever the file is now
             todo = files.join(work.select("relative_path", F.col("logical_id").alias("resource_id")), "relative_path")
@@ -53,7 +54,7 @@ class Engine:
             todo = todo.withColumn("resource_id", F.coalesce("resource_id", anew)).drop("taken")
             titled = todo.join(markdown.titles(todo), "relative_path")
             batch = self._documents(titled, chunking.chunk_files(todo.drop("resource_id"), self.config), namespace)
-            self.store.replace(batch, found.filter("change = 'deleted'").select(F.col("logical_id").alias("resource_id")))
+            self.store.replace(batch, found.filter("change = 'deleted'").select(F.col("logical_id").alias("resource_id")), seen)
         return found
 
     def _space(self) -> DataFrame:
