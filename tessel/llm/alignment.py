@@ -46,7 +46,7 @@ from tessel.llm.token_files import Tokens, default_tokenizer
 from tessel.llm.wordstore import batches_of, gather
 
 #: Links that a block of documents has before it ends, and characters read at once.
-BLOCK, READ = 3 << 20, 1 << 21
+BLOCK, READ = 3 << 19, 1 << 21
 MARK = "▁"
 
 
@@ -88,7 +88,7 @@ def changes(owner: np.ndarray) -> np.ndarray:
 class Aligner:
     """Encodes with both tokenizers and aligns, each distinct piece once."""
 
-    def __init__(self, model_a: str, model_b: str, limit: int = 200_000, limit_bytes: int = 32 << 20):
+    def __init__(self, model_a: str, model_b: str, limit: int = 400_000, limit_bytes: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         import sentencepiece
         from tokenizers import Tokenizer
@@ -103,6 +103,7 @@ class Aligner:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece of this model crosses words")
         self.size_b = len(pieces)
+        self.decimal = list(map(str, range(max(len(vocabulary), len(pieces)))))
         self.limit, self.limit_bytes = limit, limit_bytes
         self.clear()
 
@@ -172,15 +173,14 @@ class Aligner:
         self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(counts) - counts])
         self.lengths = np.concatenate([self.lengths, counts])
         self.codes, self.times = np.concatenate([self.codes, codes]), np.concatenate([self.times, times_a[left] * times_b[right]])
-        self.held += int(sizes.sum()) * 8 + codes.nbytes * 2
+        self.held += 3 * int(sizes.sum()) + 200 * len(raw) + 2 * codes.nbytes  # two strings and nine numbers for each piece
 
-    @staticmethod
-    def _said(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> Iterator[str]:
+    def _said(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> Iterator[str]:
         """Of each piece, ``a1,a2|b1;a3|b2``: ids of A and B in decimal, by group."""
 
         def parts(ids: np.ndarray, group: np.ndarray) -> list[str]:
             at = _ends(np.unique(group, return_counts=True)[1]).tolist()
-            text = list(map(str, ids.tolist()))
+            text = list(map(self.decimal.__getitem__, ids.tolist()))
             return [",".join(text[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
         groups = [f"{x}|{y}" for x, y in zip(parts(a, group_a), parts(b, group_b), strict=True)]
