@@ -36,7 +36,7 @@ POINTER, CLAIM, PLAN, MANIFEST, ACTIVE = "_pointer-", "_claim-", "_plan-", "_man
 #: States of a store.
 STATES = ("empty", "building", "ready", "failed")
 #: Buckets of a new store. More suit a large one; the number is fixed with the first write.
-BUCKETS = 32
+BUCKETS = 16
 #: Seconds after which a claim or an unfinished snapshot is taken for a dead writer's.
 STALE = 3600
 #: Tables of files: the catalog's, the lexical index's (``home`` is the bucket of the unit's resource), and the keys.
@@ -49,9 +49,13 @@ class StoreError(RuntimeError):
     """A write that was not carried out."""
 
 
-def together(calls: dict[str, Callable]) -> dict:
-    """Results of calls whose Spark jobs do not wait for each other."""
-    with ThreadPoolExecutor(8) as pool:
+def together(calls: dict[str, Callable], at_once: int = 8) -> dict:
+    """Results of calls whose Spark jobs do not wait for each other.
+
+    For plans over files: rows that lie in a plan itself are worked off in the driver, by expressions
+    that two threads cannot share (``to_json``), and are written one table at a time.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
         running = {k: pool.submit(f) for k, f in calls.items()}
         return {k: f.result() for k, f in running.items()}
 
@@ -192,11 +196,11 @@ class Store:
         made = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{snapshot}/{table}"))]
         return {n.removeprefix("bucket="): f"{snapshot}/{table}/{n}" for n in made if n.startswith("bucket=")}
 
-    def _put_catalog(self, snapshot: str, c: Catalog, buckets: int) -> dict[str, dict[str, str]]:
+    def _put_catalog(self, snapshot: str, c: Catalog, buckets: int, at_once: int = 8) -> dict[str, dict[str, str]]:
         home = c.units.select("unit_id", bucket(F.col("resource_id"), buckets).alias("home"))
         own = {t: lambda t=t: self._put(snapshot, t, conform(getattr(c, t), t), bucket(F.col("resource_id"), buckets)) for t in SCHEMAS if t not in ("spaces", "vectors")}
         spaces = lambda: self._put(snapshot, "spaces", conform(c.spaces, "spaces"), F.lit(0))
-        return together(own | {"spaces": spaces, "vectors": lambda: self._put_vectors(snapshot, c.vectors, home)})
+        return together(own | {"spaces": spaces, "vectors": lambda: self._put_vectors(snapshot, c.vectors, home)}, at_once)
 
     def _put_vectors(self, snapshot: str, vectors: DataFrame, home: DataFrame) -> dict[str, str]:
         # a vector without a unit stays, for the rules to find
@@ -246,7 +250,7 @@ class Store:
         n = manifest["buckets"]
         with self._building() as snapshot:
             numbered, _ = self._numbered(c, -1)
-            manifest["files"] = self._put_catalog(snapshot, numbered, n) | {t: {} for t in ("postings", "lengths", "keys")}
+            manifest["files"] = self._put_catalog(snapshot, numbered, n, 1) | {t: {} for t in ("postings", "lengths", "keys")}
             written = self._catalog(manifest)
             home = written.units.select("unit_id", bucket(F.col("resource_id"), n).alias("home"))
             made = together({
@@ -285,7 +289,8 @@ class Store:
         with self._building() as snapshot:
             # the batch is made once: whatever parses, chunks or embeds runs in this write alone
             stash = f"{snapshot}/_batch"
-            together({t: lambda t=t, f=f: conform(f, t).write.parquet(f"{self.root}/{stash}/{t}") for t, f in batch.tables().items()})
+            for t, f in batch.tables().items():
+                conform(f, t).write.parquet(f"{self.root}/{stash}/{t}")
             batch = Catalog(**{t: self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.root}/{stash}/{t}") for t in SCHEMAS})
             ids = batch.resources.select("resource_id")
             leaving = (ids if gone is None else ids.unionByName(gone.select("resource_id"))).distinct()
