@@ -62,23 +62,6 @@ def owners(chunks: DataFrame, secs: DataFrame) -> DataFrame:
     return met.groupBy("relative_path", "chunk_index").agg(F.max_by("section", "s_start").alias("section"))
 
 
-def packed(blocks: DataFrame, target: int = 3200, least: int = 1200) -> DataFrame:
-    """The plain chunker: a section's texts joined in order, a new chunk where the next text would pass ``target``.
-
-    Lengths add up within a section, so chunk numbers are a running sum cut at multiples of the target;
-    a last chunk shorter than ``least`` joins the one before.
-    """
-    order = Window.partitionBy("relative_path", "section").orderBy("ordinal")
-    so_far = F.sum(F.length("plain") + 2).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("plain") - 2
-    whole = Window.partitionBy("relative_path", "section")
-    numbered = blocks.filter("block_type NOT IN ('heading', 'frontmatter', 'thematic_break') AND trim(plain) <> ''").withColumn("part", F.floor(so_far / target))
-    sized = numbered.withColumn("part_chars", F.sum(F.length("plain")).over(Window.partitionBy("relative_path", "section", "part"))).withColumn("last", F.max("part").over(whole))
-    merged = sized.withColumn("part", F.when((F.col("part") == F.col("last")) & (F.col("part") > 0) & (F.col("part_chars") < least), F.col("part") - 1).otherwise(F.col("part")))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "plain"))), lambda b: b["plain"]), "\n\n")
-    rows = merged.groupBy("relative_path", "section", "part").agg(text.alias("text"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
-    return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("relative_path").orderBy("section", "part")) - 1).drop("part")
-
-
 def provenance(chunks: DataFrame, secs: DataFrame) -> DataFrame:
     """Chunks (relative_path, section, heading_path) with their section's title; a chunk without one stays, with its own heading path."""
     s = secs.select("relative_path", "section", F.col("title").alias("section_title"), F.col("path").alias("section_path"))

@@ -3,7 +3,7 @@
 import pytest
 
 from tessel.functions import ids, privacy
-from tessel.operators import sections
+from tessel.operators import packing, sections
 from tessel.plans.cache import ArtifactCache, Key
 from tessel.sources import cases, markdown
 
@@ -21,7 +21,7 @@ def test_sections(spark):
     plain = {r.plain: owned[r.ordinal] for r in blocks.filter("relative_path = 'x.md'").collect()}
     assert (plain["intro"], plain["in a"], plain["in c"], plain["in b"], plain["in d"]) == (0, 1, 2, 3, 4)
     full = blocks.join(sections.assign(blocks, secs), ["relative_path", "ordinal"])
-    assert [r.text for r in sections.packed(full).filter("relative_path = 'x.md'").orderBy("chunk_index").collect()] == ["intro", "in a", "in c", "in b", "in d"]
+    assert [r.text for r in packing.packed(full).filter("relative_path = 'x.md'").orderBy("chunk_index").collect()] == ["intro", "A\n\nin a", "C\n\nin c", "B\n\nin b", "D\n\nin d"]
 
 
 def test_privacy(spark):
