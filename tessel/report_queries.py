@@ -5,11 +5,11 @@ Lines of documents stand in for the blocks of files: sixteen to a section, short
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel import testdata as D
-from tessel.operators import audit, packing
+from tessel.operators import audit, graded, packing
 from tessel.operators.packing import Sizes
 from tessel.queries import query
 
@@ -99,3 +99,56 @@ def block_coverage(spark: SparkSession, sf: str) -> DataFrame:
   round(count(*) FILTER (n > 8000) / count(*), 9) AS oversize_chunk_ratio, round(sum(ov)::DOUBLE / sum(n)::DOUBLE, 9) AS overlap_ratio, (SELECT count(*) FROM cov WHERE n_chunks = 0) AS orphan_block_count, (SELECT count(*) FROM cov WHERE n_chunks > 1) AS repeated_block_count FROM le""")
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.report(*_audited(spark, sf))
+
+
+_CUTS, _MRR, _NDCG = (1, 3, 5), 4, 5
+_GRADED = rf"""l AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS r, 'r' || l_suppkey % 5 AS res, l_suppkey AS s, l_partkey AS p, l_quantity::BIGINT AS n FROM lineitem),
+ c AS (SELECT o_orderkey AS q, o_orderpriority AS kind, o_orderstatus AS st, o_custkey % 3 AS cu FROM orders),
+ k AS (SELECT q, r, 'u' || r AS unit, res, CASE WHEN p % 4 <> 0 THEN n * 10 END AS a, CASE WHEN p % 4 <> 0 THEN n * 10 + 40 + p % 60 END AS z, CASE WHEN p % 4 = 0 THEN n % 5 END AS ts FROM l SEMI JOIN c USING (q)),
+ j AS (SELECT q, r AS number, s % 4 AS grade, CASE WHEN q % 2 = 0 THEN 'u' || r END AS unit, res, CASE WHEN s % 3 = 0 THEN n * 10 + p % 30 END AS a, CASE WHEN s % 3 = 0 THEN n * 10 + 50 END AS z, CASE WHEN s % 3 = 1 AND q % 3 = 0 THEN n % 5 END AS ts FROM l SEMI JOIN c USING (q) WHERE p % 3 <> 0),
+ bu AS (SELECT q, bool_or(unit IS NOT NULL) AS bu FROM j GROUP BY q),
+ g AS (SELECT q, key, arg_max(grade, number) AS grade FROM (SELECT q, number, grade, CASE WHEN bu THEN unit ELSE res END AS key FROM j JOIN bu USING (q)) WHERE key IS NOT NULL GROUP BY ALL),
+ h AS (SELECT k.q, k.r, CASE WHEN bu THEN unit ELSE res END AS key, g.grade FROM k LEFT JOIN bu USING (q) LEFT JOIN g ON g.q = k.q AND g.key = CASE WHEN bu THEN unit ELSE res END),
+ ideal AS (SELECT q, count(*) AS n, sum((2.0 ** grade - 1) / log2(i + 1)) FILTER (i <= {_NDCG}) AS best, max(grade) AS top FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY grade DESC) AS i FROM g) GROUP BY q),
+ got AS (SELECT q, {", ".join(f"count(DISTINCT key) FILTER (grade IS NOT NULL AND r <= {n}) AS n{n}" for n in _CUTS)}, min(r) FILTER (grade IS NOT NULL) AS f, sum((2.0 ** grade - 1) / log2(r + 1)) FILTER (grade IS NOT NULL AND r <= {_NDCG}) AS dcg, count(*) AS ranked FROM h GROUP BY q),
+ pr AS (SELECT j.q, j.number, k.r, k.a AS ka, j.a AS ja, k.ts IS NOT NULL AND j.ts IS NOT NULL AS st, k.ts = j.ts AS eq, greatest(0, least(k.z, j.z) - greatest(k.a, j.a))::DOUBLE / (greatest(k.z, j.z) - least(k.a, j.a)) AS iou, abs(k.a - j.a) AS ea, abs(k.z - j.z) AS ez
+   FROM j JOIN k ON k.q = j.q AND k.r <= {max(_CUTS)} WHERE j.a IS NOT NULL OR j.ts IS NOT NULL),
+ tm AS (SELECT q, bool_or(st AND eq) AS stamp, arg_max({{'iou': iou, 'ea': ea, 'ez': ez}}, (iou, -r, -number)) FILTER (NOT st AND ka IS NOT NULL AND ja IS NOT NULL AND iou > 0) AS b FROM pr GROUP BY q),
+ tj AS (SELECT q, bool_or(a IS NOT NULL OR ts IS NOT NULL) AS t, max(grade) AS top, count(*) <> count(DISTINCT (res, coalesce(unit, ''), coalesce(a, -1), coalesce(z, -1), coalesce(ts, -1))) AS again FROM j GROUP BY q),
+ pc AS (SELECT c.q, c.kind, c.st, c.cu, coalesce(ranked, 0) AS ranked_count, coalesce(t, false) AS temporal_applicable, {", ".join(f"coalesce(n{n} / n, 0) AS recall_at_{n}" for n in _CUTS)}, CASE WHEN f <= {_MRR} THEN 1 / f ELSE 0 END AS mrr,
+   CASE WHEN best > 0 THEN coalesce(dcg, 0) / best ELSE 0 END AS ndcg, coalesce(stamp, false)::INT AS timestamp_hit_at_k, (b IS NOT NULL)::INT AS interval_hit_at_k, coalesce(b.iou, 0) AS best_iou, coalesce(b.ea, 0) AS start_error_ms, coalesce(b.ez, 0) AS end_error_ms,
+   CASE WHEN coalesce(tj.top, 0) <= 0 THEN 'zero-gold case' WHEN again THEN 'duplicate judgment' END AS problem FROM c LEFT JOIN tj USING (q) LEFT JOIN ideal USING (q) LEFT JOIN got USING (q) LEFT JOIN tm USING (q))"""
+
+
+def _graded_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as cases, their lines by price as results, two thirds of them as judgments."""
+    orders, q, n, p, s = D.read(spark, sf, "orders"), F.col("query_id"), F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_suppkey")
+    cases = orders.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("case_kind"), F.array(F.concat(F.lit("status:"), "o_orderstatus"), F.lit("plain"), F.concat(F.lit("customer:of:"), F.col("o_custkey") % 3)).alias("slice_tags"))
+    order = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber", "l_partkey", "l_suppkey")
+    lines = D.read(spark, sf, "lineitem").select("*", F.col("l_orderkey").alias("query_id"), F.row_number().over(order).alias("rank"), F.concat(F.lit("r"), s % 5).alias("resource_id"))
+    unit = F.concat(F.lit("u"), "rank")
+    ranked = lines.select("query_id", "rank", unit.alias("unit_id"), "resource_id", F.when(p % 4 != 0, n * 10).alias("start_ms"), F.when(p % 4 != 0, n * 10 + 40 + p % 60).alias("end_ms"), F.when(p % 4 == 0, n % 5).alias("timestamp_ms"))
+    judgments = lines.filter(p % 3 != 0).select(
+        "query_id", F.col("rank").alias("number"), (s % 4).alias("grade"), F.when(q % 2 == 0, unit).alias("unit_id"), "resource_id", F.when(s % 3 == 0, n * 10 + p % 30).alias("start_ms"), F.when(s % 3 == 0, n * 10 + 50).alias("end_ms"),
+        F.when((s % 3 == 1) & (q % 3 == 0), n % 5).alias("timestamp_ms"),
+    )
+    return cases, judgments, ranked
+
+
+def _to_nine(rows: DataFrame) -> DataFrame:
+    """Measures to 9 digits, as sums in another order differ in the last of 12."""
+    return rows.withColumns({m: F.round(F.col(m).cast("double"), 9) for m in graded.measures(_CUTS)})
+
+
+@query("graded_cases", f"WITH {_GRADED} SELECT q AS query_id, ranked_count, temporal_applicable, {', '.join(f'round(round({m}::DOUBLE, 12), 9) AS {m}' for m in graded.measures(_CUTS))}, problem FROM pc")
+def graded_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return _to_nine(graded.per_case(*_graded_tables(spark, sf), _CUTS, _MRR, _NDCG)).drop("case_kind", "slice_tags")
+
+
+_MEANS = ", ".join(f"round(coalesce(avg({m}){' FILTER (temporal_applicable)' if m in graded.TEMPORAL else ''}, 0), 9) AS {m}" for m in graded.measures(_CUTS))
+
+
+@query("graded_report", f"""WITH {_GRADED}, lb AS MATERIALIZED (SELECT *, unnest([{{'level': 'summary', 'label': ''}}, {{'level': 'case_kind', 'label': kind}}, {{'level': 'slice', 'label': 'status=' || st}}, {{'level': 'slice', 'label': 'customer=of:' || cu}}]) AS x FROM pc WHERE problem IS NULL)
+ SELECT x.level AS level, x.label AS label, count(*) AS cases, count(*) FILTER (temporal_applicable) AS temporal_cases, {_MEANS} FROM lb GROUP BY ALL""")
+def graded_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _to_nine(graded.report(graded.per_case(*_graded_tables(spark, sf), _CUTS, _MRR, _NDCG).filter("problem IS NULL"), _CUTS))

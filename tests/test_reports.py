@@ -1,10 +1,12 @@
 """The plain chunker, the coverage audit and the graded report."""
 
+import math
+
 import duckdb
 import pytest
 
 from tessel import report_queries as R
-from tessel.operators import audit, packing
+from tessel.operators import audit, graded, packing
 from tessel.operators.packing import Sizes
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,59 @@ def test_coverage(spark):
     # nothing at all
     empty = audit.report(b.limit(0), c.limit(0)).first().asDict()
     assert set(empty.values()) == {0, 0.0}
+
+
+JUDGED = "query_id string, number int, resource_id string, unit_id string, grade int, start_ms long, end_ms long, timestamp_ms long"
+RANKED = "query_id string, rank int, unit_id string, resource_id string, start_ms long, end_ms long, timestamp_ms long"
+CASES = "query_id string, case_kind string, slice_tags array<string>"
+
+
+def graded_rows(spark, cases, judged, ranked, **options):
+    return graded.per_case(spark.createDataFrame(cases, CASES), spark.createDataFrame(judged, JUDGED), spark.createDataFrame(ranked, RANKED), **options)
+
+
+def test_graded(spark):
+    cases = [("a", "hybrid", ["mode:hybrid", "plain"]), ("b", "lexical", ["mode:hybrid"]), ("c", "lexical", None)]
+    judged = [("a", 0, "r1", "good", 3, 100, 200, None), ("a", 1, "r1", "weak", 1, 300, 400, None), ("a", 2, "r1", None, 1, None, None, 7), ("b", 0, "r", None, 2, None, None, None), ("b", 1, "s", None, 0, None, None, None), ("c", 0, "r", "u", 1, None, None, None), ("z", 0, "r", "u", 1, None, None, None)]
+    ranked = [("a", 1, "good", "r1", 100, 200, None), ("a", 2, "weak", "r1", 350, 450, None), ("a", 3, "other", "r2", None, None, 7), ("b", 1, "x", "q", None, None, None), ("b", 2, "y", "r", None, None, None), ("b", 3, "z", "r", None, None, None), ("z", 1, "u", "r", None, None, None)]
+    got = {r.query_id: r for r in graded_rows(spark, cases, judged, ranked, cutoffs=(1, 2, 3), mrr_cutoff=2, ndcg_cutoff=3).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert set(got) == {"a", "b", "c"} and not any(r.problem for r in got.values())
+    assert (a.recall_at_1, a.recall_at_2, a.recall_at_3, a.mrr, a.ndcg) == (0.5, 1.0, 1.0, 1.0, 1.0)
+    assert (a.timestamp_hit_at_k, a.interval_hit_at_k, a.best_iou, a.start_error_ms, a.end_error_ms, a.ranked_count) == (1, 1, 1.0, 0, 0, 3)
+    # by resource, where no judgment names a unit: a resource counts at each of its ranks, a judged one of grade 0 is to be found
+    assert (b.recall_at_1, b.recall_at_2, b.recall_at_3, b.mrr, b.temporal_applicable) == (0.0, 0.5, 0.5, 0.5, False)
+    assert b.ndcg == round((3 / math.log2(3) + 3 / 2) / 3, 12)
+    assert (c.recall_at_3, c.mrr, c.ndcg, c.ranked_count) == (0.0, 0.0, 0.0, 0)
+    rows = graded_rows(spark, cases, judged, ranked, cutoffs=(1, 2, 3), mrr_cutoff=2, ndcg_cutoff=3)
+    means = {(r.level, r.label): r for r in graded.report(rows, (1, 2, 3)).collect()}
+    assert set(means) == {("summary", ""), ("case_kind", "hybrid"), ("case_kind", "lexical"), ("slice", "mode=hybrid")}
+    total = means["summary", ""]
+    assert (total.cases, total.temporal_cases, total.best_iou, total.mrr) == (3, 1, 1.0, 0.5)
+    assert means["case_kind", "lexical"].best_iou == 0.0 and means["slice", "mode=hybrid"].cases == 2
+
+
+def test_graded_times(spark):
+    judged = [("a", 0, "r", "u", 1, 0, 100, None), ("a", 1, "r", "v", 1, 50, 150, None), ("a", 2, "r", "w", 1, None, None, 5)]
+    ranked = [("a", 1, "p", "r", 0, 0, None), ("a", 2, "q", "r", 50, 100, None), ("a", 3, "s", "r", 0, 100, None), ("a", 4, "t", "r", 0, 0, 5)]
+    row = lambda k: graded_rows(spark, [("a", "k", [])], judged, ranked, cutoffs=(k,)).first()
+    # of equal overlaps the first judgment's counts; results past the deepest cutoff have no say
+    assert [(r.best_iou, r.interval_hit_at_k, r.start_error_ms, r.end_error_ms, r.timestamp_hit_at_k) for r in map(row, (1, 2, 3, 4))] == [(0.0, 0, 0, 0, 0), (0.5, 1, 50, 0, 0), (1.0, 1, 0, 0, 0), (1.0, 1, 0, 0, 1)]
+
+
+def test_graded_problems(spark):
+    one = ("a", 0, "r", "u", 1, None, None, None)
+    hit = ("a", 1, "u", "r", None, None, None)
+    of = lambda judged, ranked: graded_rows(spark, [("a", "k", [])], judged, ranked)
+    assert of([], []).first().problem == "zero-gold case" and of([one[:4] + (0,) + one[5:]], [hit]).first().problem == "zero-gold case"
+    assert of([one, ("a", 1, *one[2:])], [hit]).first().problem == "duplicate judgment"
+    twice = of([one], [hit, ("a", 2, *hit[2:])])
+    assert twice.first().problem == "duplicate ranked id"
+    with pytest.raises(Exception, match="duplicate ranked id"):
+        graded.report(twice).collect()
+    with pytest.raises(ValueError):
+        graded_rows(spark, [], [], [], cutoffs=(0,))
+    assert graded_rows(spark, [], [], []).count() == 0
+    # one distribution of all rows by case
+    plan = of([one], [hit])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
