@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a boundary's properties are worth, and the characters that end a sentence.
@@ -182,13 +182,25 @@ def group_variants(atoms: DataFrame, variants: dict[str, Policy] | None = None)
     return out
 
 
-def grouping_metrics(passages_: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Counts of a grouping by resource: passages, atoms, reasons, tokens, and overlapping passages."""
+def grouping_metrics(passages_: DataFrame, atoms: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """Counts of a grouping by resource: atoms and those that begin before an earlier one's end, passages, atoms they refer to and repeat,
+    passages that begin before the last one's end or exceed the policy's hard limits, tokens, lengths, reasons. A resource without passages has zeros.
+    """
     from tessel.operators.timed import overlaps
 
-    n = atoms.groupBy("resource_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    got = overlaps(passages_).groupBy("resource_id").agg(
-        F.count(F.lit(1)).alias("n_passages"), F.sum("token_count").alias("n_tokens"), F.max("token_count").alias("max_tokens"), F.max(F.col("end_ms") - F.col("start_ms")).alias("max_ms"),
-        F.count_if("overlaps").alias("n_overlaps"), F.sum(F.col("last_atom") - F.col("first_atom") + 1).alias("n_covered"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("hard_limit", "soft_max", "end_of_input", "unsplittable")),
+    p = policy or Policy()
+    n = overlaps(atoms).groupBy("resource_id").agg(F.count(F.lit(1)).alias("n_atoms"), F.count_if("overlaps").alias("n_input_overlaps"))
+    order = Window.partitionBy("resource_id").orderBy("ordinal")
+    # atoms are numbered, so those already referred to are the ones up to the furthest so far
+    places = Window.partitionBy("resource_id").orderBy("first_atom", "last_atom").rowsBetween(Window.unboundedPreceding, -1)
+    own, before = F.col("last_atom") - F.col("first_atom") + 1, F.coalesce(F.max("last_atom").over(places), F.lit(-1))
+    length = F.col("end_ms") - F.col("start_ms")
+    held = passages_.withColumns({
+        "_own": own, "_new": F.greatest(F.lit(0), F.col("last_atom") - F.greatest("first_atom", before + 1) + 1), "_overlaps": F.coalesce(F.col("start_ms") < F.lag("end_ms").over(order), F.lit(False)),
+    })
+    got = held.groupBy("resource_id").agg(
+        F.count(F.lit(1)).alias("n_passages"), F.sum("token_count").alias("n_tokens"), F.max("token_count").alias("max_tokens"), F.max(length).alias("max_ms"), F.count_if("_overlaps").alias("n_overlaps"),
+        F.sum("_own").alias("n_covered"), F.sum(F.col("_own") - F.col("_new")).alias("n_repeated_atoms"), F.count_if((F.col("token_count") > p.hard_max_tokens) | (length > p.hard_max_ms)).alias("n_hard_exceeded"),
+        *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("hard_limit", "soft_max", "end_of_input", "unsplittable")),
     )
-    return n.join(got, "resource_id")
+    return n.join(got, "resource_id", "left").fillna(0)

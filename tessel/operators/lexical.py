@@ -294,8 +294,10 @@ def answers(index: Index | None, query: str) -> bool:
 def indexed_bm25(index: Index, query: str) -> DataFrame:
     """unit_id, bm25 of the units that match, from postings of the query's terms and units' lengths; no text is read.
 
-    Terms reach the postings' scan as filters, prefixes as ranges; a phrase is
-    counted where its tokens' positions follow each other.
+    Terms reach the postings' scan as filters, prefixes as ranges. Words are
+    counted by ``tf`` alone; only where there is a phrase of several words, or
+    one at a text's start, are positions read, and a phrase is counted where
+    they follow each other.
     """
     node = parse_query(query)
     phrases = phrases_of(node)
@@ -308,7 +310,11 @@ def indexed_bm25(index: Index, query: str) -> DataFrame:
         wanted = wanted | cond
     names = {key: f"_at{i}" for i, key in enumerate(slots)}
     none = F.array().cast("array<int>")
-    held = index.postings.filter(wanted).groupBy("unit_id").agg(*(F.flatten(F.collect_list(F.when(cond, F.col("positions")))).alias(names[key]) for key, cond in slots.items()))
+    asked = index.postings.filter(wanted)
+    if all(len(p.tokens) == 1 and not p.first for p in phrases):
+        counts = asked.groupBy("unit_id").agg(*(F.coalesce(F.sum(F.when(cond, F.col("tf"))), F.lit(0)).alias(names[key]) for key, cond in slots.items()))
+        return _scored(index, node, phrases, counts.select("unit_id", *(F.col(names[p.tokens[0], p.prefix]).alias(f"_tf{i}") for i, p in enumerate(phrases))))
+    held = asked.groupBy("unit_id").agg(*(F.flatten(F.collect_list(F.when(cond, F.col("positions")))).alias(names[key]) for key, cond in slots.items()))
 
     def earlier(at: Column, k: int) -> Column:
         return F.transform(F.coalesce(at, none), lambda x: x - k)
@@ -320,7 +326,11 @@ def indexed_bm25(index: Index, query: str) -> DataFrame:
             at = here if k == 0 else F.array_intersect(at, here)
         return F.size(F.filter(at, lambda x: x == 0) if p.first else at)
 
-    counted = held.select("unit_id", *(count(p).alias(f"_tf{i}") for i, p in enumerate(phrases)))
+    return _scored(index, node, phrases, held.select("unit_id", *(count(p).alias(f"_tf{i}") for i, p in enumerate(phrases))))
+
+
+def _scored(index: Index, node, phrases: list[Phrase], counted: DataFrame) -> DataFrame:
+    """unit_id, bm25 of the units that match, from how often each phrase occurs in them (``_tf0``, ...)."""
     having = counted.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))))
     stats = index.stats.select(F.col("n_docs").alias("_n"), (F.col("total_len") / F.col("n_docs")).alias("_avg"))
     number = iter(range(len(phrases)))
@@ -340,10 +350,16 @@ def indexed_bm25(index: Index, query: str) -> DataFrame:
     return scored.select("unit_id", score.alias("bm25"))
 
 
-def write_index(index: Index, table: str, buckets: int) -> Index:
-    """The index in tables ``<table>_postings`` (bucketed and sorted by term), ``<table>_stats`` and ``<table>_lengths``."""
+def write_index(index: Index, table: str, ranges: int | None = None) -> Index:
+    """The index in tables ``<table>_postings``, ``<table>_stats`` and ``<table>_lengths`` of the warehouse.
+
+    Postings lie in ranges of term and unit, sorted, so that a query's terms reach few row groups and a frequent term is no one task's.
+    The number of ranges is the session's of shuffle partitions unless given.
+    """
     spark = index.postings.sparkSession
-    index.postings.repartition(buckets, "term").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{table}_postings")
+    keys = ("term", "unit_id")
+    held = index.postings.repartitionByRange(ranges, *keys) if ranges else index.postings.repartitionByRange(*keys)
+    held.sortWithinPartitions(*keys).write.mode("overwrite").saveAsTable(f"{table}_postings")
     index.stats.write.mode("overwrite").saveAsTable(f"{table}_stats")
     if index.lengths is None:
         return Index(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"))

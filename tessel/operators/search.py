@@ -139,7 +139,7 @@ def search_unified(c: Catalog, query: str, vectors_by_space: dict[str, tuple[flo
     return Result(out.rows.join(titles, "resource_id"), out.degradations)
 
 
-def search_transcripts(c: Catalog, query: str, space_id: str | None = None, vec: tuple[float, ...] | None = None, limit: int = 10, target: str = "unit", weights: tuple[float, float] = (0.4, 0.6), scope: Scope | None = None) -> Result:
+def search_transcripts(c: Catalog, query: str, space_id: str | None = None, vec: tuple[float, ...] | None = None, limit: int = 10, target: str = "unit", weights: tuple[float, float] = (0.4, 0.6), scope: Scope | None = None, index: Index | None = None) -> Result:
     """Passages of audio and video, by unit or resource; nothing where the scope excludes them."""
     inside = timed_scope(scope or Scope())
     most = max(10 * limit, 100)
@@ -147,21 +147,21 @@ def search_transcripts(c: Catalog, query: str, space_id: str | None = None, vec:
     if space_id and vec:
         branches.append(Vector("semantic", space_id, vec, weights[1], most))
     if inside is None:
-        return Result(search(c, Request(tuple(branches), Scope(), target, limit)).rows.filter(F.lit(False)))
-    return search(c, Request(tuple(branches), inside, target, limit))
+        return Result(search(c, Request(tuple(branches), Scope(), target, limit), index).rows.filter(F.lit(False)))
+    return search(c, Request(tuple(branches), inside, target, limit), index)
 
 
-def search_images(c: Catalog, query: str, space_id: str | None = None, vec: tuple[float, ...] | None = None, limit: int = 10, weights: tuple[float, float] = (0.4, 0.6)) -> Result:
+def search_images(c: Catalog, query: str, space_id: str | None = None, vec: tuple[float, ...] | None = None, limit: int = 10, weights: tuple[float, float] = (0.4, 0.6), index: Index | None = None) -> Result:
     branches: list = [Lexical("lexical", query, weights[0], 2 * limit)] if query and weights[0] else []
     if space_id and vec and weights[1]:
         branches.append(Vector("semantic", space_id, vec, weights[1], 2 * limit))
-    return search(c, Request(tuple(branches), Scope(resource_kinds=("image",)), "resource", limit, allow_partial=False))
+    return search(c, Request(tuple(branches), Scope(resource_kinds=("image",)), "resource", limit, allow_partial=False), index)
 
 
-def search_resources_text(c: Catalog, query: str, limit: int = 10, scope: Scope | None = None) -> Result:
+def search_resources_text(c: Catalog, query: str, limit: int = 10, scope: Scope | None = None, index: Index | None = None) -> Result:
     """Metadata (weight 1) and body (0.2), by resource."""
     most = max(limit, 100)
-    return search(c, Request((Lexical("metadata", query, 1.0, most, Override(representation_kinds=("metadata_text",))), Lexical("body", query, 0.2, most, Override(representation_kinds=("retrieval_text",)))), scope or Scope(), "resource", limit))
+    return search(c, Request((Lexical("metadata", query, 1.0, most, Override(representation_kinds=("metadata_text",))), Lexical("body", query, 0.2, most, Override(representation_kinds=("retrieval_text",)))), scope or Scope(), "resource", limit), index)
 
 
 def similar(c: Catalog, resource_id: str, space_id: str, limit: int = 10, aggregations: tuple[str, ...] = (), scope: Scope | None = None) -> DataFrame:

@@ -120,17 +120,17 @@ class Engine:
         return self.embedder.space_id, self.embedder.query(query)
 
     def search_transcripts(self, query: str, limit: int = 10, target: str = "unit") -> search.Result:
-        return search.search_transcripts(self.catalog, query, *self._asked(query), limit=limit, target=target)
+        return search.search_transcripts(self.catalog, query, *self._asked(query), limit=limit, target=target, index=self.store.index())
 
     def search_media(self, query: str, preset: str = "balanced", limit: int = 10, scope: str | Scope | None = None, mode: str | None = None, filters: tuple = ()) -> search.Result:
         """A preset's branches: all five where the store has vectors, the lexical three where it has none."""
         return search.search(self.catalog, search.preset_request(preset, query, *self._asked(query), limit, self._scope(scope, filters), mode), self.store.index())
 
     def search_images(self, query: str, limit: int = 10) -> search.Result:
-        return search.search_images(self.catalog, query, *self._asked(query), limit=limit)
+        return search.search_images(self.catalog, query, *self._asked(query), limit=limit, index=self.store.index())
 
     def search_resources(self, query: str, limit: int = 10) -> search.Result:
-        return search.search_resources_text(self.catalog, query, limit)
+        return search.search_resources_text(self.catalog, query, limit, index=self.store.index())
 
     # reads ------------------------------------------------------------------
 

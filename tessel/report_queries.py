@@ -1,17 +1,19 @@
-"""Queries of the plain chunker, the coverage audit and the graded report, with their SQL.
+"""Queries of the plain chunker, the coverage audit, the graded report, the stored index and counters of passages, with their SQL.
 
 Lines of documents stand in for the blocks of files: sixteen to a section, short ones in every fourth place are headings.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel import testdata as D
-from tessel.operators import audit, graded, packing
+from tessel.operators import audit, graded, grouping, lexical, packing
 from tessel.operators.packing import Sizes
-from tessel.queries import query
+from tessel.queries import _TERMS, UNITS, bm25_sql, query, renamed
 
 _W = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _LINES = rf"""lines AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS txt FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
@@ -152,3 +154,42 @@ _MEANS = ", ".join(f"round(coalesce(avg({m}){' FILTER (temporal_applicable)' if
  SELECT x.level AS level, x.label AS label, count(*) AS cases, count(*) FILTER (temporal_applicable) AS temporal_cases, {_MEANS} FROM lb GROUP BY ALL""")
 def graded_report(spark: SparkSession, sf: str) -> DataFrame:
     return _to_nine(graded.report(graded.per_case(*_graded_tables(spark, sf), _CUTS, _MRR, _NDCG).filter("problem IS NULL"), _CUTS))
+
+
+def _stored(spark: SparkSession, sf: str) -> lexical.Index:
+    """The index of all paragraphs, built, written to the warehouse and read back."""
+    return lexical.write_index(lexical.build_index(D.paragraphs(spark, sf)), f"lexical_{uuid.uuid4().hex}")
+
+
+@query("stored_index_words", f"WITH {UNITS}, {bm25_sql(_TERMS)} SELECT doc_id, ord, s AS score FROM bm")
+def stored_index_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words, from a stored index: counts alone are read, no text and no position."""
+    return renamed(lexical.indexed_bm25(_stored(spark, sf), " ".join(_TERMS))).select("doc_id", "ord", F.round("bm25", 9).alias("score"))
+
+
+@query("stored_index_phrase", f"WITH {UNITS} SELECT doc_id, ord FROM tok WHERE (list_contains(t, 'of') OR list_contains(t, 'que') OR ' ' || array_to_string(t, ' ') LIKE '% of the%') AND NOT len(list_filter(t, lambda x: x LIKE 'sta%')) > 0")
+def stored_index_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase whose last word is a beginning, alternatives and a beginning left out, from a stored index."""
+    return renamed(lexical.indexed_bm25(_stored(spark, sf), '((of OR que) OR "of the"*) NOT sta*')).select("doc_id", "ord")
+
+
+@query("passage_counters", """WITH a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS o, turn * 1000 AS s, turn * 1000 + length(coalesce(text, '')) * 9 AS e FROM conversations),
+ ov AS (SELECT *, coalesce(s < max(e) OVER (PARTITION BY conv_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit FROM a),
+ p AS (SELECT conv_id, o // 3 AS n, min(s) AS s, max(e) AS e, min(o) AS f, count(*) AS k FROM (SELECT conv_id, o, s, e FROM a UNION ALL SELECT conv_id, o - 1, s, e FROM a WHERE o % 3 = 0 AND o > 0) GROUP BY conv_id, o // 3),
+ q AS (SELECT *, coalesce(s < lag(e) OVER (PARTITION BY conv_id ORDER BY n), false) AS late FROM p),
+ x AS (SELECT conv_id, count(*) AS n_passages, sum(k * 100)::BIGINT AS n_tokens, max(k * 100) AS max_tokens, max(e - s) AS max_ms, count(*) FILTER (late) AS n_overlaps, sum(k)::BIGINT AS n_covered, count(*) FILTER (k * 100 > 350 OR e - s > 4000) AS n_hard_exceeded,
+   count(*) FILTER (n % 2 = 0) AS n_soft_max, count(*) FILTER (n % 2 = 1) AS n_end_of_input FROM q GROUP BY conv_id)
+ SELECT conv_id::VARCHAR AS resource_id, count(*) AS n_atoms, count(*) FILTER (hit) AS n_input_overlaps, any_value(n_passages) AS n_passages, any_value(n_tokens) AS n_tokens, any_value(max_tokens) AS max_tokens, any_value(max_ms) AS max_ms, any_value(n_overlaps) AS n_overlaps,
+  any_value(n_covered) AS n_covered, any_value(n_covered) - count(*) AS n_repeated_atoms, any_value(n_hard_exceeded) AS n_hard_exceeded, 0 AS n_hard_limit, any_value(n_soft_max) AS n_soft_max, any_value(n_end_of_input) AS n_end_of_input, 0 AS n_unsplittable FROM ov JOIN x USING (conv_id) GROUP BY conv_id""")
+def passage_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of passages of three turns that repeat the first turn of the next."""
+    turn = F.col("turn")
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    atoms = D.read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("resource_id"), at.alias("ordinal"), (turn * 1000).alias("start_ms"), (turn * 1000 + F.length(F.coalesce("text", F.lit(""))) * 9).alias("end_ms"))
+    again = atoms.filter("ordinal % 3 = 0 AND ordinal > 0").select("*", F.floor((F.col("ordinal") - 1) / 3).alias("n"))
+    passages = atoms.select("*", F.floor(F.col("ordinal") / 3).alias("n")).unionByName(again).groupBy("resource_id", "n").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("ordinal").alias("first_atom"), F.max("ordinal").alias("last_atom"), (F.count(F.lit(1)) * 100).alias("token_count"),
+    )
+    marked = passages.withColumn("ordinal", F.col("n")).withColumn("reason", F.when(F.col("n") % 2 == 0, "soft_max").otherwise("end_of_input"))
+    policy = grouping.Policy(soft_min_tokens=100, target_tokens=200, soft_max_tokens=300, hard_max_tokens=350, soft_min_ms=1000, target_ms=2000, soft_max_ms=3000, hard_max_ms=4000)
+    return grouping.grouping_metrics(marked, atoms, policy)

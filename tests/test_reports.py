@@ -4,9 +4,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessel import report_queries as R
-from tessel.operators import audit, graded, packing
+from tessel.operators import audit, graded, grouping, lexical, packing
 from tessel.operators.packing import Sizes
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +138,26 @@ def test_graded_problems(spark):
     # one distribution of all rows by case
     plan = of([one], [hit])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_words_read_counts_alone(spark, tmp_path):
+    units = spark.createDataFrame([(f"u{i}", "the red fox " + "red " * (i % 4) + ("blue" if i % 5 == 0 else "reef")) for i in range(40)] + [("n", None), ("e", " ")], "unit_id string, text string")
+    index = lexical.write_index(lexical.build_index(units), "words_alone", 3)
+    plan = lambda q: lexical.indexed_bm25(index, q)._jdf.queryExecution().executedPlan().toString()
+    assert "positions" not in plan("red OR re*") and "positions" in plan('"red fox"') and "positions" in plan("^the")
+    for q in ("red", "re*", "red re*", "(blue OR reef) NOT fox*", "blue NOT reef", "red AND blue"):
+        want = {r.unit_id: round(r.bm25, 9) for r in lexical.bm25(units, q).collect()}
+        assert {r.unit_id: round(r.bm25, 9) for r in lexical.indexed_bm25(index, q).collect()} == want, q
+    # a term that all units hold lies in several files
+    assert index.postings.filter("term = 'red'").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_passage_counters(spark):
+    atoms = spark.createDataFrame([("r", 0, 0, 100), ("r", 1, 50, 80), ("r", 2, 90, 200), ("r", 3, 200, 300), ("q", 0, 0, 5)], "resource_id string, ordinal int, start_ms long, end_ms long")
+    made = spark.createDataFrame([("r", 0, 0, 200, 10, 0, 2, "soft_max"), ("r", 1, 90, 300, 2000, 1, 3, "hard_limit"), ("r", 2, 200, 300, 5, 3, 3, "end_of_input")], "resource_id string, ordinal int, start_ms long, end_ms long, token_count int, first_atom int, last_atom int, reason string")
+    got = {r.resource_id: r for r in grouping.grouping_metrics(made, atoms).collect()}
+    r = got["r"]
+    assert (r.n_atoms, r.n_input_overlaps, r.n_passages, r.n_overlaps, r.n_covered, r.n_repeated_atoms, r.n_hard_exceeded) == (4, 2, 3, 2, 7, 3, 1)
+    assert (r.n_tokens, r.max_tokens, r.max_ms, r.n_soft_max, r.n_hard_limit, r.n_end_of_input, r.n_unsplittable) == (2015, 2000, 210, 1, 1, 1, 0)
+    # a resource without passages has zeros
+    assert (got["q"].n_atoms, got["q"].n_passages, got["q"].n_covered) == (1, 0, 0)
