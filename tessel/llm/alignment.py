@@ -118,8 +118,9 @@ class Aligner:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """The text with its space, cut where neither tokenizer joins."""
-        return [p for p in Tokens.pieces(" " + text) if p] if text else []
+        """The text with its space, cut where neither tokenizer joins. A last space stays with the piece before it, as B adds a space to no empty text."""
+        cut = [p for p in Tokens.pieces(" " + text) if p] if text else []
+        return [*cut[:-2], cut[-2] + " "] if len(cut) > 1 and cut[-1] == " " else cut
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and their number for each piece, ids of B and theirs."""

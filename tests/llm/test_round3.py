@@ -190,3 +190,13 @@ def test_a_small_store_changes_nothing():
     for t in texts:
         a, b = whole.texts([t]), small.texts([t])
         assert a[1] == b[1] and all(np.array_equal(x, y) for x, y in zip(a[2:], b[2:], strict=True)) and np.array_equal(a[0], b[0])
+
+
+def test_a_last_space_is_aligned(spark):
+    texts = ["a ", "plain words ", "line\n ", ". ", "tab\t ", "two  ", "\xa0 ", "plain words", "\U0001f600 ", "\x00 "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    got = {r.doc_id: tuple(r[c] for c in names) for r in alignment.aligned(frame).collect()}
+    assert got == dict(enumerate(_aligned(texts)))
+    assert got[0][0] == 2 and got[1][0] == 3
+    assert [len(r.groups) for r in alignment.alignment(frame).orderBy("doc_id").collect()] == [got[k][2] for k in range(len(texts))]
