@@ -127,7 +127,8 @@ def _graded_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     orders, q, n, p, s = D.read(spark, sf, "orders"), F.col("query_id"), F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_suppkey")
     cases = orders.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("case_kind"), F.array(F.concat(F.lit("status:"), "o_orderstatus"), F.lit("plain"), F.concat(F.lit("customer:of:"), F.col("o_custkey") % 3)).alias("slice_tags"))
     order = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber", "l_partkey", "l_suppkey")
-    lines = D.read(spark, sf, "lineitem").select("*", F.col("l_orderkey").alias("query_id"), F.row_number().over(order).alias("rank"), F.concat(F.lit("r"), s % 5).alias("resource_id"))
+    bought = D.read(spark, sf, "lineitem")
+    lines = bought.repartition(graded.tasks(bought), "l_orderkey").select("*", F.col("l_orderkey").alias("query_id"), F.row_number().over(order).alias("rank"), F.concat(F.lit("r"), s % 5).alias("resource_id"))
     unit = F.concat(F.lit("u"), "rank")
     ranked = lines.select("query_id", "rank", unit.alias("unit_id"), "resource_id", F.when(p % 4 != 0, n * 10).alias("start_ms"), F.when(p % 4 != 0, n * 10 + 40 + p % 60).alias("end_ms"), F.when(p % 4 == 0, n % 5).alias("timestamp_ms"))
     judgments = lines.filter(p % 3 != 0).select(

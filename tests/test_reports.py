@@ -161,3 +161,17 @@ def test_passage_counters(spark):
     assert (r.n_tokens, r.max_tokens, r.max_ms, r.n_soft_max, r.n_hard_limit, r.n_end_of_input, r.n_unsplittable) == (2015, 2000, 210, 1, 1, 1, 0)
     # a resource without passages has zeros
     assert (got["q"].n_atoms, got["q"].n_passages, got["q"].n_covered) == (1, 0, 0)
+
+
+def test_graded_tasks_grow_with_the_rows(spark, monkeypatch):
+    tables = R._graded_tables(spark, SF)
+    want = sorted(map(str, graded.per_case(*tables, (1, 3, 5), 4, 5).collect()))
+    plan = lambda: graded.per_case(*tables, (1, 3, 5), 4, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan() and ", 4)" in plan()
+    monkeypatch.setattr(graded, "SHARE", 500)
+    n = sum(t.count() for t in tables)
+    assert f", {math.ceil(n / 500)}), REPARTITION_BY_NUM" in plan()
+    assert sorted(map(str, graded.per_case(*tables, (1, 3, 5), 4, 5).collect())) == want
+    # one sort of the rows of a case for the windows of its rows, one for those of its items, one for the best order
+    case = plan().split("REPARTITION_BY_NUM")[0]
+    assert sum(line.count("Sort [query_id") for line in case.splitlines()) == 3
