@@ -30,7 +30,7 @@ def tokens(text: Column, fold: bool = True) -> Column:
     """Lower-case runs of letters and digits; ``fold`` removes diacritics of Latin letters."""
     low = F.lower(F.coalesce(text, F.lit("")))
     if fold:
-        low = F.translate(low, _MARKED, _PLAIN)
+        low = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _MARKED, _PLAIN))  # ASCII has nothing to fold
     return F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), "")
 
 

@@ -10,14 +10,19 @@ the postings, bucketed by term, before texts are read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Postings that leave a worker at once.
+POSTINGS = 1 << 18
 
 
 # --- query grammar -----------------------------------------------------------
@@ -262,9 +267,27 @@ class Index:
 
 
 def postings_of(units: DataFrame) -> DataFrame:
-    """term, unit_id, tf, positions of units with text."""
-    held = units.filter(F.trim("text") != "").select("unit_id", F.posexplode(T.tokens(F.col("text"))).alias("at", "term"))
-    return held.groupBy("term", "unit_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    """term, unit_id, tf, positions of units with text; a unit is one row, so its terms are counted where it is read, without a shuffle."""
+    rows = units.filter(F.trim("text") != "").select("unit_id", T.tokens(F.col("text")).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            coded = batch.column(1).flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")  # positions of a unit's term rise
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.concatenate([first, [len(key)]])
+            for lo in range(0, len(first), POSTINGS):
+                own = first[lo : lo + POSTINGS]
+                bounds = ends[lo : lo + len(own) + 1]
+                places = pa.array(at[order[bounds[0] : bounds[-1]]], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), places)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(order[own]))), batch.column(0).take(pa.array(row[order[own]])), pa.array(np.diff(bounds), pa.int32()), lists], ["term", "unit_id", "tf", "positions"])
+
+    return rows.mapInArrow(run, f"term string, unit_id {rows.schema['unit_id'].dataType.simpleString()}, tf int, positions array<int>")
 
 
 def lengths_of(units: DataFrame) -> DataFrame:
@@ -358,12 +381,18 @@ def write_index(index: Index, table: str, ranges: int | None = None) -> Index:
     """
     spark = index.postings.sparkSession
     keys = ("term", "unit_id")
-    held = index.postings.repartitionByRange(ranges, *keys) if ranges else index.postings.repartitionByRange(*keys)
+    # written once as they come: ranges are chosen by a first pass, which is to read keys and no text
+    index.postings.write.mode("overwrite").saveAsTable(f"{table}_unsorted")
+    made = spark.table(f"{table}_unsorted")
+    held = made.repartitionByRange(ranges, *keys) if ranges else made.repartitionByRange(*keys)
     held.sortWithinPartitions(*keys).write.mode("overwrite").saveAsTable(f"{table}_postings")
-    index.stats.write.mode("overwrite").saveAsTable(f"{table}_stats")
+    spark.sql(f"DROP TABLE {table}_unsorted")
     if index.lengths is None:
+        index.stats.write.mode("overwrite").saveAsTable(f"{table}_stats")
         return Index(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"))
     index.lengths.write.mode("overwrite").saveAsTable(f"{table}_lengths")
+    # of the lengths as they are written, so that no text is read for them again
+    index_of(index.postings, spark.table(f"{table}_lengths")).stats.write.mode("overwrite").saveAsTable(f"{table}_stats")
     return Index(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"), spark.table(f"{table}_lengths"))
 
 

@@ -175,3 +175,11 @@ def test_graded_tasks_grow_with_the_rows(spark, monkeypatch):
     # one sort of the rows of a case for the windows of its rows, one for those of its items, one for the best order
     case = plan().split("REPARTITION_BY_NUM")[0]
     assert sum(line.count("Sort [query_id") for line in case.splitlines()) == 3
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    units = spark.createDataFrame([("u", "b a  B é"), ("v", "x " * 2000 + "a"), ("n", None), ("e", " "), ("p", "..")], "unit_id string, text string").repartition(2)
+    assert "Exchange hashpartitioning" not in lexical.postings_of(units)._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.unit_id): (r.tf, r.positions) for r in lexical.postings_of(units).collect()}
+    assert got == {("b", "u"): (2, [0, 2]), ("a", "u"): (1, [1]), ("e", "u"): (1, [3]), ("x", "v"): (2000, list(range(2000))), ("a", "v"): (1, [2000])}
+    assert lexical.postings_of(units.limit(0)).count() == 0
