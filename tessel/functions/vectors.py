@@ -58,8 +58,10 @@ def from_json_vector(text: Column) -> Column:
 
 def hash_vector(text: Column, dims: int = 128) -> Column:
     """Deterministic test embedding: bytes of the SHA-256 of the text, spread and normalised."""
-    digest = F.sha2(text, 256)
-    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(byte(i) * (i + 1), F.lit(256)) / 127.5 - 1)
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(raw, lambda x: x / size)).otherwise(raw)
+    # each step is bound once: a lambda would work out what it refers to for every entry
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    byte = lambda digest, i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    raw = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(byte(digest, i) * (i + 1), F.lit(256)) / 127.5 - 1)
+    norm_of = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda v: once(norm_of(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v))
+    return once(F.sha2(text, 256), lambda digest: once(raw(digest), scaled))

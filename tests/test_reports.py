@@ -183,3 +183,19 @@ def test_postings_are_made_without_a_shuffle(spark):
     got = {(r.term, r.unit_id): (r.tf, r.positions) for r in lexical.postings_of(units).collect()}
     assert got == {("b", "u"): (2, [0, 2]), ("a", "u"): (1, [1]), ("e", "u"): (1, [3]), ("x", "v"): (2000, list(range(2000))), ("a", "v"): (1, [2000])}
     assert lexical.postings_of(units.limit(0)).count() == 0
+
+
+def test_hash_vectors_hash_a_text_once(spark):
+    import hashlib
+
+    from tessel.functions import vectors as V
+
+    texts = ["a", "", "é\n", None]
+    made = spark.createDataFrame([(t,) for t in texts], "text string").select("text", V.hash_vector(F.col("text"), 40).alias("v"))
+    for r in made.collect():
+        if r.text is None:
+            assert r.v is None or all(x is None for x in r.v)
+            continue
+        raw = [(hashlib.sha256(r.text.encode()).digest()[i % 32] * (i + 1) % 256) / 127.5 - 1 for i in range(40)]
+        assert r.v == pytest.approx([x / math.sqrt(sum(x * x for x in raw)) for x in raw], abs=1e-12)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
