@@ -36,7 +36,14 @@ def gold(chunks: DataFrame, cases: DataFrame) -> DataFrame:
     """query_id, item_id, grade: chunks that meet all of a case's clauses; ``%`` and ``_`` stay wildcards, case is ignored."""
     from pyspark.sql import functions as F
 
-    met = lambda column, clause: F.col(clause).isNull() | F.ilike(F.col(column), F.concat(F.lit("%"), F.col(clause), F.lit("%")))
-    rows = chunks.crossJoin(cases)  # a stated query set against all rows; Spark broadcasts it if its size allows
-    hit = rows.filter(met("text", "content_contains") & met("relative_path", "file_path_contains") & met("heading", "heading_contains"))
-    return hit.select("query_id", F.col("chunk_id").alias("item_id"), F.lit(1).alias("grade"))
+    low = lambda c: F.lower(F.col(c))
+    # a clause with no wildcard is looked for as it stands; a pattern in a column would be compiled for every pair of rows
+    plain = lambda clause: ~F.col(clause).rlike(r"[%_\\]")
+    met = lambda column, clause: F.col(clause).isNull() | F.when(plain(clause), F.contains(F.col(column), F.col(clause))).otherwise(F.like(F.col(column), F.concat(F.lit("%"), F.col(clause), F.lit("%"))))
+    asked = cases.select("query_id", *(low(c).alias(c) for c in ("content_contains", "file_path_contains", "heading_contains")))
+    rows = chunks.select("chunk_id", *(low(c).alias(c) for c in ("text", "relative_path", "heading")))
+    # clauses on paths and headings, which cases share, are tried once each; then the texts of what they let through
+    doors = asked.select(F.col("file_path_contains").alias("_path"), F.col("heading_contains").alias("_heading")).distinct()
+    let_in = rows.crossJoin(doors).filter(met("relative_path", "_path") & met("heading", "_heading"))  # a stated query set against all rows; Spark broadcasts it if its size allows
+    own = let_in.join(asked, F.col("_path").eqNullSafe(F.col("file_path_contains")) & F.col("_heading").eqNullSafe(F.col("heading_contains")))
+    return own.filter(met("text", "content_contains")).select("query_id", F.col("chunk_id").alias("item_id"), F.lit(1).alias("grade"))

@@ -199,3 +199,18 @@ def test_hash_vectors_hash_a_text_once(spark):
         raw = [(hashlib.sha256(r.text.encode()).digest()[i % 32] * (i + 1) % 256) / 127.5 - 1 for i in range(40)]
         assert r.v == pytest.approx([x / math.sqrt(sum(x * x for x in raw)) for x in raw], abs=1e-12)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+
+
+def test_clauses_of_cases_with_and_without_wildcards(spark):
+    from tessel.sources import cases
+
+    chunks = spark.createDataFrame([("1", "The 100% RED fox", "d/A_b.md", "One"), ("2", "a\nred\\fox", "d/axb.md", None), ("3", None, "x", "ONE"), ("4", "", "d/a.md", "")], "chunk_id string, text string, relative_path string, heading string")
+    asked = [("a", "red FOX", None, None), ("b", "r%x", None, None), ("c", None, "a_B", None), ("d", "", None, "one"), ("e", "red", "D/", None), ("f", None, None, None), ("g", "0\\%", None, None), ("h", "red\\\\fox", "d/%.MD", None), ("a", "red FOX", None, None)]
+    items = spark.createDataFrame(asked, "query_id string, content_contains string, file_path_contains string, heading_contains string")
+    chunks.createOrReplaceTempView("case_chunks"), items.createOrReplaceTempView("case_items")
+    met = lambda c, k: f"({k} IS NULL OR {c} ILIKE concat('%', {k}, '%'))"
+    want = spark.sql(f"SELECT query_id, chunk_id FROM case_chunks, case_items WHERE {met('text', 'content_contains')} AND {met('relative_path', 'file_path_contains')} AND {met('heading', 'heading_contains')}")
+    found = cases.gold(chunks, items)
+    assert sorted((r.query_id, r.item_id) for r in found.collect()) == sorted(map(tuple, want.collect())) and {r.query_id for r in want.collect()} == set("abcdefgh")
+    # texts meet only the cases whose other clauses their files met
+    assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
