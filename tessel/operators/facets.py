@@ -95,8 +95,10 @@ def linear_percentiles(rows: DataFrame, column: str) -> DataFrame:
 def suffix_overlap(chunks: DataFrame, most: int = 300, key: str = "file_id") -> DataFrame:
     """Longest end of the chunk before (up to ``most`` characters) that starts a chunk."""
     order = Window.partitionBy(key).orderBy("chunk_index")
-    before = chunks.withColumn("_before", F.coalesce(F.lag("text").over(order), F.lit("")))
-    n = F.least(F.length("_before"), F.length("text"), F.lit(most))
+    # both ends are cut before the window, below which they stay: comparisons are of short texts, not of whole chunks
+    ends = chunks.withColumns({"_head": F.left(F.col("text"), F.lit(most)), "_tail": F.right(F.col("text"), F.lit(most))})
+    before = ends.withColumn("_before", F.coalesce(F.lag("_tail").over(order), F.lit("")))
+    n = F.least(F.length("_before"), F.length("_head"))
     sizes = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda k: F.right(F.col("_before"), k) == F.left(F.col("text"), k))
-    return before.withColumn("overlap_chars", F.coalesce(F.array_max(fits), F.lit(0))).drop("_before")
+    fits = F.filter(sizes, lambda k: F.endswith(F.col("_before"), F.left(F.col("_head"), k)))
+    return before.withColumn("overlap_chars", F.coalesce(F.array_max(fits), F.lit(0))).drop("_before", "_head", "_tail")

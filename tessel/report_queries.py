@@ -100,7 +100,11 @@ def block_coverage(spark: SparkSession, sf: str) -> DataFrame:
   quantile_disc(tk, 0.5)::BIGINT AS chunk_tokens_p50, quantile_disc(tk, 0.9)::BIGINT AS chunk_tokens_p90, quantile_disc(tk, 0.99)::BIGINT AS chunk_tokens_p99, round(count(*) FILTER (n < 1200) / count(*), 9) AS small_chunk_ratio,
   round(count(*) FILTER (n > 8000) / count(*), 9) AS oversize_chunk_ratio, round(sum(ov)::DOUBLE / sum(n)::DOUBLE, 9) AS overlap_ratio, (SELECT count(*) FROM cov WHERE n_chunks = 0) AS orphan_block_count, (SELECT count(*) FROM cov WHERE n_chunks > 1) AS repeated_block_count FROM le""")
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.report(*_audited(spark, sf))
+    blocks, made = _audited(spark, sf)
+    # chunks are read for their sizes and for what they touch: made once, as a table of the warehouse
+    table = f"audited_{uuid.uuid4().hex}"
+    made.select("relative_path", "chunk_index", "text", "start_line", "end_line").write.saveAsTable(table)
+    return audit.report(blocks, spark.table(table))
 
 
 _CUTS, _MRR, _NDCG = (1, 3, 5), 4, 5

@@ -214,3 +214,17 @@ def test_clauses_of_cases_with_and_without_wildcards(spark):
     assert sorted((r.query_id, r.item_id) for r in found.collect()) == sorted(map(tuple, want.collect())) and {r.query_id for r in want.collect()} == set("abcdefgh")
     # texts meet only the cases whose other clauses their files met
     assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_the_audit_makes_its_chunks_once(spark):
+    from tessel.operators import facets
+
+    plan = R.coverage_audit(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "audited_" in plan
+    # ends are cut before the window, not anew for each length that is tried
+    texts = ["x" * 500 + "éab", "éab" + "y" * 500, "y" * 9, None, "q", "qq" * 300, "qq" * 200]
+    chunks = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file_id string, chunk_index int, text string")
+    found = facets.suffix_overlap(chunks, 300)
+    assert [r.overlap_chars for r in found.orderBy("chunk_index").collect()] == [0, 3, 9, 0, 0, 1, 300] and found.columns == [*chunks.columns, "overlap_chars"]
+    assert "right(text" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert "_tail" in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[1]
