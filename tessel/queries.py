@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -482,7 +483,10 @@ def preset_search(spark: SparkSession, sf: str) -> DataFrame:
     from tessel.operators import graphs, grouping
     from tessel.sources import transcripts
 
-    passages = grouping.group_atoms(transcripts.conversation_atoms(D.read(spark, sf, "conversations")))
+    # the catalog is read by each branch for its statistics and its rows: passages are made once, as a table of the warehouse
+    table = f"passages_{uuid.uuid4().hex}"
+    grouping.group_atoms(transcripts.conversation_atoms(D.read(spark, sf, "conversations"))).write.saveAsTable(table)
+    passages = spark.table(table)
     e = _events(spark, sf)
     frames = e.select(F.col("user_id").cast("string").alias("resource_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).alias("ordinal"), F.col("event_id").cast("string").alias("frame_id"), F.col("t").alias("timestamp_ms"), F.col("event_type").alias("caption"), F.lit("{}").alias("metadata_json"))
     c = graphs.video_graph(passages, frames)

@@ -228,3 +228,10 @@ def test_the_audit_makes_its_chunks_once(spark):
     assert [r.overlap_chars for r in found.orderBy("chunk_index").collect()] == [0, 3, 9, 0, 0, 1, 300] and found.columns == [*chunks.columns, "overlap_chars"]
     assert "right(text" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
     assert "_tail" in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[1]
+
+
+def test_preset_search_makes_its_passages_once(spark):
+    from tessel import queries
+
+    plan = queries.preset_search(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "passages_" in plan
