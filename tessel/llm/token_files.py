@@ -17,9 +17,11 @@ and read wherever Spark can. Integers are little-endian.
   pairs | expansion lengths: u32 | symbols: u16 | document ids: i64, with the
   lowest value for null | token counts: u32
 
-Tokens are those of the tokenizers library, which each distinct piece between
-single spaces is handed once: its pre-tokenizer never joins across a space that
-stands between two characters other than white space.
+Tokens are those of the tokenizers library, which each distinct piece of the
+texts is handed once, many pieces in one string. Texts are cut where its
+byte-level pre-tokenizer never joins: before a space that stands between two
+characters other than white space, before and after a line's end that does, and
+between an ASCII letter or digit and a mark. Bytes of tokens tell which of a string's tokens are a piece's.
 
 Defined results: a null or empty text has the end id alone; rows that share an
 id follow each other in order of their texts, null ids come first; an empty
@@ -34,6 +36,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +44,59 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import shared_dir
-from tessel.llm.wordstore import WordStore, batches_of, gather
+from tessel.llm.textkernel import raw
+from tessel.llm.wordstore import WordStore, gather
 
 END = 2
-#: Bytes of text in a shard, tokens in a blob.
-SHARD_BYTES, BLOB = 8 << 20, 1 << 22
-#: Re-Pair: least count of a pair; share of the names left that a turn gives, and how many at least; bits of a slot.
-LEAST, SHARE, TURN, SLOTS = 8, 2, 512, 22
+#: Bytes of text in a shard, tokens in a blob; bytes of text tokenised at once.
+SHARD_BYTES, BLOB, AT_ONCE = 8 << 20, 1 << 22, 4 << 20
+#: Re-Pair: least count of a pair; share of the names left that a turn gives, and how many at least; bits of a chosen pair's slot.
+LEAST, SHARE, TURN, SLOTS = 8, 2, 512, 18
 NO_ID = -(1 << 63)
 _RUN = re.compile(r"\s \s|  |\x00")
 #: Where a text with runs of white space or NUL may be cut: before a space between two other characters.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Pieces in one string for the library.
+JOINED = 400
+_SOLID, _WORD, _MARK, _SPACE, _LINE = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SOLID
+_KIND[0x80:] = _SOLID
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _WORD
+_KIND[np.frombuffer(b".,;:!?", np.uint8)] |= _MARK
+_KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte of UTF-8; those of characters that are, or may be, white space beyond ASCII have none."""
+    kind = _KIND[data]
+    at = np.flatnonzero(_LEADS[data])
+    if len(at):
+        ahead = np.concatenate([data, np.zeros(2, np.uint8)])
+        lead, second, third = data[at], ahead[at + 1], ahead[at + 2]
+        two = at[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+        three = at[((lead == 0xE1) & ((second == 0x9A) | (second == 0xA0))) | ((lead == 0xE2) & (second <= 0x81)) | ((lead == 0xE3) & (second == 0x80) & (third == 0x80))]
+        for k in (two, two + 1, three, three + 1, three + 2):
+            kind[k] = 0
+    return kind
+
+
+def cuts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts lie in their bytes: offsets from 0 to the last byte's end, those of texts among them."""
+    kind = _kinds(data)
+    here = np.zeros(len(data) + 1, bool)
+    here[rows] = True
+    if len(data) > 1:
+        before, after = kind[:-1], kind[1:]
+        solid, line = kind & _SOLID > 0, kind == _LINE
+        at = here[1:-1]
+        at |= line[1:] & solid[:-1]
+        at[1:] |= solid[:-2] & line[1:-1] & solid[2:]  # a line's end within white space goes with it
+        at |= (after & _MARK > 0) & (before & _WORD > 0)
+        at[:-1] |= (after[:-1] == _SPACE) & solid[:-2] & solid[2:]
+    return np.flatnonzero(here)
 
 
 def default_tokenizer() -> str:
@@ -63,31 +108,74 @@ def default_tokenizer() -> str:
 class Tokens:
     """Ids as the library gives them, each distinct piece encoded once."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.n_bytes = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.n_bytes[i] = len(token)  # a character stands for a byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.n_bytes[i] = len(token.content.encode())
         self.store = WordStore(self._encode, limit)
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        out: list[list[int]] = []
-        for lo in range(0, len(pieces), 20_000):
-            out += [e.ids for e in many(pieces[lo : lo + 20_000], add_special_tokens=False)]
-        return out
+        return [e.ids for e in many(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self._ids([p.decode() for p in pieces])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), np.cumsum(n) - n, n
+
+    def _joined(self, pieces: list[bytes], between: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_one_by_one``, of pieces that the library never joins when ``between`` stands between them."""
+        text = between.join(pieces)
+        ids = np.array(self._ids([text.decode()])[0], np.int32)
+        ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        to = np.cumsum(n + len(between)) - len(between)
+        a, b = np.searchsorted(ends, to - n), np.searchsorted(ends, to)
+        if ends[-1] != len(text) or (ends[a] != to - n).any() or (ends[b] != to).any():
+            return self._one_by_one(pieces)
+        return ids, a, b - a
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces, where each piece's lie in them, and how many they are."""
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(n)
+        kind = np.concatenate([_kinds(np.frombuffer(b"".join(pieces), np.uint8)), np.zeros(1, np.uint8)])
+        first, second, ended = kind[ends - n], kind[ends - n + 1], kind[ends - 1] & _SOLID > 0
+        spaced = ended & (first == _SPACE) & (second & _SOLID > 0)
+        bare = ended & (first & _SOLID > 0)
+        flat, held, starts, lengths = [], 0, np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        for which, way in ((spaced, lambda p: self._joined(p, b"")), (bare, lambda p: self._joined(p, b"\n")), (~(spaced | bare), self._one_by_one)):
+            at = np.flatnonzero(which)
+            for lo in range(0, len(at), JOINED):
+                part = at[lo : lo + JOINED]
+                ids, since, many = way([pieces[k] for k in part.tolist()])
+                starts[part], lengths[part] = since + held, many
+                flat.append(ids)
+                held += len(ids)
+        return np.concatenate(flat), starts, lengths
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """A text cut before single spaces alone, where other tokenizers don't join either."""
         if not text:
             return []
         if _RUN.search(text):
             return _CUT.split(text)
         return text.replace(" ", "\x00 ").split("\x00")
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.store.ids([self.pieces(t) for t in texts])
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, and each text's offsets into them."""
+        data, rows = raw(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        at = cuts(data, rows)
+        ids, ends = self.store.spans(data, at)
+        return ids, ends[np.searchsorted(at, rows)]
 
 
 @lru_cache(1)
@@ -95,9 +183,8 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def _matches(hit: np.ndarray) -> np.ndarray:
-    """Of overlapping matches, every second one from the left."""
-    at = np.flatnonzero(hit)
+def _matches(at: np.ndarray) -> np.ndarray:
+    """Of overlapping matches at these places, every second one from the left."""
     if not len(at):
         return at
     fresh = np.concatenate([[True], np.diff(at) != 1])
@@ -109,39 +196,37 @@ def re_pair(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray
     """Rules (left, right), the k-th for symbol ``first + k``, and the symbols left.
 
     Ends when no neighbour pair occurs ``least`` times, or all 16-bit names are
-    given. Pairs are counted in a table of slots; of pairs that share a slot
-    one is counted, the others when it has gone, or by sorting at the end.
+    given. Pairs are counted by sorting; those chosen are found again in a table
+    of slots, and of two that share one the more frequent is named, the other in
+    a later turn.
     """
-    seq, rules, shift = ids.astype(np.int64), [], np.uint64(64 - SLOTS)
-    slot = lambda code: ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
-    owner, names = np.empty(1 << SLOTS, np.int64), np.empty(1 << SLOTS, np.int64)
+    seq, rules, shift = ids.astype(np.uint32), [], np.uint32(32 - SLOTS)
+    slot = lambda code: (code * np.uint32(0x9E3779B1)) >> shift
+    owner, names = np.empty(1 << SLOTS, np.uint32), np.empty(1 << SLOTS, np.uint32)
     while len(seq) > 1:
         names_left = (1 << 16) - first - len(rules)
         room = min(names_left, max(TURN, names_left // SHARE))
         if room < 1:
             break
-        code = (seq[:-1] << 20) | seq[1:]
-        at = slot(code)
-        owner[at] = code
-        hit = owner[at] == code
-        counts = np.bincount(at[hit], minlength=1 << SLOTS)
-        slots = np.flatnonzero(counts >= least)
-        if len(slots):
-            slots = slots[np.argsort(-counts[slots], kind="stable")][:room]
-            chosen = owner[slots]
-        else:
-            often, n = np.unique(code[~hit], return_counts=True)
-            chosen = often[n >= least][:1]
-            if not len(chosen):
-                break
-            slots = slot(chosen)
-            owner[slots], hit = chosen, code == chosen
+        code = (seq[:-1] << np.uint32(16)) | seq[1:]
+        held = np.sort(code)
+        starts = np.concatenate([[0], np.flatnonzero(held[1:] != held[:-1]) + 1])
+        counts = np.diff(starts, append=len(held))
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
+            break
+        chosen = held[starts[often[np.argsort(-counts[often], kind="stable")[:room]]]]
+        at = slot(chosen)
+        owner[at[::-1]] = chosen[::-1]
+        kept = owner[at] == chosen
+        chosen, at = chosen[kept], at[kept]
         names.fill(0)
-        names[slots] = first + len(rules) + np.arange(len(slots))
-        given = names[at]
-        where = _matches(hit & (given > 0))
-        seq[where] = given[where]
-        rules += list(zip(chosen >> 20, chosen & ((1 << 20) - 1), strict=True))
+        names[at] = np.arange(first + len(rules), first + len(rules) + len(chosen), dtype=np.uint32)
+        at = slot(code)
+        where = np.flatnonzero(owner[at] == code)
+        where = _matches(where[names[at[where]] > 0])  # the table keeps pairs of earlier turns
+        seq[where] = names[at[where]]
+        rules += list(zip((chosen >> np.uint32(16)).tolist(), (chosen & np.uint32(0xFFFF)).tolist(), strict=True))
         left = np.ones(len(seq), bool)
         left[where + 1] = False
         seq = seq[left]
@@ -218,14 +303,15 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["shard", "seq", "n_tokens", "blob"])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            rows, lo = raw(batch.column(1))[1], 0
             ids_of = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for lo, hi in batches_of(texts):
-                ids, at = tokens(model).encode(texts[lo:hi])
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + AT_ONCE, "right")) - 1)
+                ids, at = tokens(model).encode(batch.column(1).slice(lo, hi - lo))
                 kept.append(np.insert(ids, at[1:], END).astype(np.int32))
                 names.append(ids_of[lo:hi])
                 counts.append(np.diff(at) + 1)
-                n += len(kept[-1])
+                n, lo = n + len(kept[-1]), hi
                 if n >= BLOB:
                     yield blob()
                     seq, kept, names, counts, n = seq + 1, [], [], [], 0

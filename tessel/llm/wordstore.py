@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -28,24 +29,52 @@ class WordStore:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str | bytes, int] = {}
         self.held = 0
         self.flat, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts given as pieces, and each text's offsets into them."""
+    def _room(self) -> None:
         if len(self.index) > self.limit or self.held > self.limit_bytes:
             self.clear()
+
+    def _add(self, new: list) -> None:
+        found = self.encode(new)
+        if isinstance(found, tuple):  # ids, where each piece's lie in them, how many they are
+            flat, starts, lengths = found
+        else:
+            found = list(found)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            flat, starts = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), np.cumsum(lengths) - lengths
+        self.held += sum(map(len, new)) + flat.nbytes
+        starts = len(self.flat) + starts
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.flat, self.starts, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces that lie one after the other in ``data``, and each piece's offsets into them.
+
+        Arrow finds the distinct pieces, so that Python sees each of them once.
+        """
+        self._room()
+        column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        coded = column.dictionary_encode()
+        _, ends, held = coded.dictionary.buffers()
+        ends, held = np.frombuffer(ends, np.int32, len(coded.dictionary) + 1).tolist(), held.to_pybytes() if held else b""
+        names = [held[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        new = [p for p in names if p not in self.index]
+        if new:
+            self._add(new)
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        lengths = self.lengths[at]
+        return gather(self.flat, self.starts[at], lengths), np.concatenate([[0], np.cumsum(lengths)])
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as pieces, and each text's offsets into them."""
+        self._room()
         new = list(set().union(*texts) - self.index.keys())
         if new:
             new.sort()
-            found = list(self.encode(new))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
-            self.held += sum(map(len, new)) + flat.nbytes
-            starts = len(self.flat) + np.cumsum(lengths) - lengths
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.flat, self.starts, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+            self._add(new)
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         lengths = self.lengths[at]

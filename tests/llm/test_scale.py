@@ -112,6 +112,27 @@ def test_pieces_of_texts_with_runs_of_blanks():
     assert len(tok.pieces(double)) > 800
 
 
+def test_distinct_pieces_reach_the_library_once_and_together():
+    tok = token_files.Tokens(token_files.default_tokenizer())
+    library, calls = tok.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda texts, **more: calls.extend(texts) or getattr(library, name)(texts, **more)
+
+    tok.tokenizer = Counted()
+    rng = random.Random(6)
+    some = ["".join(rng.choices("aehinorst", k=rng.randint(2, 12))) for _ in range(5000)]
+    texts = [" ".join(w + rng.choice(["", ".", ",", "\n", ".\nThen", "'s", " \u3000x", "\u2014\u00a0y", "é", "<|endoftext|>", "?!"]) for w in rng.choices(some, k=300)) for _ in range(60)] + ["", " ", "\n", "ends \n"]
+    ids, at = tok.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert sum(map(len, calls)) < sum(map(len, texts)) and len(calls) < 3000  # over 10 000 distinct pieces between spaces
+    calls.clear()
+    tok.encode(texts)
+    assert not calls
+
+
 # --- Re-Pair ----------------------------------------------------------------------
 
 
@@ -126,6 +147,16 @@ def test_re_pair_ends_only_when_nothing_is_frequent():
     assert len(left) < 16
 
 
+def test_re_pair_counts_every_pair():
+    """Each turn's rules are the most frequent pairs, whatever other pairs there are."""
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 3000, 1 << 20)
+    ids[::50], ids[1::50] = 41, 42
+    ids[25::100], ids[26::100] = 43, 44
+    rules, symbols = token_files.re_pair(ids, (1 << 16) - 2)
+    assert rules.tolist() == [[41, 42], [43, 44]] and (symbols == (1 << 16) - 2).sum() == (ids[:-1] * 4096 + ids[1:] == 41 * 4096 + 42).sum()
+
+
 def test_re_pair_uses_all_names():
     rng = np.random.default_rng(1)
     rules, _ = token_files.re_pair(rng.integers(0, 300, 1 << 20), 50_257)
