@@ -41,6 +41,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import bucketed, stash
-from tessel.llm.textkernel import _LOWER, mix, raw, word_hashes
-from tessel.llm.wordstore import WordStore
+from tessel.llm.textkernel import _BLANK, _LOWER, SOLID, kinds, mix, raw, word_hashes
+from tessel.llm.wordstore import WordStore, distinct
 
 HELD_OUT, FOLDS = 2, 7
 #: Bytes of text in a block; bytes of text for each hash range of words.
@@ -59,6 +60,8 @@ SPAN, ROUNDS, GROUPS = 16, 2, 16
 BATCH, RATE = 256, 0.02
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 SMOOTH = 0.1
+#: Words in one string for the tokenizer; rows of logits worked off at once.
+JOINED, ROWS = 1000, 256
 
 
 def default_tokenizer() -> str:
@@ -78,10 +81,41 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ordinary = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
+        self.n_bytes = np.zeros(self.end, np.int64)
+        for token, i in ranks.items():
+            self.n_bytes[i] = len(token)
         self.store = WordStore(self._encode, 300_000)
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return [self.ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [self.ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), np.cumsum(n) - n, n
+
+    def _joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_one_by_one``, of words that no id reaches across when they stand in one string."""
+        ids = np.array(self.ordinary(" " + b" ".join(words).decode("utf-8", "replace")), np.int32)
+        ends, n = np.concatenate([[0], np.cumsum(self.n_bytes[ids])]), np.fromiter(map(len, words), np.int64, len(words)) + 1
+        to = np.cumsum(n)
+        a, b = np.searchsorted(ends, to - n), np.searchsorted(ends, to)
+        if ends[-1] != to[-1] or (ends[b] != to).any():
+            return self._one_by_one(words)
+        return ids, a, b - a
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, each after a space, where each word's lie in them, and how many they are."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        ends, solid = np.cumsum(n), kinds(np.frombuffer(b"".join(words), np.uint8)) & SOLID > 0
+        plain = solid[ends - n] & solid[ends - 1]
+        flat, held, starts, lengths = [], 0, np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        for which, way in ((plain, self._joined), (~plain, self._one_by_one)):
+            at = np.flatnonzero(which)
+            for lo in range(0, len(at), JOINED):
+                part = at[lo : lo + JOINED]
+                ids, since, many = way([words[k] for k in part.tolist()])
+                starts[part], lengths[part] = since + held, many
+                flat.append(ids)
+                held += len(ids)
+        return np.concatenate(flat), starts, lengths
 
 
 @lru_cache(1)
@@ -111,6 +145,19 @@ _ARRAYS = {"out": np.bool_, "id_at": np.int64, "ids": np.uint16, "word_at": np.i
 _SCHEMA = "block long, doc_ids array<long>, " + ", ".join(f"{n} binary" for n in _ARRAYS)
 
 
+def distinct_words(data: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct lower-cased words of texts in ``data``, of each word which it is, and each text's offsets into the words."""
+    full = ~_BLANK[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[rows] = True
+    starts = full.copy()
+    starts[1:] &= ~full[:-1] | first[1:-1]
+    starts = np.flatnonzero(starts)
+    letters = _LOWER[data[full]]
+    before = np.cumsum(full)[starts] - 1
+    return *distinct(letters, np.append(before, len(letters))), np.searchsorted(starts, rows)
+
+
 def _make(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,14 +169,13 @@ def _make(model: str):
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + BLOCK, "right")) - 1)
                 part = batch.slice(lo, hi - lo)
-                low = _LOWER[data[rows[lo] : rows[hi]]].tobytes()
-                base = rows[lo]
-                ids, at = subwords(model).store.ids([low[a - base : b - base].split() for a, b in zip(rows[lo:hi], rows[lo + 1 : hi + 1], strict=True)])
+                pieces, codes, word_at = distinct_words(data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo])
+                ids, ends = subwords(model).store.coded(pieces, codes)
+                at = ends[word_at]
                 ids = np.insert(ids, at[1:], subwords(model).end)
                 at = at + np.arange(len(at))
-                found, word_at = word_hashes(part.column(1))
-                words = np.insert(found, word_at[1:], END_WORD)  # the end token of the base
-                hashes, index = np.unique(words, return_inverse=True)
+                hashes, index = np.unique(np.append(word_hashes(pieces)[0], END_WORD), return_inverse=True)
+                index = np.insert(index[codes], word_at[1:], index[-1])  # the end token of the base
                 doc_ids = part.column(0).to_pylist()
                 held = {"out": np.array([held_out(i) for i in doc_ids]), "id_at": at, "ids": ids, "word_at": word_at + np.arange(len(word_at)), "words": index, "hashes": hashes}
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([np.ascontiguousarray(held[n], t).tobytes()], pa.binary()) for n, t in _ARRAYS.items())], ["block", "doc_ids", *_ARRAYS])
@@ -248,67 +294,125 @@ def windows_at(symbols: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tupl
     return symbols[at], mask
 
 
-_ONES = {n: np.ones((n, 1), np.float32) for n in (2 * SPAN, CLASSES)}
+_ONES = {n: np.ones((n, 1), np.float32) for n in (WIDE, 2 * SPAN, CLASSES)}
+_FAR = np.clip(_BACK, 0, 2 * SPAN - 1)
+
+
+def laid(x: np.ndarray, part: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``windows_at``, of windows laid from documents' first tokens on: for a mask, which of them are their documents' first.
+
+    The context of a first window is masked, that of any other lies in its document; what comes after a document's
+    end is not scored and comes after all that is.
+    """
+    at = part[:, None] + np.arange(-SPAN, SPAN)[None, :]
+    return np.take(x, at, mode="clip"), np.flatnonzero(first)
 
 
 def room(n: int) -> np.ndarray:
-    """Memory for the logits of ``n`` windows, kept between batches: fresh pages cost more than the sums in them."""
-    return np.empty((2, n * SPAN, CLASSES), np.float32)
+    """Memory for logits, kept between batches: fresh pages cost more than the sums in them."""
+    return np.empty((2, min(ROWS, n * SPAN), CLASSES), np.float32)
 
 
-def forward(w: dict[str, np.ndarray], bias: np.ndarray, x: np.ndarray, mask: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Class logits of the scored half of windows (in ``held``, if given), and what the backward pass needs.
+def attend(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the head gives for the scored half of windows, and what the backward pass needs.
 
     Scores are bounded before ``exp``, which spares the passes that look for maxima.
+    ``mask`` says what each token may see, or (of ``laid``) which windows have no context.
     """
-    q, k, v = w["q"][x[:, SPAN:]] * np.float32(WIDE**-0.5), w["k"][x], w["v"][x]
+    q, k, v = np.take(w["q"], x[:, SPAN:], axis=0), np.take(w["k"], x, axis=0), np.take(w["v"], x, axis=0)
+    q *= np.float32(WIDE**-0.5)
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s += np.where(_CAUSAL, w["r"][np.clip(_BACK, 0, 2 * SPAN - 1)], 0)
+    s += np.where(_CAUSAL, w["r"][_FAR], np.float32(-1e9))
     np.minimum(s, np.float32(40), out=s)
     np.exp(s, out=s)
-    np.copyto(s, np.float32(0), where=~mask)
+    if mask.ndim == 1:
+        s[mask, :, :SPAN] = 0
+    else:
+        np.copyto(s, np.float32(0), where=~mask)
     total = np.matmul(s, _ONES[2 * SPAN]) + np.float32(1e-30)
-    h = np.matmul(s, v) / total
-    logits, more = (room(len(x)) if held is None else held)[:, : len(x) * SPAN]
-    np.matmul(h.reshape(-1, WIDE), w["o"], out=logits)
-    logits += np.take(bias, x[:, SPAN:].ravel(), axis=0, out=more, mode="clip")
-    return logits, h, (s, total), q, k, v
+    return np.matmul(s, v) / total, s, total, q, k, v
+
+
+def bounded(h: np.ndarray, o: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit of these rows can pass 60, which spares bounding each."""
+    wide = h.reshape(-1, SPAN * WIDE)  # long rows: their maxima are quick
+    most = np.maximum(wide.max(axis=0), -wide.min(axis=0)).reshape(SPAN, WIDE).max(axis=0)
+    return float(bias.max()) + float((most @ np.abs(o)).max()) < 59
+
+
+def logits_of(h: np.ndarray, symbols: np.ndarray, w: dict[str, np.ndarray], bias: np.ndarray, held: np.ndarray, low: bool = False) -> np.ndarray:
+    """Class logits of some rows (in ``held``), at most 60 unless they are ``low`` anyway."""
+    logits, more = held[:, : len(h)]
+    np.matmul(h, w["o"], out=logits)
+    logits += np.take(bias, symbols, axis=0, out=more, mode="clip")
+    return logits if low else np.minimum(logits, np.float32(60), out=logits)
+
+
+def forward(w: dict[str, np.ndarray], bias: np.ndarray, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class logits of the scored half of windows, all at once, and what the head gives."""
+    h = attend(w, x, mask)[0]
+    held = np.empty((2, len(x) * SPAN, CLASSES), np.float32)
+    return logits_of(h.reshape(-1, WIDE), x[:, SPAN:].ravel(), w, bias, held), h
 
 
 def _by_symbol(rows: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Sums of the vectors in ``part`` by their symbols."""
-    rows = rows.ravel()
-    order = np.argsort(rows, kind="stable")
-    ends = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    out = np.zeros((SYMBOLS, part.shape[-1]), np.float32)
-    out[rows[order][ends]] = np.add.reduceat(part.reshape(-1, part.shape[-1])[order], ends)
-    return out
+    """Sums of the vectors in ``part`` by their symbols, two numbers added at once as a complex one."""
+    pairs = part.reshape(-1, part.shape[-1]).view(np.complex64)
+    wide = pairs.shape[1]
+    out = np.zeros(SYMBOLS * wide, np.complex64)
+    np.add.at(out, (rows.reshape(-1, 1).astype(np.int64, copy=False) * wide + np.arange(wide)).ravel(), pairs.ravel())
+    return out.view(np.float32).reshape(SYMBOLS, -1)
 
 
 def _learn(w: dict, state: dict, bias: np.ndarray, x: np.ndarray, mask: np.ndarray, target: np.ndarray, use: np.ndarray, held: np.ndarray | None = None) -> None:
-    """One Adam step on the mean negative log-likelihood of the targets in ``use``."""
-    logits, h, (s, total), q, k, v = forward(w, bias, x, mask, held)
-    s = s / total
-    np.minimum(logits, np.float32(60), out=logits)
-    np.exp(logits, out=logits)
+    """One Adam step on the mean negative log-likelihood of the targets in ``use``.
+
+    What each row of class probabilities is scaled by goes to the vectors of ``WIDE`` that it is multiplied with.
+    """
+    h, s, total, q, k, v = attend(w, x, mask)
+    s /= total
+    held = room(len(x)) if held is None else held
+    flat, symbols, target = h.reshape(-1, WIDE), x[:, SPAN:].ravel(), target.ravel()
     weight = use.ravel()[:, None] / np.float32(max(1, use.sum()))
-    g = np.multiply(logits, weight / (logits @ _ONES[CLASSES] + np.float32(1e-30)), out=logits)
-    g[np.arange(len(g)), target.ravel()] -= weight[:, 0]
-    grad = {"o": h.reshape(-1, WIDE).T @ g}
-    gh = (g @ w["o"].T).reshape(h.shape)
+    back, low, rows = np.ascontiguousarray(w["o"].T), bounded(flat, w["o"], bias), np.arange(ROWS)
+    grad, gh = {"o": np.zeros_like(w["o"])}, np.empty_like(flat)
+    for lo in range(0, len(flat), ROWS):
+        part = slice(lo, lo + ROWS)
+        e = logits_of(flat[part], symbols[part], w, bias, held, low)
+        np.exp(e, out=e)
+        sums = e @ _ONES[CLASSES] + np.float32(1e-30)
+        e[rows[: len(e)], target[part]] -= sums[:, 0]
+        scale = weight[part] / sums
+        grad["o"] += (flat[part] * scale).T @ e
+        np.multiply(e @ back, scale, out=gh[part])
+    gh = gh.reshape(h.shape)
     gs = np.matmul(gh, v.transpose(0, 2, 1))
-    gv = np.matmul(s.transpose(0, 2, 1), gh)
-    gs = s * (gs - (gs * s).sum(axis=2, keepdims=True)) * mask
-    grad["r"] = np.bincount(np.clip(_BACK, 0, 2 * SPAN - 1).ravel(), weights=gs.sum(axis=0).ravel(), minlength=2 * SPAN)
+    gs -= np.matmul((gh * h).reshape(-1, WIDE), _ONES[WIDE]).reshape(*gh.shape[:2], 1)
+    gs *= s  # 0 where masked
+    grad["r"] = np.bincount(_FAR.ravel(), weights=gs.sum(axis=0).ravel(), minlength=2 * SPAN)
     grad["q"] = _by_symbol(x[:, SPAN:], np.matmul(gs, k) * np.float32(WIDE**-0.5))
-    both = _by_symbol(x, np.concatenate((np.matmul(gs.transpose(0, 2, 1), q), gv), axis=2))
-    grad["k"], grad["v"] = both[:, :WIDE], both[:, WIDE:]
+    grad["k"] = _by_symbol(x, np.matmul(gs.transpose(0, 2, 1), q))
+    grad["v"] = _by_symbol(x, np.matmul(s.transpose(0, 2, 1), gh))
+    _adam(w, state, grad)
+
+
+def _adam(w: dict, state: dict, grad: dict) -> None:
+    """One step of all weights in ``grad``, as one vector."""
+    value = np.concatenate([g.ravel() for g in grad.values()], dtype=np.float32)
     state["t"] += 1
-    for name, value in grad.items():
-        m, n = state.setdefault(name, (np.zeros_like(w[name]), np.zeros_like(w[name])))
-        m += 0.1 * (value - m)
-        n += 0.01 * (value * value - n)
-        w[name] -= (RATE * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(n / (1 - 0.99 ** state["t"])) + 1e-8)).astype(np.float32)
+    m, n = state.setdefault("means", (np.zeros_like(value), np.zeros_like(value)))
+    m *= np.float32(0.9)
+    m += np.float32(0.1) * value
+    np.multiply(value, value, out=value)
+    n *= np.float32(0.99)
+    n += np.float32(0.01) * value
+    down = np.sqrt(n, out=value)
+    down *= np.float32((1 - 0.99 ** state["t"]) ** -0.5)
+    down += np.float32(1e-8)
+    step, at = np.float32(RATE / (1 - 0.9 ** state["t"])) * m / down, 0
+    for name, g in grad.items():
+        w[name] -= step[at : at + g.size].reshape(g.shape)
+        at += g.size
 
 
 def inputs(block: Block, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,15 +434,16 @@ def trained(block: Block, turn: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train_block(block: Block, model: Model, turn: int) -> tuple[dict[str, np.ndarray], int]:
     """Local weights after this round's windows of a block, and how many those were."""
-    x, doc, _ = inputs(block, model.symbol)
+    x = inputs(block, model.symbol)[0].astype(np.int64)
     starts, ends = trained(block, turn)
+    first = np.isin(starts, block.id_at)
     w, state = {k: v.copy() for k, v in model.weights.items()}, {"t": 0}
     target = np.pad(model.klass[block.ids], (0, SPAN))
     kept = room(BATCH)
     for lo in range(0, len(starts), BATCH):
         part = starts[lo : lo + BATCH]
         at = part[:, None] + np.arange(SPAN)[None, :]
-        held, mask = windows_at(x, doc, part)
+        held, mask = laid(x, part, first[lo : lo + BATCH])
         _learn(w, state, model.bias, held, mask, target[at], (at < ends[lo : lo + BATCH, None]).astype(np.float32), kept)
     return w, len(starts)
 
@@ -349,23 +454,27 @@ def score_block(block: Block, model: Model) -> np.ndarray:
     Every batch has the same number of windows (the last one repeats its last
     window), so that a window's sums are the same wherever it stands.
     """
-    x, doc, _ = inputs(block, model.symbol)
-    target = np.pad(model.klass[block.ids], (0, SPAN))
+    x = inputs(block, model.symbol)[0].astype(np.int64)
+    target = np.pad(model.klass[block.ids], (0, SPAN)).astype(np.int64)
     starts, ends = starts_of(block.id_at)
+    first = np.isin(starts, block.id_at)
     logs = np.empty(len(x), np.float32)
     size = 2 * BATCH
-    kept = room(size)
+    kept, told = room(size), np.empty(size * SPAN, np.float32)
     for lo in range(0, len(starts), size):
-        part = starts[np.minimum(np.arange(lo, lo + size), len(starts) - 1)]
-        at = part[:, None] + np.arange(SPAN)[None, :]
-        held, mask = windows_at(x, doc, part)
-        logits = forward(model.weights, model.bias, held, mask, kept)[0]
-        np.minimum(logits, np.float32(60), out=logits)
-        hit = logits[np.arange(len(logits)), target[at].ravel()]
-        np.exp(logits, out=logits)
-        told = (hit - np.log((logits @ _ONES[CLASSES])[:, 0])).reshape(at.shape)
-        inside = at < ends[np.minimum(np.arange(lo, lo + size), len(starts) - 1), None]
-        logs[at[inside]] = told[inside]
+        which = np.minimum(np.arange(lo, lo + size), len(starts) - 1)
+        at = starts[which, None] + np.arange(SPAN)[None, :]
+        held, mask = laid(x, starts[which], first[which])
+        h, symbols, classes_at = attend(model.weights, held, mask)[0].reshape(-1, WIDE), held[:, SPAN:].ravel(), target[at].ravel()
+        low = bounded(h, model.weights["o"], model.bias)
+        for row in range(0, len(h), ROWS):
+            part = slice(row, row + ROWS)
+            logits = logits_of(h[part], symbols[part], model.weights, model.bias, kept, low)
+            hit = logits[np.arange(len(logits)), classes_at[part]]
+            np.exp(logits, out=logits)
+            told[part] = hit - np.log((logits @ _ONES[CLASSES])[:, 0])
+        inside = at < ends[which, None]
+        logs[at[inside]] = told.reshape(at.shape)[inside]
     total = model.share[block.ids].astype(np.float64) + logs * np.log10(np.e)
     return np.add.reduceat(total, block.id_at[:-1]) if len(block.doc_ids) else total
 

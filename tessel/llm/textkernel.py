@@ -25,6 +25,16 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Kinds of bytes: of characters other than white space, ASCII letters and digits, marks, the space, a line's end.
+SOLID, WORD, MARK, SPACE, LINE = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = SOLID
+_KIND[0x80:] = SOLID
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= WORD
+_KIND[np.frombuffer(b".,;:!?", np.uint8)] |= MARK
+_KIND[0x20], _KIND[0x0A] = SPACE, LINE
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,3 +124,17 @@ def shingle_hashes(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.nda
     for k in range(width):
         total += np.where(k < length, padded[start + k] * _STEP[k], np.uint64(0))
     return mix(total + length.astype(np.uint64)), offsets
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte of UTF-8; those of characters that are, or may be, white space beyond ASCII have none."""
+    kind = _KIND[data]
+    at = np.flatnonzero(_LEADS[data])
+    if len(at):
+        ahead = np.concatenate([data, np.zeros(2, np.uint8)])
+        lead, second, third = data[at], ahead[at + 1], ahead[at + 2]
+        two = at[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+        three = at[((lead == 0xE1) & ((second == 0x9A) | (second == 0xA0))) | ((lead == 0xE2) & (second <= 0x81)) | ((lead == 0xE3) & (second == 0x80) & (third == 0x80))]
+        for k in (two, two + 1, three, three + 1, three + 2):
+            kind[k] = 0
+    return kind

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import shared_dir
-from tessel.llm.textkernel import raw
+from tessel.llm.textkernel import LINE, MARK, SOLID, SPACE, WORD, kinds, raw
 from tessel.llm.wordstore import WordStore, gather
 
 END = 2
@@ -58,44 +58,21 @@ _RUN = re.compile(r"\s \s|  |\x00")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces in one string for the library.
 JOINED = 400
-_SOLID, _WORD, _MARK, _SPACE, _LINE = 1, 2, 4, 8, 16
-_KIND = np.zeros(256, np.uint8)
-_KIND[0x21:0x7F] = _SOLID
-_KIND[0x80:] = _SOLID
-_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _WORD
-_KIND[np.frombuffer(b".,;:!?", np.uint8)] |= _MARK
-_KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
-_LEADS = np.zeros(256, bool)
-_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-
-
-def _kinds(data: np.ndarray) -> np.ndarray:
-    """Kind of each byte of UTF-8; those of characters that are, or may be, white space beyond ASCII have none."""
-    kind = _KIND[data]
-    at = np.flatnonzero(_LEADS[data])
-    if len(at):
-        ahead = np.concatenate([data, np.zeros(2, np.uint8)])
-        lead, second, third = data[at], ahead[at + 1], ahead[at + 2]
-        two = at[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))]
-        three = at[((lead == 0xE1) & ((second == 0x9A) | (second == 0xA0))) | ((lead == 0xE2) & (second <= 0x81)) | ((lead == 0xE3) & (second == 0x80) & (third == 0x80))]
-        for k in (two, two + 1, three, three + 1, three + 2):
-            kind[k] = 0
-    return kind
 
 
 def cuts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Where the pieces of texts lie in their bytes: offsets from 0 to the last byte's end, those of texts among them."""
-    kind = _kinds(data)
+    kind = kinds(data)
     here = np.zeros(len(data) + 1, bool)
     here[rows] = True
     if len(data) > 1:
         before, after = kind[:-1], kind[1:]
-        solid, line = kind & _SOLID > 0, kind == _LINE
+        solid, line = kind & SOLID > 0, kind == LINE
         at = here[1:-1]
         at |= line[1:] & solid[:-1]
         at[1:] |= solid[:-2] & line[1:-1] & solid[2:]  # a line's end within white space goes with it
-        at |= (after & _MARK > 0) & (before & _WORD > 0)
-        at[:-1] |= (after[:-1] == _SPACE) & solid[:-2] & solid[2:]
+        at |= (after & MARK > 0) & (before & WORD > 0)
+        at[:-1] |= (after[:-1] == SPACE) & solid[:-2] & solid[2:]
     return np.flatnonzero(here)
 
 
@@ -146,10 +123,10 @@ class Tokens:
         """Ids of the pieces, where each piece's lie in them, and how many they are."""
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(n)
-        kind = np.concatenate([_kinds(np.frombuffer(b"".join(pieces), np.uint8)), np.zeros(1, np.uint8)])
-        first, second, ended = kind[ends - n], kind[ends - n + 1], kind[ends - 1] & _SOLID > 0
-        spaced = ended & (first == _SPACE) & (second & _SOLID > 0)
-        bare = ended & (first & _SOLID > 0)
+        kind = np.concatenate([kinds(np.frombuffer(b"".join(pieces), np.uint8)), np.zeros(1, np.uint8)])
+        first, second, ended = kind[ends - n], kind[ends - n + 1], kind[ends - 1] & SOLID > 0
+        spaced = ended & (first == SPACE) & (second & SOLID > 0)
+        bare = ended & (first & SOLID > 0)
         flat, held, starts, lengths = [], 0, np.empty(len(n), np.int64), np.empty(len(n), np.int64)
         for which, way in ((spaced, lambda p: self._joined(p, b"")), (bare, lambda p: self._joined(p, b"\n")), (~(spaced | bare), self._one_by_one)):
             at = np.flatnonzero(which)

@@ -23,6 +23,13 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
+def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct pieces that lie one after the other in ``data``, and of each piece which it is."""
+    column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    coded = column.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
 class WordStore:
     def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 300_000, limit_bytes: int = 64 << 20):
         self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
@@ -51,20 +58,19 @@ class WordStore:
         self.flat, self.starts, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces that lie one after the other in ``data``, and each piece's offsets into them.
+        """All ids of the pieces that lie one after the other in ``data``, and each piece's offsets into them."""
+        return self.coded(*distinct(data, offsets))
 
-        Arrow finds the distinct pieces, so that Python sees each of them once.
-        """
+    def coded(self, pieces: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``spans``, of pieces given as indexes into distinct ones, which Python sees once each."""
         self._room()
-        column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-        coded = column.dictionary_encode()
-        _, ends, held = coded.dictionary.buffers()
-        ends, held = np.frombuffer(ends, np.int32, len(coded.dictionary) + 1).tolist(), held.to_pybytes() if held else b""
+        _, ends, held = pieces.buffers()
+        ends, held = np.frombuffer(ends, np.int32, len(pieces) + 1).tolist(), held.to_pybytes() if held else b""
         names = [held[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         new = [p for p in names if p not in self.index]
         if new:
             self._add(new)
-        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[codes]
         lengths = self.lengths[at]
         return gather(self.flat, self.starts[at], lengths), np.concatenate([[0], np.cumsum(lengths)])
 

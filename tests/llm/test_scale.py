@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.llm import exact_dedup, line_dedup, lm, minhash, mixing, quality_rules, repeats, sharding, subwords, textkernel, token_files, wordstore
+from tessel.llm.textkernel import raw
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -133,6 +134,69 @@ def test_distinct_pieces_reach_the_library_once_and_together():
     assert not calls
 
 
+def test_lm_words_reach_the_tokenizer_once_and_together():
+    sub = lm.Subwords(lm.default_tokenizer())
+    plain, calls = sub.ordinary, []
+    sub.ordinary = lambda text: calls.append(text) or plain(text)
+    rng = random.Random(8)
+    some = ["".join(rng.choices("aehinorst'.9é\u3042\u043f", k=rng.randint(1, 9))) + rng.choice(["", "", "", "'s", "\u00a0", "\x1c", "\u2014"]) for _ in range(6000)]
+    texts = [" ".join(rng.choices(some, k=300)) for _ in range(60)] + ["", " \t", "ONE\nTwo\x0bthree "]
+    for part in (texts, ["", "  "]):
+        data, rows = raw(pa.array(part, pa.string()))
+        pieces, codes, at = lm.distinct_words(data, rows)
+        ids, ends = sub.store.coded(pieces, codes)
+        for k, t in enumerate(part):
+            ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
+            assert [pieces[c].as_py() for c in codes[at[k] : at[k + 1]].tolist()] == ws
+            assert ids[ends[at[k]] : ends[at[k + 1]]].tolist() == [i for w in ws for i in plain(" " + w.decode())]
+    assert len(calls) < 3500  # over 5 000 distinct words
+    calls.clear()
+    sub.store.coded(*lm.distinct_words(*raw(pa.array(texts, pa.string())))[:2])
+    assert not calls
+
+
+def test_lm_windows_of_documents_need_no_masks_but_the_first():
+    rng = np.random.default_rng(9)
+    at = np.cumsum([0, 1, 40, 16, 5, 90])
+    doc = np.repeat(np.arange(5), np.diff(at)).astype(np.int32)
+    x = rng.integers(0, lm.SYMBOLS, at[-1])
+    w = {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in lm.start().items()}
+    bias = rng.standard_normal((lm.SYMBOLS, lm.CLASSES)).astype(np.float32)
+    starts, ends = lm.starts_of(at)
+    inside = starts[:, None] + np.arange(lm.SPAN) < ends[:, None]
+    want = lm.forward(w, bias, *lm.windows_at(x, doc, starts))[0].reshape(*inside.shape, -1)
+    got = lm.forward(w, bias, *lm.laid(x, starts, np.isin(starts, at)))[0].reshape(*inside.shape, -1)
+    assert np.allclose(got[inside], want[inside], atol=1e-4)
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(10)
+    w = {k: (0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in lm.start().items()}
+    bias = rng.standard_normal((lm.SYMBOLS, lm.CLASSES)).astype(np.float32)
+    x, target = rng.integers(0, 50, (40, 2 * lm.SPAN)), rng.integers(0, lm.CLASSES, (40, lm.SPAN))
+    use, mask, kept = rng.integers(0, 2, target.shape).astype(np.float32), np.array([0, 7]), {}
+
+    def loss(w):
+        z = lm.forward(w, bias, x, mask)[0].astype(np.float64)
+        logs = z[np.arange(len(z)), target.ravel()] - np.log(np.exp(z).sum(axis=1))
+        return -(logs * use.ravel()).sum() / use.sum()
+
+    before = lm._adam
+    try:
+        lm._adam = lambda w, state, grad: kept.update(grad)
+        lm._learn({k: v.copy() for k, v in w.items()}, {"t": 0}, bias, x, mask, target, use)
+    finally:
+        lm._adam = before
+    for name, g in kept.items():
+        way = rng.standard_normal(g.shape).astype(np.float32)
+        way /= np.linalg.norm(way)
+        if name in "qkv":
+            way[50:] = 0
+        step = np.float32(0.02)
+        slope = (loss(w | {name: w[name] + step * way}) - loss(w | {name: w[name] - step * way})) / (2 * step)
+        assert np.isclose(slope, (g * way).sum(), rtol=0.05, atol=2e-5), name
+
+
 # --- Re-Pair ----------------------------------------------------------------------
 
 
